@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallframe.llm.decontam import decontaminate
 from tallframe.llm.fingerprint import fingerprints
+from tallframe.llm.langid import fit, identify
 from tallframe.llm.packing import pack
 
 
@@ -26,6 +27,13 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), fit(docs))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -33,5 +41,6 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
+    "op7_language": op7_language,
     "op9_fingerprint": op9_fingerprint,
 }
