@@ -11,7 +11,9 @@ over the whole corpus, summed in a tree and broadcast (``TERMS`` numbers, whatev
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,40 +22,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tallframe.llm.text import folded_words, hashes, space_words
+from tallframe.llm.text import space_words
 
 TERMS, END = 1 << 18, 2
 OUT = pa.schema({"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "ids": pa.binary()})
 
 
+#: Where ASCII letters meet ASCII punctuation other than the apostrophe, a word of the tokenizer ends.
+EDGE = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z])")
+
+
 class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins what it separates, so what stands between white
-    space is encoded once and remembered (``most`` entries, then anew).
+    The tokenizer drops white space and case and never joins what white space separates, so what stands
+    between white space is encoded once and remembered (``most`` entries, then anew), and so are its
+    parts between ``EDGE``. Parts of letters alone end in one token that closes a word, which tells them
+    apart when many are encoded in one call.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known, self.parts = Tokenizer.from_file(path), most, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words = [space_words(t) for t in texts]
+    def __call__(self, words: list[list[bytes]]) -> list[bytes]:
+        """The ids of texts, given as what white space separates in each."""
         if len(self.known) > self.most:
             self.known.clear()
-        new = list({w for x in words for w in x if w not in self.known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        return [b"".join(map(self.known.__getitem__, x)) for x in words]
+            self.parts.clear()
+        found = [list(map(self.known.get, x)) for x in words]
+        missing = [i for i, x in enumerate(found) if None in x]
+        if missing:
+            self.remember({w for i in missing for w, ids in zip(words[i], found[i], strict=True) if ids is None})
+            for i in missing:
+                found[i] = list(map(self.known.__getitem__, words[i]))
+        return [b"".join(x) for x in found]
+
+    def remember(self, new: set[bytes]) -> None:
+        plain = {w: w.lower() for w in new if w.isalpha()}  # ASCII letters alone
+        mixed = {w: self.split(w) for w in new - plain.keys()}
+        known = self.parts
+        fresh = {p for p in plain.values() if p not in known}
+        other = {p for x in mixed.values() for p in x if p not in known and p not in fresh}
+        letters = {p for p in other if p.decode().isalpha()}
+        self.learn([*fresh, *letters], list(other - letters))
+        self.known.update(zip(plain, map(self.parts.__getitem__, plain.values()), strict=True))
+        self.known.update((w, b"".join([self.parts[p] for p in x])) for w, x in mixed.items())
+
+    def learn(self, letters: list[bytes], other: list[bytes]) -> None:
+        for at in range(0, len(letters), 1000):
+            group = letters[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(b" ".join(group).decode(), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(group):
+                other = other + group
+                continue
+            raw, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.parts.update((w, raw[i:j]) for w, i, j in zip(group, ends, ends[1:], strict=False))
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+        self.parts.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found, strict=True))
+
+    @staticmethod
+    def split(word: bytes) -> list[bytes]:
+        return [word] if b"'" in word or b"<|" in word else EDGE.split(word.lower())
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that what it remembers outlasts a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
-def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashed terms of a text and how often each occurs."""
-    return np.unique((hashes(folded_words(text)) & np.uint64(TERMS - 1)).astype(np.int32), return_counts=True)
+def terms(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashed terms of a text's words and how often each occurs."""
+    h = np.sort(np.fromiter(map(crc32, words), np.uint32, len(words)) & np.uint32(TERMS - 1)).astype(np.int32)
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    return h[first], np.diff(np.append(first, len(h)))
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int, float]:
@@ -63,7 +116,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int, f
         df, n, length = np.zeros(TERMS, np.int64), 0, 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                own, tf = terms(t)
+                own, tf = terms(space_words(t))
                 df[own] += 1
                 n += 1
                 length += int(tf.sum())
@@ -199,7 +252,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     idf = docs.sparkSession.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), mean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number = Encoder(tokenizer), TaskContext.get().partitionId() << 32
+        encode, number = encoder(tokenizer), TaskContext.get().partitionId() << 32
         end = np.array([END], "<u4").tobytes()
         shard = Shard(*idf.value)
 
@@ -219,9 +272,9 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 b = whole.slice(at, 200)
-                texts = b.column(1).to_pylist()
-                for doc, t, ids in zip(b.column(0).to_pylist(), texts, encode(texts), strict=True):
-                    shard.add(doc, ids + end, *terms(t))
+                words = [space_words(t) for t in b.column(1).to_pylist()]
+                for doc, own, ids in zip(b.column(0).to_pylist(), words, encode(words), strict=True):
+                    shard.add(doc, ids + end, *terms(own))
                     if shard.tokens >= shard_tokens:
                         yield flush()
         if shard.docs:
