@@ -60,7 +60,7 @@ class Encoder:
         if missing:
             self.remember({w for i in missing for w, ids in zip(words[i], found[i], strict=True) if ids is None})
             for i in missing:
-                found[i] = list(map(self.known.__getitem__, words[i]))
+                found[i] = [self.known[w] if ids is None else ids for w, ids in zip(words[i], found[i], strict=True)]
         return [b"".join(x) for x in found]
 
     def remember(self, new: set[bytes]) -> None:

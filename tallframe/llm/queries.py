@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallframe.llm.decontam import decontaminate
 from tallframe.llm.fingerprint import fingerprints
+from tallframe.llm.jaccard import jaccard_classes
 from tallframe.llm.langid import fit, identify
 from tallframe.llm.packing import pack
 from tallframe.llm.substring import dedup_substrings
@@ -40,6 +41,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_id")
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -49,5 +54,6 @@ QUERIES = {
     "op2_pack": op2_pack,
     "op6_substrings": op6_substrings,
     "op7_language": op7_language,
+    "op8_jaccard": op8_jaccard,
     "op9_fingerprint": op9_fingerprint,
 }
