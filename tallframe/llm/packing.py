@@ -17,13 +17,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tallframe.llm.text import space_words
-
 TERMS, END = 1 << 18, 2
 OUT = pa.schema({"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "ids": pa.binary()})
 
@@ -35,44 +34,38 @@ EDGE = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=
 class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and case and never joins what white space separates, so what stands
-    between white space is encoded once and remembered (``most`` entries, then anew), and so are its
-    parts between ``EDGE``. Parts of letters alone end in one token that closes a word, which tells them
+    The tokenizer drops white space and never joins what it separates, so what stands between white
+    space is encoded once and remembered (``most`` entries, then anew), and so are its parts between
+    ``EDGE``. Parts of letters alone end in one token that closes a word, which tells them
     apart when many are encoded in one call.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.parts = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def __call__(self, words: list[list[bytes]]) -> list[bytes]:
-        """The ids of texts, given as what white space separates in each."""
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of the words."""
         if len(self.known) > self.most:
             self.known.clear()
-            self.parts.clear()
-        found = [list(map(self.known.get, x)) for x in words]
-        missing = [i for i, x in enumerate(found) if None in x]
-        if missing:
-            self.remember({w for i in missing for w, ids in zip(words[i], found[i], strict=True) if ids is None})
-            for i in missing:
-                found[i] = [self.known[w] if ids is None else ids for w, ids in zip(words[i], found[i], strict=True)]
-        return [b"".join(x) for x in found]
+        new = {w for w in words if w not in self.known}
+        if new:
+            self.remember(new)
+        return list(map(self.known.__getitem__, words))
 
     def remember(self, new: set[bytes]) -> None:
-        plain = {w: w.lower() for w in new if w.isalpha()}  # ASCII letters alone
-        mixed = {w: self.split(w) for w in new - plain.keys()}
-        known = self.parts
-        fresh = {p for p in plain.values() if p not in known}
-        other = {p for x in mixed.values() for p in x if p not in known and p not in fresh}
-        letters = {p for p in other if p.decode().isalpha()}
-        self.learn([*fresh, *letters], list(other - letters))
-        self.known.update(zip(plain, map(self.parts.__getitem__, plain.values()), strict=True))
-        self.known.update((w, b"".join([self.parts[p] for p in x])) for w, x in mixed.items())
+        known = self.known
+        plain = {w for w in new if w.isalpha()}  # ASCII letters alone
+        mixed = {w: self.split(w) for w in new - plain}
+        parts = {p for x in mixed.values() for p in x if p not in known} - plain
+        letters = {p for p in parts if p.decode().isalpha()}
+        self.learn([*plain, *letters], list(parts - letters))
+        known.update((w, known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x])) for w, x in mixed.items())
 
     def learn(self, letters: list[bytes], other: list[bytes]) -> None:
         for at in range(0, len(letters), 1000):
@@ -83,13 +76,13 @@ class Encoder:
                 other = other + group
                 continue
             raw, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.parts.update((w, raw[i:j]) for w, i, j in zip(group, ends, ends[1:], strict=False))
+            self.known.update((w, raw[i:j]) for w, i, j in zip(group, ends, ends[1:], strict=False))
         found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-        self.parts.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found, strict=True))
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found, strict=True))
 
     @staticmethod
     def split(word: bytes) -> list[bytes]:
-        return [word] if b"'" in word or b"<|" in word else EDGE.split(word.lower())
+        return [word] if b"'" in word or b"<|" in word else EDGE.split(word)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -102,11 +95,32 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def terms(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashed terms of a text's words and how often each occurs."""
-    h = np.sort(np.fromiter(map(crc32, words), np.uint32, len(words)) & np.uint32(TERMS - 1)).astype(np.int32)
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
-    return h[first], np.diff(np.append(first, len(h)))
+class Words:
+    """The white-space separated words of a batch of texts, A-Z lower-cased, coded by the distinct ones."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.fill_null("")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # a special token's name has a case
+        lists = pc.ascii_split_whitespace(texts)
+        flat = lists.flatten().dictionary_encode()
+        _, offsets, raw = flat.dictionary.buffers()
+        raw, ends = raw.to_pybytes() if raw else b"", np.frombuffer(offsets, np.int32)[: len(flat.dictionary) + 1].tolist()
+        self.distinct: list[bytes] = [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        codes, self.n = flat.indices.to_numpy(), len(texts)
+        doc = np.repeat(np.arange(self.n), np.diff(lists.offsets.to_numpy()))
+        if b"" in self.distinct:  # before leading white space and after trailing
+            full = codes != self.distinct.index(b"")
+            codes, doc = codes[full], doc[full]
+        self.codes, self.doc = codes, doc
+        self.cut = np.searchsorted(doc, np.arange(self.n + 1))
+
+    def terms(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct hashed terms of all texts, one text after the other; how often each occurs there; where each text's begin."""
+        h = np.fromiter(map(crc32, self.distinct), np.int64, len(self.distinct)) & (TERMS - 1)
+        key = np.sort(self.doc * TERMS + h[self.codes])
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        key = key[first]
+        return (key % TERMS).astype(np.int32), np.diff(np.append(first, len(self.codes))), np.searchsorted(key, np.arange(self.n + 1) * TERMS)
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int, float]:
@@ -115,11 +129,11 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int, f
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, length = np.zeros(TERMS, np.int64), 0, 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                own, tf = terms(space_words(t))
-                df[own] += 1
-                n += 1
-                length += int(tf.sum())
+            for at in range(0, b.num_rows, 1000):
+                words = Words(b.column(0).slice(at, 1000))
+                df += np.bincount(words.terms()[0], minlength=TERMS)
+                n += words.n
+                length += len(words.codes)
         if n:
             yield part(df, n, length)
 
@@ -270,11 +284,14 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), OUT.types, strict=True)], schema=OUT)
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
-                words = [space_words(t) for t in b.column(1).to_pylist()]
-                for doc, own, ids in zip(b.column(0).to_pylist(), words, encode(words), strict=True):
-                    shard.add(doc, ids + end, *terms(own))
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                words = Words(b.column(1))
+                ids = encode(words.distinct)
+                own, tf, cut = words.terms()
+                for i, doc in enumerate(b.column(0).to_pylist()):
+                    codes = words.codes[words.cut[i] : words.cut[i + 1]].tolist()
+                    shard.add(doc, b"".join(map(ids.__getitem__, codes)) + end, own[cut[i] : cut[i + 1]], tf[cut[i] : cut[i + 1]])
                     if shard.tokens >= shard_tokens:
                         yield flush()
         if shard.docs:
