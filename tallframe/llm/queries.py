@@ -10,6 +10,7 @@ from tallframe.llm.decontam import decontaminate
 from tallframe.llm.fingerprint import fingerprints
 from tallframe.llm.jaccard import jaccard_classes
 from tallframe.llm.langid import fit, identify
+from tallframe.llm.lines import dedup_lines
 from tallframe.llm.packing import pack
 from tallframe.llm.substring import dedup_substrings
 
@@ -49,6 +50,10 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
@@ -56,4 +61,5 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_jaccard": op8_jaccard,
     "op9_fingerprint": op9_fingerprint,
+    "op10_lines": op10_lines,
 }
