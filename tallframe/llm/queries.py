@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallframe.llm.decontam import decontaminate
 from tallframe.llm.fingerprint import fingerprints
+from tallframe.llm.html import extract_text
 from tallframe.llm.jaccard import jaccard_classes
 from tallframe.llm.langid import fit, identify
 from tallframe.llm.lines import dedup_lines
@@ -30,6 +31,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_substrings(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -57,6 +62,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
+    "op4_html": op4_html,
     "op6_substrings": op6_substrings,
     "op7_language": op7_language,
     "op8_jaccard": op8_jaccard,
