@@ -192,13 +192,17 @@ class Shard:
         self.post_term, self.post_at = np.unique(term[order], return_index=True)
         self.post_end = np.append(self.post_at[1:], len(order))
 
-    def neighbours(self, doc: int) -> np.ndarray:
-        """The shard's documents by falling BM25 score for this document's terms, those with none last."""
+    def neighbours(self, doc: int, used: np.ndarray) -> Iterator[int]:
+        """The shard's unused documents by falling BM25 score for this document's terms, those with none last."""
         k = np.searchsorted(self.post_term, self.terms[doc])
         start, many = self.post_at[k], self.post_end[k] - self.post_at[k]
         at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
-        score = np.bincount(self.post_doc[at], self.post_weight[at], len(self.docs))
-        return np.argsort(-score, kind="stable")
+        score = -np.bincount(self.post_doc[at], self.post_weight[at], len(self.docs))
+        left = np.flatnonzero(~used)
+        while len(left):  # few are needed: sort the best 32, then the best of the rest
+            best = left[np.argpartition(score[left], 31)[:32]] if len(left) > 64 else left
+            yield from best[np.argsort(score[best], kind="stable")].tolist()
+            left = np.setdiff1d(left, best, assume_unique=True)
 
     def pack(self, window: int) -> list[list[tuple[int, int, int]]]:
         """Sequences, each a list of pieces (document, start, length)."""
@@ -233,11 +237,10 @@ class Shard:
                 place(seed)
                 opened = seed
             before = len(out)
-            for doc in self.neighbours(opened):
+            for doc in self.neighbours(opened, used):
                 if len(out) > before or not pieces:
                     break
-                if not used[doc]:
-                    place(int(doc))
+                place(doc)
         while pieces:  # the last window, in powers of two
             n = 1 << ((window - room).bit_length() - 1)
             head, left = [], n
