@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 TERMS, END = 1 << 18, 2
+BATCH = 2000  # documents that are split into words at once
 OUT = pa.schema({"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "ids": pa.binary()})
 
 
@@ -53,10 +54,11 @@ class Encoder:
         """The ids of each of the words."""
         if len(self.known) > self.most:
             self.known.clear()
-        new = {w for w in words if w not in self.known}
-        if new:
-            self.remember(new)
-        return list(map(self.known.__getitem__, words))
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            self.remember({w for w, x in zip(words, ids, strict=True) if x is None})
+            ids = [self.known[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        return ids
 
     def remember(self, new: set[bytes]) -> None:
         known = self.known
@@ -129,8 +131,8 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int, f
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, length = np.zeros(TERMS, np.int64), 0, 0
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                words = Words(b.column(0).slice(at, 1000))
+            for at in range(0, b.num_rows, BATCH):
+                words = Words(b.column(0).slice(at, BATCH))
                 df += np.bincount(words.terms()[0], minlength=TERMS)
                 n += words.n
                 length += len(words.codes)
@@ -287,8 +289,8 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), OUT.types, strict=True)], schema=OUT)
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, BATCH):
+                b = whole.slice(at, BATCH)
                 words = Words(b.column(1))
                 ids = encode(words.distinct)
                 own, tf, cut = words.terms()
