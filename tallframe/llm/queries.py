@@ -13,9 +13,14 @@ from tallframe.llm.jaccard import jaccard_classes
 from tallframe.llm.langid import fit, identify
 from tallframe.llm.lines import dedup_lines
 from tallframe.llm.packing import pack
+from tallframe.llm.pii import replace_pii
 from tallframe.llm.substring import dedup_substrings
 
 
+#: A stand-in: production takes the key from its vault.
+KEY = "corpus-surrogates"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +36,10 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY).withColumn("kinds", F.to_json("kinds"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -62,6 +71,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
+    "op3_pii": op3_pii,
     "op4_html": op4_html,
     "op6_substrings": op6_substrings,
     "op7_language": op7_language,
