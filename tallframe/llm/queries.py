@@ -12,6 +12,7 @@ from tallframe.llm.html import extract_text
 from tallframe.llm.jaccard import jaccard_classes
 from tallframe.llm.langid import fit, identify
 from tallframe.llm.lines import dedup_lines
+from tallframe.llm.lm import score_documents
 from tallframe.llm.packing import pack
 from tallframe.llm.pii import replace_pii
 from tallframe.llm.substring import dedup_substrings
@@ -44,6 +45,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_substrings(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -73,6 +78,7 @@ QUERIES = {
     "op2_pack": op2_pack,
     "op3_pii": op3_pii,
     "op4_html": op4_html,
+    "op5_perplexity": op5_perplexity,
     "op6_substrings": op6_substrings,
     "op7_language": op7_language,
     "op8_jaccard": op8_jaccard,

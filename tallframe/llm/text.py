@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -35,6 +36,24 @@ def folded_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words ``[^\\x20\\x09-\\x0D]+`` of texts with A-Z lower-cased; each word's place among these, text after text; each word's text. Null has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = lists.flatten().dictionary_encode()
+    _, offsets, raw = flat.dictionary.buffers()
+    raw, ends = raw.to_pybytes() if raw else b"", np.frombuffer(offsets, np.int32)[: len(flat.dictionary) + 1].tolist() if offsets else [0]
+    distinct = [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+    codes = flat.indices.to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    if b"" in distinct:  # before leading white space and after trailing
+        k = distinct.index(b"")
+        full = codes != k
+        codes, doc = codes[full], doc[full]
+        codes -= codes > k
+        del distinct[k]
+    return distinct, codes, doc
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
