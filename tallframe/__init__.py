@@ -1 +1 @@
-"""Spark-native analytics on tall feature tables and training-data corpora."""
+"""Time-aligned signal features as tall Spark tables."""

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Column functions: scales, labels, comparisons and rounding."""

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Operators on tall tables ``stim, n, x`` and array tables ``stim, frame, v``."""

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Readers and writers: tables, annotation files, waveforms, feature stores."""

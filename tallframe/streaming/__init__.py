@@ -1 +1 @@
-"""See the modules of this package."""
+"""Streams of samples in buffered frames."""
