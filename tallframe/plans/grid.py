@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tallframe.operators import grid, stats
 from tallframe.plans.common import SAMPLES, Query, rounded
-from tallframe.sources.tables import samples
+from tallframe.sources.tables import samples, signals
 
 KERNEL, STRIDE = 16, 10
 HOURS6 = 21600.0
 
 
 def stim_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = samples(spark, sf_dir).groupBy("stim").agg(F.count("*").alias("n_samples"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    own = signals(spark, sf_dir).groupBy("stim").agg(F.count("*").alias("n_samples"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
     return own.orderBy("stim")
 
 
@@ -49,7 +49,7 @@ def combine_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples at seconds since the stimulus's first, and 100 s before it."""
-    s = samples(spark, sf_dir)
+    s = signals(spark, sf_dir)
     start = s.groupBy("stim").agg(F.min("us").alias("us0"))
     return s.join(start, "stim").groupBy("stim", ((F.col("us") - F.col("us0")) / 1e6 + 100).alias("t")).agg(F.min("x").alias("x"))
 

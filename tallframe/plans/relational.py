@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallframe.functions import columns as C
 from tallframe.operators import annotate, joins, stats
 from tallframe.plans.common import SAMPLES, Query, rounded
-from tallframe.sources.tables import samples, table
+from tallframe.sources.tables import signals, table
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 TOKEN = r"[^\s]+"
@@ -22,7 +22,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as intervals in hours since January 2024 that last a twentieth of their value."""
     onset = (F.col("us") - 1_704_067_200_000_000) / 3.6e9
-    return samples(spark, sf_dir).select("stim", "label", onset.alias("onset"), (onset + F.col("x") / 20).alias("offset"))
+    return signals(spark, sf_dir).select("stim", "label", onset.alias("onset"), (onset + F.col("x") / 20).alias("offset"))
 
 
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def lowprob_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotate.label_counts(annotate.set_merged(samples(spark, sf_dir), ["click", "view"])).orderBy("label")
+    return annotate.label_counts(annotate.set_merged(signals(spark, sf_dir), ["click", "view"])).orderBy("label")
 
 
 def clean_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ def subband_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = samples(spark, sf_dir)
+    s = signals(spark, sf_dir)
     mask: Column = F.when(F.col("event_id") % 5 != 0, F.col("label") == "click")
     return annotate.masked(s, mask).select("event_id", "label")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallframe.operators import match, pca, stats
 from tallframe.plans.common import SAMPLES, Query, rounded
-from tallframe.sources.tables import samples, table
+from tallframe.sources.tables import signals, table
 
 #: A target distribution: values and the cumulative share there.
 TARGET = [(0.0, 0.0), (10.0, 0.25), (20.0, 0.75), (40.0, 1.0)]
@@ -15,7 +15,7 @@ TARGET = [(0.0, 0.0), (10.0, 0.25), (20.0, 0.75), (40.0, 1.0)]
 
 def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Samples of even users as originals and of odd users as synthetic, by label as the channel, numbered by event."""
-    s = samples(spark, sf_dir).select(F.col("label").alias("channel"), "stim", F.col("event_id").alias("n"), "x")
+    s = signals(spark, sf_dir).select(F.col("label").alias("channel"), "stim", F.col("event_id").alias("n"), "x")
     return s.where("stim % 2 = 0"), s.where("stim % 2 = 1")
 
 
@@ -24,7 +24,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stim_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = stats.moments(samples(spark, sf_dir), ["stim"])
+    m = stats.moments(signals(spark, sf_dir), ["stim"])
     return m.select("stim", *[rounded(c).alias(c) for c in ("mean", "var", "skew", "kurt")])
 
 
@@ -34,15 +34,15 @@ def weighted_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rms_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.scaled(samples(spark, sf_dir), ["stim"], 0.01).select("event_id", rounded("x", 8).alias("x"))
+    return stats.scaled(signals(spark, sf_dir), ["stim"], 0.01).select("event_id", rounded("x", 8).alias("x"))
 
 
 def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.standardised(samples(spark, sf_dir), ["stim"]).select("event_id", rounded("x").alias("x"))
+    return stats.standardised(signals(spark, sf_dir), ["stim"]).select("event_id", rounded("x").alias("x"))
 
 
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.histogram(samples(spark, sf_dir), ["label"], 20, F.lit(0.0), F.lit(500.0)).select("label", "bin", "n", rounded("p").alias("p"))
+    return stats.histogram(signals(spark, sf_dir), ["label"], 20, F.lit(0.0), F.lit(500.0)).select("label", "bin", "n", rounded("p").alias("p"))
 
 
 def js_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def energy_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def significant_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = samples(spark, sf_dir).groupBy("stim").agg(F.var_pop("x").alias("var"))
+    bands = signals(spark, sf_dir).groupBy("stim").agg(F.var_pop("x").alias("var"))
     return stats.significant(bands, 1.5).select("stim", "significant")
 
 

@@ -18,10 +18,15 @@ def micros(ts: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples without their numbers, ``stim, us, event_id, label, x``: users are stimuli. No shuffle."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("stim"), micros("ts").alias("us"), "event_id", F.col("event_type").alias("label"), F.col("value").alias("x"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as samples ``stim, n, us, event_id, label, x``: users are stimuli, ``n`` numbers a user's events in time.
+    """``signals`` with ``n``, which numbers a user's events in time from 0.
 
     Events are numbered within days, and the counts of the days before are added: no stimulus is one group.
     """
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("stim"), micros("ts").alias("us"), "event_id", F.col("event_type").alias("label"), F.col("value").alias("x"))
-    return ranked(events, ["stim"], F.floor(F.col("us") / 86_400_000_000), ["us", "event_id"], "n").select("stim", "n", "us", "event_id", "label", "x")
+    own = ranked(signals(spark, sf_dir), ["stim"], F.floor(F.col("us") / 86_400_000_000), ["us", "event_id"], "n")
+    return own.select("stim", "n", "us", "event_id", "label", "x")
