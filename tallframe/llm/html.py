@@ -1,9 +1,9 @@
 """Main text of web pages: landmarks of the markup, and suffix arrays of each host's token streams.
 
-Markup, scripts and what the page itself names as menus, headers, footers, notices and the like go. What
-stands in an article or main element is the page's text. The other blocks of a host's pages are judged
-together: a suffix array over their concatenated words finds substrings of ``least`` words or more that
-occur on ``pages`` distinct pages; these are boilerplate, the runs between them stay.
+Markup, scripts and what the page itself names as menus, headers, footers, notices and the like go. All other
+blocks of a host's pages are judged together: a suffix array over their concatenated words finds substrings of
+``least`` words or more that occur on ``pages`` distinct pages; these are boilerplate, the runs between them stay.
+Of what stays of a page with article or main elements, blocks outside them go, unless they hold more words.
 
 Pages of one host meet in groups of bounded size; a large host has several, each of which sees
 enough of its pages to know what they repeat.
@@ -102,7 +102,7 @@ def blocks(page: str | None) -> tuple[list[str], list[bool]]:
         if t and (text := " ".join(html.unescape("".join(t)).split())):
             out.append(text)
             main.append(i)
-    return (out, main) if not any(main) else ([t for t, i in zip(out, main, strict=True) if i], [True] * sum(main))
+    return out, main
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,21 +177,24 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
 
     def parse(b: dict[str, list]) -> dict[str, list]:
         found = [blocks(x) for x in b["html"]]
-        return {"blocks": [x for x, _ in found], "kept": [all(y) for _, y in found]}
+        return {"blocks": [x for x, _ in found], "inside": [y for _, y in found]}
 
-    parsed = map_batches(rows, {"blocks": "array<string>", "kept": "boolean"}, parse, read=["html"], keep=["page_id", "url", "host", "part"])
+    parsed = map_batches(rows, {"blocks": "array<string>", "inside": "array<boolean>"}, parse, read=["html"], keep=["page_id", "url", "host", "part"])
 
     def judge(t: pa.Table) -> pa.Table:
-        of, kept = t.column("blocks").to_pylist(), t.column("kept").to_pylist()
+        of = t.column("blocks").to_pylist()
+        inside = [x for b in t.column("inside").to_pylist() for x in b]
         words = [x.split(" ") for b in of for x in b]
         page = np.repeat(np.arange(len(of)), [len(b) for b in of])
-        out: list[list[str]] = [[] for _ in of]
         covered = repeated(words, page, least, on) if words else []
-        for w, p, c in zip(words, page.tolist(), covered, strict=True):
-            if kept[p] or not c.any():
+        left = [[x for x, y in zip(w, c.tolist(), strict=True) if not y] for w, c in zip(words, covered, strict=True)]
+        lead = np.zeros(len(of), np.int64)  # words that stay inside landmarks, less those that stay outside
+        np.add.at(lead, page, [len(w) if i else -len(w) for w, i in zip(left, inside, strict=True)])
+        out: list[list[str]] = [[] for _ in of]
+        marked = set(page[np.array(inside, bool)].tolist())
+        for w, p, i in zip(left, page.tolist(), inside, strict=True):
+            if w and (i or p not in marked or lead[p] < 0):
                 out[p].append(" ".join(w))
-            elif not c.all():
-                out[p].append(" ".join([x for x, y in zip(w, c.tolist(), strict=True) if not y]))
         texts = ["\n\n".join(x) for x in out]
         return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
 
