@@ -5,18 +5,20 @@ blocks of a host's pages are judged together: a suffix array over their concaten
 ``least`` words or more that occur on ``pages`` distinct pages; these are boilerplate, the runs between them stay.
 Of what stays of a page with article or main elements, blocks outside them go, unless they hold more words.
 
-Pages of one host meet in groups of bounded size; a large host has several, each of which sees
-enough of its pages to know what they repeat.
+Pages of one host meet in groups of bounded size. A large host has several, which exchange hashes of their
+windows of ``least`` words (and of whole shorter blocks): the numbers of pages that hold each are added up over
+the host, and each group hears which of its own occur on enough pages.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallframe.llm.text import map_batches
@@ -158,6 +160,22 @@ def repeated(words: list[list[str]], page: np.ndarray, least: int, pages: int) -
     return [np.full(len(w), len(short[tuple(w)]) >= pages) if len(w) < least else c for w, c in zip(words, out, strict=True)]
 
 
+def windows(words: list[list[str]], least: int) -> list[np.ndarray]:
+    """64-bit hashes of each block's windows of ``least`` words; a shorter block has one, of the whole."""
+    code: dict[str, int] = {}
+    out = []
+    for w in words:
+        for x in w:
+            if x not in code:
+                code[x] = int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+        codes, width = np.array([code[x] for x in w], np.uint64), min(len(w), least)
+        sums = np.full(len(w) - width + 1, width, np.uint64)
+        for k in range(width):
+            sums = sums * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(w) - width + 1 + k]
+        out.append(sums.view(np.int64))
+    return out
+
+
 def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html_: str = "html", least: int = 8, on: int = 3, group: int = 300) -> DataFrame:
     """The main text of each page: ``page_id, url, text, n_chars``.
 
@@ -171,7 +189,8 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[^:/?#]+:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html_).alias("html"), host.alias("host"))
     large = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group).select("host", F.ceil(F.col("n") / group).cast("int").alias("groups"))
-    if large.count() <= 100_000:
+    split = large.count()
+    if split <= 100_000:
         large = F.broadcast(large)
     rows = rows.join(large, "host", "left").withColumn("part", F.expr("pmod(xxhash64(page_id, url, html), coalesce(groups, 1))").cast("int"))
 
@@ -179,14 +198,26 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
         found = [blocks(x) for x in b["html"]]
         return {"blocks": [x for x, _ in found], "inside": [y for _, y in found]}
 
-    parsed = map_batches(rows, {"blocks": "array<string>", "inside": "array<boolean>"}, parse, read=["html"], keep=["page_id", "url", "host", "part"])
+    parsed = map_batches(rows, {"blocks": "array<string>", "inside": "array<boolean>"}, parse, read=["html"], keep=["page_id", "url", "host", "part", "groups"])
+
+    def tell(t: pa.Table) -> pa.Table:
+        of = [np.unique(np.concatenate(windows([x.split(" ") for x in b], least))) for b in t.column("blocks").to_pylist() if b]
+        hashes, n = np.unique(np.concatenate(of), return_counts=True) if of else (np.array([], np.int64), np.array([], np.int64))
+        key = {c: pa.repeat(t.column(c)[0], len(hashes)) for c in ("host", "part")}
+        return pa.table({**key, "hash": pa.array(hashes, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    def judge(t: pa.Table) -> pa.Table:
+    def judge(t: pa.Table, heard: pa.Table | None) -> pa.Table:
         of = t.column("blocks").to_pylist()
         inside = [x for b in t.column("inside").to_pylist() for x in b]
         words = [x.split(" ") for b in of for x in b]
         page = np.repeat(np.arange(len(of)), [len(b) for b in of])
         covered = repeated(words, page, least, on) if words else []
+        if heard is not None and heard.num_rows:
+            found = windows(words, least)
+            often = np.isin(np.concatenate(found), heard.column("hash").to_numpy()) if found else np.array([], bool)
+            for c, x in zip(covered, np.split(often, np.cumsum([len(x) for x in found])[:-1]) if found else [], strict=True):
+                for at in np.flatnonzero(x):
+                    c[at : at + least] = True
         left = [[x for x, y in zip(w, c.tolist(), strict=True) if not y] for w, c in zip(words, covered, strict=True)]
         lead = np.zeros(len(of), np.int64)  # words that stay inside landmarks, less those that stay outside
         np.add.at(lead, page, [len(w) if i else -len(w) for w, i in zip(left, inside, strict=True)])
@@ -199,4 +230,10 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
         return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
 
     kind = pages.schema[page_id].dataType.simpleString()
-    return parsed.groupBy("host", "part").applyInArrow(judge, f"page_id {kind}, url string, text string, n_chars bigint")
+    schema = f"page_id {kind}, url string, text string, n_chars bigint"
+    if not split:
+        return parsed.groupBy("host", "part").applyInArrow(lambda t: judge(t, None), schema)
+    told = parsed.where("groups > 1").groupBy("host", "part").applyInArrow(tell, "host string, part int, hash bigint, n bigint")
+    over = Window.partitionBy("host", "hash")
+    heard = told.select("host", "part", "hash", F.sum("n").over(over).alias("n"), F.count("*").over(over).alias("k")).where((F.col("n") >= on) & (F.col("k") > 1)).select("host", "part", "hash")
+    return parsed.groupBy("host", "part").cogroup(heard.groupBy("host", "part")).applyInArrow(judge, schema)

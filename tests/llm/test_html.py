@@ -14,3 +14,11 @@ def test_boilerplate_inside_articles_goes_and_text_outside_a_teaser_stays(spark)
     pages.append((9, "https://b.org/", f"<div>{body}</div><article>Read on</article>"))
     got = texts(spark, pages)
     assert got[2] == "Story 2 has words of its own about topic2" and got[9] == f"{body}\n\nRead on"
+
+
+def test_groups_of_a_host_know_what_the_host_repeats(spark):
+    """In groups of about two pages, what five of forty pages hold goes, as it does in one group; short blocks too."""
+    notice = "<p>Please support this site by telling all of your friends about it</p><p>Share this</p>"
+    pages = [(k, f"https://a.org/{k}", f"<p>Story {k} has words of its own about topic{k}</p>{notice if k % 8 == 0 else ''}") for k in range(40)]
+    got = texts(spark, pages, group=2)
+    assert got == texts(spark, pages, group=300) == {k: f"Story {k} has words of its own about topic{k}" for k in range(40)}
