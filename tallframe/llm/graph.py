@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: So many links' ids are broadcast; of more links, only ids that one link in ``HUB`` touches, of which there are at most twice as many.
+FEW, HUB = 300_000, 1000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -22,24 +26,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def least_neighbours(links: DataFrame, low: DataFrame, many: int) -> DataFrame:
+    """Links ``u, v`` with the least neighbour ``m`` of ``u``; the links of a hub stay where they are."""
+    if many <= FEW:
+        return links.join(F.broadcast(low), "u")
+    hubs = F.broadcast(low.where(F.col("n") * HUB > many))
+    return links.join(hubs, "u").unionByName(links.join(hubs, "u", "left_anti").join(low, "u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """From links ``u, v`` (bigint, any order, repeats and self links allowed) to ``id, root``: the least id that each id is connected with.
 
     Only ids with a link to another appear, the root itself included. Large-star and small-star rounds
     alternate until nothing changes; each keeps at most one link an id and neighbour, and a hub's links
-    are joined to its least neighbour, never gathered. No links give no rows.
+    are joined to its least neighbour by broadcast, never gathered. No links give no rows.
     """
+
+    def mark(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     now = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
+    seen = mark(now)
+    while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = least_neighbours(both.where("v > u"), low, seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = least_neighbours(large, least, seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        last, seen = seen, mark(now)
+        if seen == last:
             break
-        seen = mark
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
