@@ -5,14 +5,13 @@ blocks of a host's pages are judged together: a suffix array over their concaten
 ``least`` words or more that occur on ``pages`` distinct pages; these are boilerplate, the runs between them stay.
 Of what stays of a page with article or main elements, blocks outside them go, unless they hold more words.
 
-Pages of one host meet in groups of bounded size. A large host has several, which exchange hashes of their
+Pages of one host meet in groups of bounded size. A large host has several, whose pages exchange hashes of their
 windows of ``least`` words (and of whole shorter blocks): the numbers of pages that hold each are added up over
-the host, and each group hears which of its own occur on enough pages.
+the host, and each group hears which of its own occur on enough pages, so groups bound memory and change no result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallframe.llm.text import map_batches
+from tallframe.llm.text import hashes, map_batches, mix
 
 #: Elements and names of parts that aren't a page's text.
 RAW = "script style noscript template textarea iframe object svg head title select"
@@ -29,7 +28,10 @@ CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "button"}
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
+#: A tag ends before the next one begins, so that tags that never close are passed in one step each.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
+#: Most bytes of html in a group, unless a page has more.
+GROUP_BYTES = 24 << 20
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -52,6 +54,12 @@ def blocks(page: str | None) -> tuple[list[str], list[bool]]:
     inside: list[bool] = [False]
     open_: list[tuple[str, bool, bool]] = []  # tag, whether it is an article, whether it is set apart
     articles = apart = 0
+    last: dict[str, int] = {}  # where each tag is closed last
+
+    def closed_after(tag: str, at: int) -> bool:
+        if tag not in last:
+            last[tag] = max((m.start() for m in re.finditer(f"</{re.escape(tag)}", page, re.I)), default=-1)
+        return last[tag] >= at
 
     def close(to: int) -> None:
         nonlocal articles, apart
@@ -85,7 +93,7 @@ def blocks(page: str | None) -> tuple[list[str], list[bool]]:
         elif tag != "hr" and not m["more"].endswith("/"):
             if tag in ("article", "main") and apart and not articles:
                 first = next(k for k, x in enumerate(open_) if x[2])
-                if f"</{open_[first][0]}" not in page[at:].lower():
+                if not closed_after(open_[first][0], at):
                     close(first)  # what was set apart was never closed
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and open_ and open_[-1][0] == tag:
                 close(len(open_) - 1)
@@ -163,48 +171,49 @@ def repeated(words: list[list[str]], page: np.ndarray, least: int, pages: int) -
 def windows(words: list[list[str]], least: int) -> list[np.ndarray]:
     """64-bit hashes of each block's windows of ``least`` words; a shorter block has one, of the whole."""
     code: dict[str, int] = {}
+    places = [np.fromiter((code.setdefault(x, len(code)) for x in w), np.int64, len(w)) for w in words]
+    of = hashes([x.encode("utf-8", "surrogatepass") for x in code])
     out = []
-    for w in words:
-        for x in w:
-            if x not in code:
-                code[x] = int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
-        codes, width = np.array([code[x] for x in w], np.uint64), min(len(w), least)
+    for w in places:
+        codes, width = of[w], min(len(w), least)
         sums = np.full(len(w) - width + 1, width, np.uint64)
         for k in range(width):
             sums = sums * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(w) - width + 1 + k]
-        out.append(sums.view(np.int64))
+        out.append(mix(sums).view(np.int64))
     return out
 
 
-def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html_: str = "html", least: int = 8, on: int = 3, group: int = 300) -> DataFrame:
+def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html_: str = "html", least: int = 8, on: int = 3, group: int = 4000) -> DataFrame:
     """The main text of each page: ``page_id, url, text, n_chars``.
 
     Blocks have single spaces for white space and are joined by two line feeds; character references are
     decoded. A null or empty page has an empty text, and so has one without text. A null url is a host of
-    its own name. Repeated rows each have a result. An empty table gives no rows; other columns aren't read.
-    ``least``: words of a repeated substring; ``on``: pages that hold it; ``group``: about how many pages are
-    compared at once.
+    its own name. Repeated rows each have a result and count as pages of their own. An empty table gives no rows;
+    other columns aren't read. ``least``: words of a repeated substring; ``on``: pages that hold it; ``group``: about
+    how many pages at most are compared at once.
     """
-    spark = pages.sparkSession
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[^:/?#]+:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html_).alias("html"), host.alias("host"))
-    large = rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group).select("host", F.ceil(F.col("n") / group).cast("int").alias("groups"))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html_).alias("html"), F.xxhash64(host).alias("host"))
+    parts = F.ceil(F.greatest(F.count("*") / group, F.sum(F.octet_length("html")) / GROUP_BYTES)).cast("int")
+    large = rows.groupBy("host").agg(parts.alias("groups")).where("groups > 1")
     split = large.count()
     if split <= 100_000:
         large = F.broadcast(large)
-    rows = rows.join(large, "host", "left").withColumn("part", F.expr("pmod(xxhash64(page_id, url, html), coalesce(groups, 1))").cast("int"))
+    rows = rows.join(large, "host", "left")
+    rows = rows.withColumn("part", F.expr("xxhash64(host, pmod(xxhash64(page_id, url, html), coalesce(groups, 1)))"))
 
     def parse(b: dict[str, list]) -> dict[str, list]:
         found = [blocks(x) for x in b["html"]]
         return {"blocks": [x for x, _ in found], "inside": [y for _, y in found]}
 
-    parsed = map_batches(rows, {"blocks": "array<string>", "inside": "array<boolean>"}, parse, read=["html"], keep=["page_id", "url", "host", "part", "groups"])
+    def tell(b: dict[str, list]) -> dict[str, list]:
+        of = []
+        for page, at in zip(b["html"], b["host"], strict=True):
+            found = windows([x.split(" ") for x in blocks(page)[0]], least)
+            of.append(np.unique(np.concatenate(found)) ^ np.int64(at) if found else np.array([], np.int64))
+        return {"hashes": of}
 
-    def tell(t: pa.Table) -> pa.Table:
-        of = [np.unique(np.concatenate(windows([x.split(" ") for x in b], least))) for b in t.column("blocks").to_pylist() if b]
-        hashes, n = np.unique(np.concatenate(of), return_counts=True) if of else (np.array([], np.int64), np.array([], np.int64))
-        key = {c: pa.repeat(t.column(c)[0], len(hashes)) for c in ("host", "part")}
-        return pa.table({**key, "hash": pa.array(hashes, pa.int64()), "n": pa.array(n, pa.int64())})
+    parsed = map_batches(rows, {"blocks": "array<string>", "inside": "array<boolean>"}, parse, read=["html"], keep=["page_id", "url", "part", "host"])
 
     def judge(t: pa.Table, heard: pa.Table | None) -> pa.Table:
         of = t.column("blocks").to_pylist()
@@ -214,7 +223,8 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
         covered = repeated(words, page, least, on) if words else []
         if heard is not None and heard.num_rows:
             found = windows(words, least)
-            often = np.isin(np.concatenate(found), heard.column("hash").to_numpy()) if found else np.array([], bool)
+            own = t.column("host")[0].as_py()
+            often = np.isin(np.concatenate(found) ^ np.int64(own), heard.column("_hash").to_numpy()) if found else np.array([], bool)
             for c, x in zip(covered, np.split(often, np.cumsum([len(x) for x in found])[:-1]) if found else [], strict=True):
                 for at in np.flatnonzero(x):
                     c[at : at + least] = True
@@ -232,8 +242,9 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     kind = pages.schema[page_id].dataType.simpleString()
     schema = f"page_id {kind}, url string, text string, n_chars bigint"
     if not split:
-        return parsed.groupBy("host", "part").applyInArrow(lambda t: judge(t, None), schema)
-    told = parsed.where("groups > 1").groupBy("host", "part").applyInArrow(tell, "host string, part int, hash bigint, n bigint")
-    over = Window.partitionBy("host", "hash")
-    heard = told.select("host", "part", "hash", F.sum("n").over(over).alias("n"), F.count("*").over(over).alias("k")).where((F.col("n") >= on) & (F.col("k") > 1)).select("host", "part", "hash")
-    return parsed.groupBy("host", "part").cogroup(heard.groupBy("host", "part")).applyInArrow(judge, schema)
+        return parsed.groupBy("part").applyInArrow(lambda t: judge(t, None), schema)
+    told = map_batches(rows.where("groups > 1"), {"hashes": "array<bigint>"}, tell, read=["html", "host"], keep=["part"]).select("part", F.explode("hashes").alias("hash"))
+    over = Window.partitionBy("hash")
+    heard = told.select("part", "hash", F.count("*").over(over).alias("n"), F.min("part").over(over).alias("low"), F.max("part").over(over).alias("high"))
+    heard = heard.where((F.col("n") >= on) & (F.col("low") < F.col("high"))).select("part", F.col("hash").alias("_hash")).distinct()
+    return parsed.groupBy("part").cogroup(heard.groupBy("part")).applyInArrow(judge, schema)

@@ -1,6 +1,10 @@
 """Main text of pages: the host's pages decide, landmarks are further evidence."""
 
-from tallframe.llm.html import extract_text
+import random
+import time
+from collections import Counter
+
+from tallframe.llm.html import blocks, extract_text
 
 
 def texts(spark, pages, **more):
@@ -22,3 +26,39 @@ def test_groups_of_a_host_know_what_the_host_repeats(spark):
     pages = [(k, f"https://a.org/{k}", f"<p>Story {k} has words of its own about topic{k}</p>{notice if k % 8 == 0 else ''}") for k in range(40)]
     got = texts(spark, pages, group=2)
     assert got == texts(spark, pages, group=300) == {k: f"Story {k} has words of its own about topic{k}" for k in range(40)}
+
+
+def test_a_host_of_a_thousand_pages_against_brute_force(spark):
+    """Windows of three words or more that three pages hold go wherever they stand, for groups of any size."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(4000)]
+    common = [" ".join(rng.choices(words, k=rng.randint(3, 6))) for _ in range(30)]
+    pages, blocks = [], []
+    for k in range(1000):
+        mine = [" ".join(rng.choices(words, k=12)) for _ in range(2)]
+        mine[0] += " " + rng.choice(common)
+        blocks.append(mine)
+        pages.append((k, "https://a.org/x", "".join(f"<p>{b}</p>" for b in mine)))
+    held = Counter(w for mine in blocks for w in {tuple(x[j : j + 3]) for b in mine for x in [b.split()] for j in range(len(x) - 2)})
+    wanted = {}
+    for k, mine in enumerate(blocks):
+        left = []
+        for b in mine:
+            x = b.split()
+            gone = {j + i for j in range(len(x) - 2) if held[tuple(x[j : j + 3])] >= 3 for i in range(3)}
+            left.append(" ".join(w for j, w in enumerate(x) if j not in gone))
+        wanted[k] = "\n\n".join(b for b in left if b)
+    assert any(n >= 3 for n in held.values())
+    for group in (30, 400, 4000):
+        assert texts(spark, pages, least=3, group=group) == wanted
+
+
+def test_broken_and_odd_pages(spark):
+    """A megabyte of tags that never close, nulls, repeated rows and an empty table."""
+    start = time.perf_counter()
+    assert blocks("<a " * 350_000)[0] == [" ".join(["<a"] * 350_000)]
+    assert time.perf_counter() - start < 5
+    assert blocks("<div class=menu>x" + "<article>y" * 20_000)[0][0] == "y"
+    got = extract_text(spark.createDataFrame([(1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (None, "https://a.org", None), (2, "", "")], "page_id bigint, url string, html string"))
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "", 0)]
+    assert extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
