@@ -2,7 +2,8 @@
 
 Markup, scripts and what the page itself names as menus, headers, footers, notices and the like go. All other
 blocks of a host's pages are judged together: a suffix array over their concatenated words finds substrings of
-``least`` words or more that occur on ``pages`` distinct pages; these are boilerplate, the runs between them stay.
+``least`` words or more and on how many distinct pages they occur. On ``on`` pages they are boilerplate, inside an article or
+main element (whose text may quote or repeat another's) only on a ``share`` of the host's pages; the runs between them stay.
 Of what stays of a page with article or main elements, blocks outside them go, unless they hold more words.
 
 Pages of one host meet in groups of bounded size. A large host has several, whose pages exchange hashes of their
@@ -13,6 +14,7 @@ the host, and each group hears which of its own occur on enough pages, so groups
 from __future__ import annotations
 
 import html
+import math
 import re
 
 import numpy as np
@@ -140,8 +142,8 @@ def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     return order, shared
 
 
-def repeated(words: list[list[str]], page: np.ndarray, least: int, pages: int) -> list[np.ndarray]:
-    """Which words of each block lie in a substring of ``least`` words (a whole block, if it is shorter) that occurs on so many distinct pages."""
+def repeated(words: list[list[str]], page: np.ndarray, least: int, need: np.ndarray) -> list[np.ndarray]:
+    """Which words of each block lie in a substring of ``least`` words (a whole block, if it is shorter) that occurs on as many distinct pages as that block needs."""
     code: dict[str, int] = {}
     parts, starts, at = [], [], 0
     for k, w in enumerate(words):  # each block ends in a code of its own
@@ -150,13 +152,14 @@ def repeated(words: list[list[str]], page: np.ndarray, least: int, pages: int) -
         parts.append([-1 - k])
         at += len(w) + 1
     stream = np.array([x for p in parts for x in p], np.int64)
-    owner = np.repeat(page, [len(w) + 1 for w in words])
+    sizes = [len(w) + 1 for w in words]
+    owner, enough = np.repeat(page, sizes), np.repeat(need, sizes)
     order, shared = suffix_array(stream, max(least, 2))
     run = np.cumsum(shared < least)
     pairs = np.unique(run * (owner.max() + 1) + owner[order])
     many = np.bincount(pairs // (owner.max() + 1), minlength=run.max() + 1)
     edge = np.zeros(len(stream) + 1, np.int64)
-    hit = order[(many[run] >= pages) & (order + least < len(stream) + 1)]
+    hit = order[(many[run] >= enough[order]) & (order + least < len(stream) + 1)]
     np.add.at(edge, hit, 1)
     np.add.at(edge, np.minimum(hit + least, len(stream)), -1)
     covered = np.cumsum(edge[:-1]) > 0
@@ -165,7 +168,7 @@ def repeated(words: list[list[str]], page: np.ndarray, least: int, pages: int) -
     for w, p in zip(words, page.tolist(), strict=True):
         if len(w) < least:
             short.setdefault(tuple(w), set()).add(p)
-    return [np.full(len(w), len(short[tuple(w)]) >= pages) if len(w) < least else c for w, c in zip(words, out, strict=True)]
+    return [np.full(len(w), len(short[tuple(w)]) >= n) if len(w) < least else c for w, c, n in zip(words, out, need.tolist(), strict=True)]
 
 
 def windows(words: list[list[str]], least: int) -> list[np.ndarray]:
@@ -183,19 +186,19 @@ def windows(words: list[list[str]], least: int) -> list[np.ndarray]:
     return out
 
 
-def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html_: str = "html", least: int = 8, on: int = 3, group: int = 4000) -> DataFrame:
+def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html_: str = "html", least: int = 8, on: int = 3, share: float = 0.5, group: int = 4000) -> DataFrame:
     """The main text of each page: ``page_id, url, text, n_chars``.
 
     Blocks have single spaces for white space and are joined by two line feeds; character references are
     decoded. A null or empty page has an empty text, and so has one without text. A null url is a host of
     its own name. Repeated rows each have a result and count as pages of their own. An empty table gives no rows;
-    other columns aren't read. ``least``: words of a repeated substring; ``on``: pages that hold it; ``group``: about
-    how many pages at most are compared at once.
+    other columns aren't read. ``least``: words of a repeated substring; ``on``: pages that hold it, inside
+    articles ``share`` of the host's pages if these are more; ``group``: about how many pages at most are compared at once.
     """
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[^:/?#]+:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html_).alias("html"), F.xxhash64(host).alias("host"))
     parts = F.ceil(F.greatest(F.count("*") / group, F.sum(F.octet_length("html")) / GROUP_BYTES)).cast("int")
-    large = rows.groupBy("host").agg(parts.alias("groups")).where("groups > 1")
+    large = rows.groupBy("host").agg(parts.alias("groups"), F.count("*").alias("n")).where("groups > 1")
     split = large.count()
     if split <= 100_000:
         large = F.broadcast(large)
@@ -213,20 +216,24 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
             of.append(np.unique(np.concatenate(found)) ^ np.int64(at) if found else np.array([], np.int64))
         return {"hashes": of}
 
-    parsed = map_batches(rows, {"blocks": "array<string>", "inside": "array<boolean>"}, parse, read=["html"], keep=["page_id", "url", "part", "host"])
+    parsed = map_batches(rows, {"blocks": "array<string>", "inside": "array<boolean>"}, parse, read=["html"], keep=["page_id", "url", "part", "host", "n"])
 
     def judge(t: pa.Table, heard: pa.Table | None) -> pa.Table:
         of = t.column("blocks").to_pylist()
         inside = [x for b in t.column("inside").to_pylist() for x in b]
+        need = np.where(np.array(inside, bool), max(on, math.ceil(share * (t.column("n")[0].as_py() or len(of)))), on)
         words = [x.split(" ") for b in of for x in b]
         page = np.repeat(np.arange(len(of)), [len(b) for b in of])
-        covered = repeated(words, page, least, on) if words else []
+        covered = repeated(words, page, least, need) if words else []
         if heard is not None and heard.num_rows:
             found = windows(words, least)
-            own = t.column("host")[0].as_py()
-            often = np.isin(np.concatenate(found) ^ np.int64(own), heard.column("_hash").to_numpy()) if found else np.array([], bool)
-            for c, x in zip(covered, np.split(often, np.cumsum([len(x) for x in found])[:-1]) if found else [], strict=True):
-                for at in np.flatnonzero(x):
+            hashes_, counts = (heard.column(c).to_numpy() for c in ("_hash", "n"))
+            order = np.argsort(hashes_)
+            hashes_, counts = hashes_[order], counts[order]
+            for c, x, enough in zip(covered, found, need.tolist(), strict=True):
+                x = x ^ np.int64(t.column("host")[0].as_py())
+                k = np.minimum(np.searchsorted(hashes_, x), len(hashes_) - 1)
+                for at in np.flatnonzero((hashes_[k] == x) & (counts[k] >= enough)):
                     c[at : at + least] = True
         left = [[x for x, y in zip(w, c.tolist(), strict=True) if not y] for w, c in zip(words, covered, strict=True)]
         lead = np.zeros(len(of), np.int64)  # words that stay inside landmarks, less those that stay outside
@@ -246,5 +253,5 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     told = map_batches(rows.where("groups > 1"), {"hashes": "array<bigint>"}, tell, read=["html", "host"], keep=["part"]).select("part", F.explode("hashes").alias("hash"))
     over = Window.partitionBy("hash")
     heard = told.select("part", "hash", F.count("*").over(over).alias("n"), F.min("part").over(over).alias("low"), F.max("part").over(over).alias("high"))
-    heard = heard.where((F.col("n") >= on) & (F.col("low") < F.col("high"))).select("part", F.col("hash").alias("_hash")).distinct()
+    heard = heard.where((F.col("n") >= on) & (F.col("low") < F.col("high"))).select("part", F.col("hash").alias("_hash"), "n").distinct()
     return parsed.groupBy("part").cogroup(heard.groupBy("part")).applyInArrow(judge, schema)
