@@ -6,12 +6,18 @@ stay letters of their script and case, digits stay digits, check digits stay rig
 entities of a shape never meet and mentions of one entity, in any layout or case, stay one. What a
 permutation can't rule out is checked over the whole corpus: an entity that would stay itself, a surrogate
 that is another entity's real value, and surrogates that meet across shapes or tries. The losers
-take the next try until none is left; only these exceptions are carried to the documents.
+take the next try until none is left, for names with one syllable more, so that there is always room;
+only these exceptions are carried to the documents.
+
+Names are found after a title, word by word: the last word is a family name, the others are given names of the
+title's gender; where the same document mentions a word of them again without a title, it is replaced too.
+Not found are names that no title introduces in their document, and personal data in words (places, dates, employers).
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import pandas as pd
@@ -23,26 +29,31 @@ from tallframe.llm.text import map_batches
 
 #: Scripts whose letters are permuted among themselves, titles by gender, name syllables and endings.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß", "αβγδεζηθικλμνξοπρστυφχψως", "абвгдежзийклмнопрстуфхцчшщъыьэюя"]
-TITLES = {"mr": "m", "herr": "m", "señor": "m", "monsieur": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "señora": "f", "madame": "f"}
+TITLES = {"mr": "m", "herr": "m", "señor": "m", "sr": "m", "monsieur": "m", "sir": "m", "mister": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "señora": "f", "sra": "f", "señorita": "f", "madame": "f", "mme": "f", "mlle": "f", "mademoiselle": "f", "dr": "n", "prof": "n", "professor": "n", "doctor": "n", "κύριος": "m", "κυρία": "f", "господин": "m", "госпожа": "f"}
 SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re", "sa", "to", "va", "zu", "ri", "lo"], "greek": ["βα", "δε", "φι", "γο", "κα", "λε", "μι", "νο", "πα", "ρε", "σα", "το", "ζα", "θυ", "ρι", "λο"], "cyrillic": ["ба", "де", "фи", "го", "ка", "ле", "ми", "но", "па", "ре", "са", "то", "ва", "зу", "ри", "ло"]}
-ENDINGS = {"latin": {"m": "n", "f": "na"}, "greek": {"m": "ς", "f": "να"}, "cyrillic": {"m": "н", "f": "на"}}
+ENDINGS = {"latin": {"m": "n", "f": "na", "n": "", "s": "r"}, "greek": {"m": "ς", "f": "να", "n": "", "s": "ρ"}, "cyrillic": {"m": "н", "f": "на", "n": "", "s": "р"}}
 
 LETTERS = r"[^\W\d_]"
+WORD = rf"[^\W\d_a-z]{LETTERS}*(?:['’-]{LETTERS}+)*"
+CALLED = [f for t in TITLES for f in (t.capitalize(), t.upper())]
+#: Every part is bounded or starts at the first letter of a run alone, so that a search is linear in the text.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[\w.+-]*\w[\w.+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}(?![\w-])",
+    "email": r"(?<![\w.+-])(?=[.+-]{0,64}\w)[\w.+-]{1,320}@[\w-]{1,63}(?:\.[\w-]{1,63}){0,20}\.[^\W\d_]{2,63}(?![\w-])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-fA-F]{32,128})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d])",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4})(?!\d)",
-    "name": rf"\b(?:{'|'.join(t.capitalize() for t in TITLES)})\b\.? (?P<name>[^\W\d_a-z]{LETTERS}+(?: [^\W\d_a-z]{LETTERS}+){{0,2}})",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|(?<![.-])\d{3}(?P<sep>[.-])\d{3}(?P=sep)\d{4}(?![.-]\d))(?!\d)",
+    "name": rf"\b(?P<title>{'|'.join(CALLED)})\b\.? (?P<name>{WORD}(?: {WORD}){{0,2}})",
 }
 ENTITY = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS.items()))
 SECRET = re.compile(r"\b(?:api[_-]?key|secret|token|password|passwd|pwd)\b\s*[:=]\s*[\"']?(?P<secret>[A-Za-z0-9_+/=.-]{8,})", re.I)
 DIGIT = re.compile(r"\d")
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-NAMED = [t.capitalize() for t in TITLES]
+#: What a text without digits and the signs of mail, keys and addresses must hold for anything to be found.
+TELLING = re.compile(rf"AKIA|gh[pousr]_|sk-|[a-fA-F]{{32}}|\b(?:{'|'.join(CALLED)})\b")
 
 
 def luhn(digits: str) -> int:
@@ -54,37 +65,61 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def lowered(value: str) -> str:
+    """Lower case, letter by letter and only where that stays one letter."""
+    return "".join(low if len(low := c.lower()) == 1 else c for c in value)
+
+
+def raised(value: str) -> str:
+    return "".join(up if len(up := c.upper()) == 1 else c for c in value)
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """The entities of a text: start, end, kind and canonical form, in order and without overlap."""
-    if "@" not in text and "=" not in text and ":" not in text and not DIGIT.search(text) and not any(t in text for t in NAMED):
+    if "@" not in text and "=" not in text and ":" not in text and not DIGIT.search(text) and not TELLING.search(text):
         return []  # most texts, at the cost of a few scans
-    out = []
+    out, called = [], {}
     spans = [(*m.span("secret"), "key", m["secret"]) for m in SECRET.finditer(text)] if "=" in text or ":" in text else []
     for m in ENTITY.finditer(text):
         kind = next(k for k in PATTERNS if m[f"k_{k}"] is not None)
-        group = "name" if kind == "name" else 0
-        (start, end), value = m.span(group), m[group]
-        if kind == "card" and (not 13 <= len(re.sub(r"\D", "", value)) <= 19):
+        if kind == "card" and not 13 <= len(re.sub(r"\D", "", m[0])) <= 19:
+            continue
+        if kind != "name":
+            spans.append((*m.span(), kind, m[0]))
             continue
-        if kind == "name":
-            kind = f"name-{TITLES[m[0].split(' ')[0].rstrip('.').lower()]}"
-        spans.append((start, end, kind, value))
+        words = [(m.start("name") + w.start(), w[0]) for w in re.finditer(r"\S+", m["name"])]
+        words = words[: next((k for k, (_, w) in enumerate(words) if not w[0].isupper() and w[0].lower() != w[0].upper()), len(words))]
+        gender = TITLES[m["title"].lower()]
+        for k, (start, w) in enumerate(words):
+            kind = "name-s" if k == len(words) - 1 else f"name-{gender}"
+            kind = called.setdefault(lowered(w), kind)
+            spans.append((start, start + len(w), kind, w))
+    again = [w for w in called if len(w) > 2]
+    if again:
+        for m in re.finditer(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(again, key=len, reverse=True)))})(?![^\W_])", text, re.I):
+            if m[0][0].isupper() and lowered(m[0]) in called:
+                spans.append((*m.span(), called[lowered(m[0])], m[0]))
     last = 0
     for start, end, kind, value in sorted(spans, key=lambda x: (x[0], -x[1])):
-        if start >= last:
-            out.append((start, end, kind, canonical(kind, value)))
+        if start >= last and (form := canonical(kind, value)):
+            out.append((start, end, kind, form))
             last = end
     return out
 
 
-def canonical(kind: str, value: str) -> str:
-    """The form that all mentions of an entity share."""
+def canonical(kind: str, value: str) -> str | None:
+    """The form that all mentions of an entity share; none if it is no entity after all."""
     if kind in ("card", "ssn", "phone"):
         return re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
+    if kind == "ipv6":  # a name of a program's scope isn't one
+        try:
+            return str(ipaddress.IPv6Address(value)) if DIGIT.search(value) and len(value) > 6 else None
+        except ValueError:
+            return None
     if kind in ("email", "ip") or kind.startswith("name"):
-        return value.lower()
+        return lowered(value)
     return value.lower() if HEX.fullmatch(value) else value
 
 
@@ -108,17 +143,17 @@ def permuted(x: int, size: int, key: bytes, tweak: str) -> int:
 
 def reshaped(value: str, key: bytes, tweak: str) -> str:
     """Permutes the letters and digits of a string as one number; everything else stays."""
-    places = [(i, a, c.isupper()) for i, c in enumerate(value) for a in ALPHABETS if c.lower() in a]
+    places = [(i, a, c.isupper()) for i, c in enumerate(value) for a in ALPHABETS if lowered(c) in a]
     number, size = 0, 1
     for i, a, _ in places:
-        number = number * len(a) + a.index(value[i].lower())
+        number = number * len(a) + a.index(lowered(value[i]))
         size *= len(a)
     shape = "".join("u" if u else "l" for _, _, u in places)
     number = permuted(number, size, key, f"{tweak}|{shape}") if size > 1 else number
     out = list(value)
     for i, a, upper in reversed(places):
         number, k = divmod(number, len(a))
-        out[i] = a[k].upper() if upper and len(a[k].upper()) == 1 else a[k]
+        out[i] = raised(a[k]) if upper else a[k]
     return "".join(out)
 
 
@@ -128,6 +163,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     if kind == "ip":
         n = permuted(int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32, key, tweak)
         return ".".join(map(str, n.to_bytes(4, "big")))
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(permuted(int(ipaddress.IPv6Address(value)), 1 << 128, key, tweak)))
     if kind == "card":  # the issuer's digit stays, and so does whether the number is valid
         valid = luhn(value[:-1]) == int(value[-1])
         body = reshaped(value[1:-1], key, f"{tweak}|{value[0]}|{valid}")
@@ -144,13 +181,11 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         return reshaped(value[:at], key, tweak) + value[at:]
     if kind.startswith("name"):
         script = next((s for s, a in (("greek", ALPHABETS[3]), ("cyrillic", ALPHABETS[4])) if any(c in a for c in value)), "latin")
-        raw = hashlib.blake2b(f"{tweak}|{value}".encode(), key=key[:64], digest_size=32).digest()
-        words, at = [], 0
-        for k, w in enumerate(value.split(" ")):
-            n = max(2, min(4, len(w) // 2))
-            words.append("".join(SYLLABLES[script][b % 16] for b in raw[at : at + n]) + (ENDINGS[script][kind[-1]] if k == 0 else ""))
-            at += n
-        return " ".join(words)
+        raw = hashlib.shake_256(key + f"|{tweak}|{value}".encode("utf-8", "surrogatepass"))
+        parts = re.split(r"(['’-])", value)
+        sizes = [max(2, min(4, len(x) // 2)) + attempt if k % 2 == 0 else 0 for k, x in enumerate(parts)]
+        drawn = iter(raw.digest(sum(sizes)))
+        return "".join("".join(SYLLABLES[script][next(drawn) % 16] for _ in range(n)) if n else x for x, n in zip(parts, sizes, strict=True)) + ENDINGS[script][kind[-1]]
     if len(value) >= 32 and HEX.fullmatch(value):
         return f"{permuted(int(value, 16), 16 ** len(value), key, tweak):0{len(value)}x}"
     return reshaped(value, key, tweak)
@@ -162,12 +197,12 @@ def laid_out(kind: str, original: str, new: str) -> str:
         left = iter(new)
         return "".join(next(left) if c.isalnum() else c for c in original)
     letters = [c for c in original if c.isalpha()]
-    if letters and all(c.isupper() for c in letters):
-        return new.upper()
+    if letters and all(c.isupper() for c in letters) and (len(letters) > 1 or not kind.startswith("name")):
+        return raised(new)
     if kind.startswith("name"):
-        return " ".join(w.capitalize() for w in new.split(" "))
+        return "".join(w[:1].upper() + w[1:] for w in re.split(r"(['’-])", new))
     if kind == "email" and any(c.isupper() for c in letters):
-        return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new, strict=True))
+        return "".join(raised(n) if o.isupper() else n for o, n in zip(original, new, strict=True))
     return new
 
 
@@ -201,7 +236,7 @@ def replace_pii(docs: DataFrame, key: str, *, doc_id: str = "doc_id", text: str
     """Replaces personal data in ``text`` by surrogates and adds ``n_entities`` and ``kinds`` (how many of each kind).
 
     All columns of ``docs`` are kept; ones of the new names are replaced. A null text stays null with no
-    entities. Repeated rows and mentions get equal surrogates, in this corpus and, but for collisions, in any
+    entities. Null ids are ids like others. Repeated rows and mentions get equal surrogates, in this corpus and, but for collisions, in any
     other under the same key. An empty table gives no rows. Up to ``most`` exceptions are broadcast; more
     are joined to the documents that mention them.
     """
