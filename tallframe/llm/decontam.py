@@ -31,12 +31,15 @@ def winnow(g: np.ndarray, window: int) -> np.ndarray:
 
 
 class Fingerprints:
-    """The items of one block: winnowed fingerprints of the long ones, whole hashes of the short."""
+    """The items of one block: winnowed fingerprints and distinct windows of the long ones, whole hashes of the short.
+
+    A window that many items or places hold is kept once, with its items, so that repeated words cost no more than others.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], length: int, gram: int):
         self.length, self.gram, self.window = length, gram, length - gram + 1
         self.ids: list[str | None] = []
-        marks, places, starts, words, at = [], [], [], [], 0
+        marks, words, keys, owners, at = [], [], [], [], 0
         short: dict[int, list[tuple[int, int]]] = {}
         for item_id, text in items:
             h = hashes(alnum_words(text))
@@ -46,18 +49,20 @@ class Fingerprints:
                 short.setdefault(len(h), []).append((int(grams(h, len(h))[0]), len(self.ids)))
             else:
                 g = grams(h, gram)
-                chosen = winnow(g, self.window)
-                marks.append(g[chosen])
-                places.append(chosen + at)
-            starts.append(at)
-            words.append(h)
-            at += len(h)
+                marks.append(g[winnow(g, self.window)])
+                key, first = np.unique(grams(h, length), return_index=True)
+                keys.append(key)
+                owners.append(np.stack([np.full(len(key), len(self.ids)), first + at]))
+                words.append(h)
+                at += len(h)
             self.ids.append(item_id)
-        self.starts = np.array([*starts, at], np.int64)
-        self.words = np.concatenate([*words, np.empty(0, np.uint64)])
-        marks_all = np.concatenate([*marks, np.empty(0, np.uint64)])
-        order = np.argsort(marks_all, kind="stable")
-        self.marks, self.places = marks_all[order], np.concatenate([*places, np.empty(0, np.int64)])[order]
+        empty = np.empty(0, np.uint64)
+        self.words = np.concatenate([*words, empty])
+        self.marks = np.unique(np.concatenate([*marks, empty]))
+        every, (owner, place) = np.concatenate([*keys, empty]), np.concatenate([*owners, np.empty((2, 0), np.int64)], axis=1)
+        order = np.argsort(every, kind="stable")
+        self.keys, first = np.unique(every[order], return_index=True)
+        self.places, self.owners, self.ends = place[order][first], owner[order], np.append(first, len(every))
         self.short = {}
         for n, pairs in short.items():
             pairs.sort()
@@ -73,34 +78,32 @@ class Fingerprints:
             at = np.flatnonzero(last > first)
             if len(at):
                 hit |= covered(len(h), at, n)
-                for i in at:
-                    found.update(numbers[first[i] : last[i]])
+                for i, j in np.unique(np.stack([first[at], last[at]]), axis=1).T:
+                    found.update(numbers[i:j])
         if len(h) >= self.length and len(self.marks):
             g = grams(h, self.gram)
             chosen = winnow(g, self.window)
-            first = np.searchsorted(self.marks, g[chosen], "left")
-            many = np.searchsorted(self.marks, g[chosen], "right") - first
-            if many.any():
-                p = np.repeat(chosen, many)
-                k = np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-                self._extend(h, p, self.places[k], hit, found)
+            k = np.minimum(np.searchsorted(self.marks, g[chosen]), len(self.marks) - 1)
+            met = chosen[self.marks[k] == g[chosen]]
+            if len(met):
+                self._extend(h, met, hit, found)
         return hit, found
 
-    def _extend(self, h: np.ndarray, p: np.ndarray, q: np.ndarray, hit: np.ndarray, found: set[int]) -> None:
-        """From pairs of equal fingerprints to equal windows that hold them."""
-        item = np.searchsorted(self.starts, q, "right") - 1
-        for back in range(self.window):
-            d, b = p - back, q - back
-            ok = (d >= 0) & (d + self.length <= len(h)) & (b >= self.starts[item]) & (b + self.length <= self.starts[item + 1])
-            d, b, i = d[ok], b[ok], item[ok]
-            for j in range(self.length):
-                same = h[d + j] == self.words[b + j]
-                d, b, i = d[same], b[same], i[same]
-                if not len(d):
-                    break
-            if len(d):
-                hit |= covered(len(h), d, self.length)
-                found.update(i.tolist())
+    def _extend(self, h: np.ndarray, met: np.ndarray, hit: np.ndarray, found: set[int]) -> None:
+        """From places of fingerprints that items have too to equal windows that hold them."""
+        d = np.unique(met[:, None] - np.arange(self.window))
+        d = d[(d >= 0) & (d + self.length <= len(h))]
+        key = grams(h, self.length)[d]
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        same = self.keys[k] == key
+        for j in range(self.length):
+            d, k = d[same], k[same]
+            same = h[d + j] == self.words[self.places[k] + j]
+        d, k = d[same], k[same]
+        if len(d):
+            hit |= covered(len(h), d, self.length)
+            for i in np.unique(k):
+                found.update(self.owners[self.ends[i] : self.ends[i + 1]].tolist())
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", length: int = 10, gram: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
