@@ -129,7 +129,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     """Trains on the rows of the training folds: those whose crc32 of the id as text isn't 1 modulo 3, with a text and a label.
 
     The sample is bounded: about ``per_label`` rows of each label, chosen by a hash of the id, and
-    ``chars`` characters of each. Without labelled rows the network has no labels.
+    ``chars`` characters of each, which begin anywhere in the text, by that hash too. Without labelled rows the network has no labels.
     """
     folds = docs.where(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) != 1)
     rows = folds.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
@@ -139,9 +139,11 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
         return net
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_label / n))])
     draw = F.pmod(F.xxhash64(F.col("i")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    got = rows.where(draw < share[F.col("l")]).select(F.substring("t", 1, chars).alias("t"), "l").collect()
+    begin = F.pmod(F.xxhash64(F.col("i"), F.lit("begin")), F.greatest(F.length("t") - chars + 1, F.lit(1))).cast("int") + 1
+    part = F.substring("t", begin, F.lit(chars)).alias("t")
+    got = rows.where(draw < share[F.col("l")]).select(part, "l").collect()
     seen = {r.l for r in got}
-    got += [r for k in sorted(set(counts) - seen) for r in rows.where(F.col("l") == k).select(F.substring("t", 1, chars).alias("t"), "l").limit(per_label).collect()]
+    got += [r for k in sorted(set(counts) - seen) for r in rows.where(F.col("l") == k).select(part, "l").limit(per_label).collect()]
     net.fit([r.t.encode("utf-8", "replace").lower() for r in got], np.array([net.labels.index(r.l) for r in got]))
     return net
 
