@@ -6,6 +6,7 @@ Waveforms are array rows, so kernels need no shuffle; long recordings are framed
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -181,3 +182,27 @@ def layer_times(kernels_: tuple[int, ...], strides: tuple[int, ...], start: floa
         start, sr = start + (size - 1) / (2 * sr), sr / stride
         out.append((k, start, sr))
     return out
+
+
+def seed_of(*parts: object) -> int:
+    """A seed from values of any kind, the same on every machine."""
+    return zlib.crc32(repr(parts).encode())
+
+
+def matched_noise(waves: DataFrame, seed: int = 0) -> DataFrame:
+    """``stim, samples``: noise of each waveform's own magnitudes and random phases, which its name and ``seed`` give."""
+    kind = waves.schema["stim"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for stim, x in zip(f["stim"], f["samples"], strict=True):
+                spectrum = np.fft.rfft(np.asarray(x, np.float64))
+                turn = np.exp(2j * np.pi * np.random.Generator(np.random.PCG64(seed_of(str(stim), seed))).random(len(spectrum)))
+                turn[0] = 1
+                if len(x) % 2 == 0:
+                    turn[-1] = 1  # the middle bin is real
+                out.append(np.fft.irfft(spectrum * turn, len(x)).tolist() if len(x) else [])
+            yield pd.DataFrame({"stim": f["stim"], "samples": out})
+
+    return waves.select("stim", "samples").mapInPandas(run, f"stim {kind}, samples array<double>")

@@ -30,7 +30,7 @@ def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lowprob_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotate.label_counts(annotate.rare_merged(tokens(spark, sf_dir), 10))
+    return annotate.rare_counts(tokens(spark, sf_dir), 10)
 
 
 def merge_set(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallframe.operators import grid
+
 
 def listing(spark: SparkSession, folder: str, *, select: str = ".*", remove: str | None = None, hidden: bool = False, glob: str = "*") -> DataFrame:
     """Files under a folder as ``path, stim``, those whose names match ``select`` and not ``remove``; names that begin with a dot are hidden."""
@@ -105,3 +107,52 @@ def describe(spark: SparkSession, feature: str, variant: str, *, window: tuple[f
     row = [(feature, variant, float(window[0]), float(window[1]), dimensions, float(sampling_rate), {k: str(v) for k, v in parameters.items()})]
     made = F.date_format(F.current_timestamp(), "yyyy-MM-dd-HH:mm:ss").alias("created")
     return spark.createDataFrame(row, "feature string, variant string, window_from double, window_to double, dimensions string, sampling_rate double, parameters map<string,string>").select("*", made)
+
+
+def framed_wav(buffered: DataFrame, lengths: DataFrame, *, sr: int, target: int, front: int, back: int) -> tuple[DataFrame, DataFrame]:
+    """Frames ``stim, frame, pos, x`` as WAV files, ``stim, frame, wav``, and their timing: ``stim, frame, start, onset, offset, end`` in seconds.
+
+    Each file has ``front + target + back`` samples; what a frame lacks at an end is silence.
+    """
+    size = front + target + back
+    known = F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int"), F.col("x").cast("double"))))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("_x", k), F.lit(0.0)))
+    rows = buffered.groupBy("stim", "frame").agg(known.alias("_x")).select(F.to_json(F.struct("stim", "frame")).alias("stim"), F.lit(sr).alias("sr"), whole.alias("samples"))
+    wavs = encode_wav(rows).select(F.from_json("stim", f"stim {buffered.schema['stim'].dataType.simpleString()}, frame bigint").alias("k"), "wav").select("k.stim", "k.frame", "wav")
+    return wavs, frame_times(lengths, sr=sr, target=target, front=front, back=back)
+
+
+def frame_times(lengths: DataFrame, *, sr: float, target: int, front: int, back: int) -> DataFrame:
+    """``stim, frame, start, onset, offset, end`` in seconds from stimuli's lengths in samples."""
+    at = F.col("frame") * F.lit(float(target))
+    frames = lengths.where("length > 0").select("stim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("length") / target).cast("bigint") - 1)).alias("frame"))
+    times = {"start": at - front, "onset": at, "offset": at + target, "end": at + target + back}
+    return frames.select("stim", "frame", *[(t / sr).alias(k) for k, t in times.items()])
+
+
+def write_combined(buffered: DataFrame, path: str, *, feature: str, target: int, onset: int, variant: str = "original") -> None:
+    """Stores the stimuli that their frames make up."""
+    write_features(grid.combined(buffered, target, onset), path, feature=feature, variant=variant)
+
+
+def frame_catalog(frames: DataFrame, *, first: int = 0) -> DataFrame:
+    """``stim, frames``: how many frames each stimulus has from the first to the first gap; a stimulus without the first has 0."""
+    own = frames.select("stim", "frame").distinct()
+    behind = own.select("stim", (F.col("frame") + 1).alias("frame"))
+    gaps = behind.join(own, ["stim", "frame"], "left_anti").where(F.col("frame") > first).groupBy("stim").agg(F.min("frame").alias("gap"))
+    starts = own.groupBy("stim").agg(F.min("frame").alias("low"))
+    return starts.join(gaps, "stim", "left").select("stim", F.when(F.col("low") == first, F.coalesce("gap", F.lit(first)) - first).otherwise(F.lit(0)).cast("bigint").alias("frames"))
+
+
+def listed(spark: SparkSession, stims: str | None, folder: str, **options) -> DataFrame:
+    """``listing`` of the named stimuli (comma-separated), or of all in order of their paths; a name that isn't there raises an error."""
+    found = listing(spark, folder, **options)
+    if not stims:
+        return found.orderBy("path")
+    names = [s.strip().removesuffix(".wav") for s in stims.split(",")]
+    wanted = spark.createDataFrame(list(enumerate(names)), "ord int, stim string")
+    known = found.join(F.broadcast(wanted), "stim").select("path", "stim", "ord").orderBy("ord").collect()  # as many as are named
+    missing = set(names) - {r.stim for r in known}
+    if missing:
+        raise ValueError(f"no such stimulus: {', '.join(sorted(missing))}")
+    return spark.createDataFrame([(r.path, r.stim) for r in known], "path string, stim string")
