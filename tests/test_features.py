@@ -103,7 +103,7 @@ def test_catalog_ends_at_the_first_gap(spark):
 
 def test_listing_by_name(spark, tmp_path):
     for name in ("b.wav", "a.wav", "c.wav"):
-        (tmp_path / name).write_bytes(b"")
+        (tmp_path / name).write_bytes(b"x")
     assert [r.stim for r in files.listed(spark, "c.wav, a", str(tmp_path)).collect()] == ["c", "a"]
     assert [r.stim for r in files.listed(spark, None, str(tmp_path)).collect()] == ["a", "b", "c"]
     with pytest.raises(ValueError, match="no such stimulus"):
