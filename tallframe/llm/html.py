@@ -16,12 +16,14 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallframe.llm.exchange import planes, unplanes
 from tallframe.llm.text import hashes, map_batches, mix
 
 #: Elements and names of parts that aren't a page's text.
@@ -33,7 +35,7 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 #: A tag ends before the next one begins, so that tags that never close are passed in one step each.
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
 #: Most bytes of html in a group, unless a page has more.
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 8 << 20
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -186,7 +188,30 @@ def windows(words: list[list[str]], least: int) -> list[np.ndarray]:
     return out
 
 
-def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html_: str = "html", least: int = 8, on: int = 3, share: float = 0.5, group: int = 4000) -> DataFrame:
+def packed(part: np.ndarray, found: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Distinct hashes of each part and how often each occurs, by ranges of hashes (a power of two of them): sorted, so that their differences are short."""
+    order = np.lexsort((found, part))
+    part, found = part[order], found[order]
+    first = np.flatnonzero(np.append(True, (found[1:] != found[:-1]) | (part[1:] != part[:-1]))[: len(found)])
+    n = np.diff(np.append(first, len(found))).astype(np.uint32)
+    part, found = part[first], found[first]
+    shard = (found >> np.uint64(65 - shards.bit_length())).astype(np.int32)
+    cut = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (part[1:] != part[:-1]))[: len(found)])
+    ends = np.append(cut[1:], len(found))
+    hashes_ = [planes(np.diff(found[i:j], prepend=np.uint64(0))) for i, j in zip(cut, ends, strict=True)]
+    counts = [planes(n[i:j]) for i, j in zip(cut, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(shard[cut]), pa.array(part[cut]), pa.array((ends - cut).astype(np.int64)), pa.array(hashes_, pa.binary()), pa.array(counts, pa.binary())], names=["shard", "part", "many", "hashes", "counts"])
+
+
+def unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts, hashes and counts of ``packed``, one after the other."""
+    found = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in t.column("hashes").to_pylist()]
+    n = [unplanes(x, np.uint32) for x in t.column("counts").to_pylist()]
+    part = np.repeat(t.column("part").to_numpy(), t.column("many").to_numpy())
+    return part, np.concatenate([*found, np.empty(0, np.uint64)]), np.concatenate([*n, np.empty(0, np.uint32)]).astype(np.int64)
+
+
+def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html_: str = "html", least: int = 8, on: int = 3, share: float = 0.5, group: int = 2000) -> DataFrame:
     """The main text of each page: ``page_id, url, text, n_chars``.
 
     Blocks have single spaces for white space and are joined by two line feeds; character references are
@@ -198,23 +223,38 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[^:/?#]+:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html_).alias("html"), F.xxhash64(host).alias("host"))
     parts = F.ceil(F.greatest(F.count("*") / group, F.sum(F.octet_length("html")) / GROUP_BYTES)).cast("int")
-    large = rows.groupBy("host").agg(parts.alias("groups"), F.count("*").alias("n")).where("groups > 1")
-    split = large.count()
+    large = rows.groupBy("host").agg(parts.alias("groups"), F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")).where("groups > 1")
+    split, size = large.agg(F.count("*"), F.sum("bytes")).first()
+    shards = 1 << max(6, math.ceil(math.log2((size or 1) / GROUP_BYTES)) + 2)
     if split <= 100_000:
         large = F.broadcast(large)
-    rows = rows.join(large, "host", "left")
+    rows = rows.join(large.drop("bytes"), "host", "left")
     rows = rows.withColumn("part", F.expr("xxhash64(host, pmod(xxhash64(page_id, url, html), coalesce(groups, 1)))"))
 
     def parse(b: dict[str, list]) -> dict[str, list]:
         found = [blocks(x) for x in b["html"]]
         return {"blocks": [x for x, _ in found], "inside": [y for _, y in found]}
 
-    def tell(b: dict[str, list]) -> dict[str, list]:
-        of = []
-        for page, at in zip(b["html"], b["host"], strict=True):
-            found = windows([x.split(" ") for x in blocks(page)[0]], least)
-            of.append(np.unique(np.concatenate(found)) ^ np.int64(at) if found else np.array([], np.int64))
-        return {"hashes": of}
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                b = whole.slice(start, 500).to_pydict()
+                of = [windows([x.split(" ") for x in blocks(page)[0]], least) for page in b["html"]]
+                of = [np.unique(np.concatenate(w)) ^ np.int64(at) if w else np.array([], np.int64) for w, at in zip(of, b["host"], strict=True)]
+                yield packed(np.repeat(np.array(b["part"], np.int64), [len(w) for w in of]), np.concatenate(of).view(np.uint64), shards)
+
+    def count(t: pa.Table) -> pa.Table:
+        part, found, n = unpacked(t)
+        order = np.lexsort((part, found))
+        part, found, n = part[order], found[order], n[order]
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
+        held = np.add.reduceat(n, first) if len(first) else n
+        several = part[first] != part[np.append(first[1:], len(found)) - 1] if len(first) else first > 0
+        times = np.diff(np.append(first, len(found)))
+        keep = np.repeat((held >= on) & several, times)
+        held = np.repeat(held, times)[keep]
+        pairs = pa.table({"part": part[keep], "_hash": found[keep].view(np.int64), "n": held.astype(np.int64)})
+        return pairs.group_by(["part", "_hash", "n"]).aggregate([])
 
     parsed = map_batches(rows, {"blocks": "array<string>", "inside": "array<boolean>"}, parse, read=["html"], keep=["page_id", "url", "part", "host", "n"])
 
@@ -250,8 +290,6 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     schema = f"page_id {kind}, url string, text string, n_chars bigint"
     if not split:
         return parsed.groupBy("part").applyInArrow(lambda t: judge(t, None), schema)
-    told = map_batches(rows.where("groups > 1"), {"hashes": "array<bigint>"}, tell, read=["html", "host"], keep=["part"]).select("part", F.explode("hashes").alias("hash"))
-    over = Window.partitionBy("hash")
-    heard = told.select("part", "hash", F.count("*").over(over).alias("n"), F.min("part").over(over).alias("low"), F.max("part").over(over).alias("high"))
-    heard = heard.where((F.col("n") >= on) & (F.col("low") < F.col("high"))).select("part", F.col("hash").alias("_hash"), "n").distinct()
+    told = rows.where("groups > 1").select("html", "host", "part").mapInArrow(tell, "shard int, part bigint, many bigint, hashes binary, counts binary")
+    heard = told.groupBy("shard").applyInArrow(count, "part bigint, _hash bigint, n bigint")
     return parsed.groupBy("part").cogroup(heard.groupBy("part")).applyInArrow(judge, schema)
