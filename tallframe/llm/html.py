@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,7 +154,7 @@ def repeated(words: list[list[str]], page: np.ndarray, least: int, need: np.ndar
         parts.append([code.setdefault(x, len(code)) for x in w])
         parts.append([-1 - k])
         at += len(w) + 1
-    stream = np.array([x for p in parts for x in p], np.int64)
+    stream = np.concatenate([np.array(p, np.int64) for p in parts])
     sizes = [len(w) + 1 for w in words]
     owner, enough = np.repeat(page, sizes), np.repeat(need, sizes)
     order, shared = suffix_array(stream, max(least, 2))
@@ -225,20 +226,21 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     parts = F.ceil(F.greatest(F.count("*") / group, F.sum(F.octet_length("html")) / GROUP_BYTES)).cast("int")
     large = rows.groupBy("host").agg(parts.alias("groups"), F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")).where("groups > 1")
     split, size = large.agg(F.count("*"), F.sum("bytes")).first()
-    shards = 1 << max(6, math.ceil(math.log2((size or 1) / GROUP_BYTES)) + 2)
+    shards = 1 << max(3, math.ceil(math.log2((size or 1) / GROUP_BYTES)))
     if split <= 100_000:
         large = F.broadcast(large)
     rows = rows.join(large.drop("bytes"), "host", "left")
     rows = rows.withColumn("part", F.expr("xxhash64(host, pmod(xxhash64(page_id, url, html), coalesce(groups, 1)))"))
 
     def parse(b: dict[str, list]) -> dict[str, list]:
-        found = [blocks(x) for x in b["html"]]
-        return {"blocks": [x for x, _ in found], "inside": [y for _, y in found]}
+        pack = zstandard.ZstdCompressor()
+        found = [blocks(x) for x in b["html"]]  # no block has a line feed
+        return {"blocks": [pack.compress("\n".join(x).encode("utf-8", "surrogatepass")) if x else b"" for x, _ in found], "inside": [bytes(y) for _, y in found]}
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                b = whole.slice(start, 500).to_pydict()
+            for start in range(0, whole.num_rows, 2500):
+                b = whole.slice(start, 2500).to_pydict()
                 of = [windows([x.split(" ") for x in blocks(page)[0]], least) for page in b["html"]]
                 of = [np.unique(np.concatenate(w)) ^ np.int64(at) if w else np.array([], np.int64) for w, at in zip(of, b["host"], strict=True)]
                 yield packed(np.repeat(np.array(b["part"], np.int64), [len(w) for w in of]), np.concatenate(of).view(np.uint64), shards)
@@ -256,13 +258,15 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
         pairs = pa.table({"part": part[keep], "_hash": found[keep].view(np.int64), "n": held.astype(np.int64)})
         return pairs.group_by(["part", "_hash", "n"]).aggregate([])
 
-    parsed = map_batches(rows, {"blocks": "array<string>", "inside": "array<boolean>"}, parse, read=["html"], keep=["page_id", "url", "part", "host", "n"])
+    parsed = map_batches(rows, {"blocks": "binary", "inside": "binary"}, parse, read=["html"], keep=["page_id", "url", "part", "host", "n"])
 
     def judge(t: pa.Table, heard: pa.Table | None) -> pa.Table:
-        of = t.column("blocks").to_pylist()
-        inside = [x for b in t.column("inside").to_pylist() for x in b]
+        unpack = zstandard.ZstdDecompressor()
+        of = [unpack.decompress(x).decode("utf-8", "surrogatepass").split("\n") if x else [] for x in t.column("blocks").to_pylist()]
+        inside = [x > 0 for b in t.column("inside").to_pylist() for x in b]
+        texts_of = [x for b in of for x in b]
         need = np.where(np.array(inside, bool), max(on, math.ceil(share * (t.column("n")[0].as_py() or len(of)))), on)
-        words = [x.split(" ") for b in of for x in b]
+        words = [x.split(" ") for x in texts_of]
         page = np.repeat(np.arange(len(of)), [len(b) for b in of])
         covered = repeated(words, page, least, need) if words else []
         if heard is not None and heard.num_rows:
@@ -275,14 +279,14 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
                 k = np.minimum(np.searchsorted(hashes_, x), len(hashes_) - 1)
                 for at in np.flatnonzero((hashes_[k] == x) & (counts[k] >= enough)):
                     c[at : at + least] = True
-        left = [[x for x, y in zip(w, c.tolist(), strict=True) if not y] for w, c in zip(words, covered, strict=True)]
+        left = [[x for x, y in zip(w, c.tolist(), strict=True) if not y] if c.any() else w for w, c in zip(words, covered, strict=True)]
         lead = np.zeros(len(of), np.int64)  # words that stay inside landmarks, less those that stay outside
         np.add.at(lead, page, [len(w) if i else -len(w) for w, i in zip(left, inside, strict=True)])
         out: list[list[str]] = [[] for _ in of]
         marked = set(page[np.array(inside, bool)].tolist())
-        for w, p, i in zip(left, page.tolist(), inside, strict=True):
+        for w, whole, x, p, i in zip(left, words, texts_of, page.tolist(), inside, strict=True):
             if w and (i or p not in marked or lead[p] < 0):
-                out[p].append(" ".join(w))
+                out[p].append(x if w is whole else " ".join(w))
         texts = ["\n\n".join(x) for x in out]
         return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
 
