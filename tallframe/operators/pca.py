@@ -2,40 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallframe.operators.stats import outer_sums
+
+#: Most features: their matrix, and the model that ``project`` broadcasts, take 8 bytes a pair.
+MOST = 10_000
+
 MODEL = "k int, value double, weights array<double>, mean array<double>, scale array<double>"
 
 
 def gram(features: DataFrame, v: str = "v") -> tuple[np.ndarray, np.ndarray, int]:
-    """Sum of outer products, sum, and count of array features: one matrix a task, added up in a tree.
+    """Sum of outer products, sum, and count of array features: one matrix a task, whose cells a shuffle adds up.
 
-    The driver gets one matrix of features by features, whatever the number of frames; the number of features bounds it.
+    The driver gets one matrix of features by features, whatever the number of frames; more than ``MOST`` features raise an error.
     """
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = None, 0
-        for f in frames:
-            x = np.asarray(f[v].tolist(), np.float64)
-            if len(x):
-                x = np.hstack([x, np.ones((len(x), 1))])
-                total, n = x.T @ x if total is None else total + x.T @ x, n + len(x)
-        if n:
-            yield pd.DataFrame({"row": range(len(total)), "g": list(total), "n": n})
-
-    rows = features.select(v).mapInPandas(add, "row int, g array<double>, n bigint")
-    sums = rows.select("row", F.posexplode("g").alias("col", "x")).groupBy("row", "col").agg(F.sum("x").alias("x")).toPandas()
-    if not len(sums):
+    sums = outer_sums(features, v)
+    first = sums.groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("i").limit(MOST + 1).toPandas()
+    if len(first) > MOST:
+        raise ValueError(f"more than {MOST} features: their matrix is too large for the driver")
+    size = len(first)
+    if not size:
         return np.zeros((0, 0)), np.zeros(0), 0
-    size = int(sums["row"].max()) + 1
+    cells = sums.select("i", F.posexplode("g").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
     g = np.zeros((size, size))
-    g[sums["row"], sums["col"]] = sums["x"]
-    return g[:-1, :-1], g[-1, :-1], int(round(g[-1, -1]))
+    g[cells["i"], cells["j"]] = cells["x"]
+    return g, first["s"].to_numpy(), int(first["n"].iloc[0])
 
 
 def fit(features: DataFrame, *, demean: bool = True, standardise: bool = False, v: str = "v") -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,15 +116,28 @@ def significant(bands: DataFrame, cutoff: float) -> DataFrame:
     return bands.crossJoin(F.broadcast(top)).withColumn("significant", F.coalesce(below < cutoff, F.lit(False))).drop("_top")
 
 
+def outer_sums(features: DataFrame, v: str = "v") -> DataFrame:
+    """``i, g, s, n``: each task's sums of feature i's products with all features and of itself, and its number of frames."""
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, sums, n = None, None, 0
+        for f in frames:
+            x = np.asarray(f[v].tolist(), np.float64)
+            if len(x):
+                total, sums, n = (x.T @ x, x.sum(axis=0), len(x)) if total is None else (total + x.T @ x, sums + x.sum(axis=0), n + len(x))
+        if n:
+            yield pd.DataFrame({"i": range(len(total)), "g": list(total), "s": sums, "n": n})
+
+    return features.select(v).where(F.col(v).isNotNull()).mapInPandas(add, "i int, g array<double>, s double, n bigint")
+
+
 def covariance(features: DataFrame, v: str = "v") -> DataFrame:
-    """``i, j, cov`` for i <= j of array features: sums of products, added up before the shuffle.
-
-    What is shuffled is a row for each pair of features and task, however many frames there are.
-    """
-    size = F.size(v)
-    ij = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(i, size - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), F.element_at(v, i + 1).alias("a"), F.element_at(v, j + 1).alias("b"))))))
-    cells = features.select(ij.alias("c")).select("c.i", "c.j", "c.a", "c.b")
-    return cells.groupBy("i", "j").agg((F.avg(F.col("a").cast("double") * F.col("b").cast("double")) - F.avg(F.col("a").cast("double")) * F.avg(F.col("b").cast("double"))).alias("cov"))
+    """``i, j, cov`` for i <= j of array features: one matrix of sums of products a task, added up by a shuffle of its cells."""
+    sums = outer_sums(features, v)
+    cells = sums.select("i", F.posexplode("g").alias("j", "x")).where("i <= j").groupBy("i", "j").agg(F.sum("x").alias("x"))
+    means = sums.groupBy("i").agg((F.sum("s") / F.sum("n")).alias("a"), F.sum("n").alias("n"))
+    both = cells.join(means, "i").join(means.select(F.col("i").alias("j"), F.col("a").alias("b")), "j")
+    return both.select("i", "j", (F.col("x") / F.col("n") - F.col("a") * F.col("b")).alias("cov"))
 
 
 def channel_correlation(features: DataFrame, v: str = "v") -> DataFrame:
