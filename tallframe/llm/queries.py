@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallframe.llm.bpe import decode, encode
+from tallframe.llm.conversations import damaged, repair
 from tallframe.llm.decontam import decontaminate
+from tallframe.llm.filters import audit
 from tallframe.llm.fingerprint import fingerprints
 from tallframe.llm.html import extract_text
 from tallframe.llm.jaccard import jaccard_classes
@@ -73,6 +77,20 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    found = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, PATTERN), ranks, PATTERN)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
@@ -84,4 +102,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_fingerprint": op9_fingerprint,
     "op10_lines": op10_lines,
+    "op11_conversations": op11_conversations,
+    "op12_filters": op12_filters,
+    "op13_bpe": op13_bpe,
 }
