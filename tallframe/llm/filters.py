@@ -41,16 +41,17 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), mask.cast("int").alias("mask"), F.sha2(text, 256).alias("digest"))
     rows = rows.groupBy("doc_id", "digest", "part", "mask").agg(F.count("*").alias("n"))
     flag = lambda c: F.max(F.when(F.col(c) == 1, 1).otherwise(0))
-    told = labels.where("doc_id is not null").groupBy("doc_id").agg(flag("quality").alias("good"), flag("toxic").alias("toxic"))
-    named = rows.where("doc_id is not null").join(told, "doc_id", "left").fillna(0, ["good", "toxic"])
-    # of each text and kind of document: all rows, and those of the least id
-    kinds = named.groupBy("digest", "part", "mask", "good", "toxic").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "n")).alias("low"))
+    # a null id has no labels; it meets by its text's digest, which is no number, so that nulls gather nowhere
+    told = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("string").alias("key")).agg(flag("quality").alias("good"), flag("toxic").alias("toxic"))
+    named = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), "digest")).join(told, "key", "left").fillna(0, ["good", "toxic"])
+    # of each text and kind of document: all rows, those of the least id and those without one
+    no_id = F.col("doc_id").isNull()
+    kinds = named.groupBy("digest", "part", "mask", "good", "toxic").agg(F.sum("n").alias("n"), F.min(F.when(~no_id, F.struct("doc_id", "n"))).alias("low"), F.sum(F.when(no_id, F.col("n")).otherwise(0)).alias("nameless"))
     least = kinds.groupBy("digest").agg(F.min("low.doc_id").alias("least"))
-    first = F.when(F.col("low.doc_id") == F.col("least"), F.col("low.n")).otherwise(0)
-    split = kinds.join(least, "digest").select("part", "good", "toxic", F.explode(F.array(F.struct("mask", first.alias("n")), F.struct((F.col("mask") + F.lit(1 << 4)).alias("mask"), (F.col("n") - first).alias("n")))).alias("c"))
-    split = split.select("part", "good", "toxic", "c.mask", "c.n")
-    nameless = rows.where("doc_id is null").select("part", F.lit(0).alias("good"), F.lit(0).alias("toxic"), "mask", "n")
-    whole = split.unionByName(nameless).where("n > 0")
+    first = F.col("nameless") + F.when(F.col("low.doc_id") == F.col("least"), F.col("low.n")).otherwise(0)
+    copies = F.struct((F.col("mask") + F.lit(1 << FILTERS.index("E"))).alias("mask"), (F.col("n") - first).alias("n"))
+    split = kinds.join(least, "digest").select("part", "good", "toxic", F.explode(F.array(F.struct("mask", first.alias("n")), copies)).alias("c"))
+    whole = split.select("part", "good", "toxic", "c.mask", "c.n").where("n > 0")
     return whole.groupBy("part", "mask").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("good")).alias("good"), F.sum(F.col("n") * F.col("toxic")).alias("toxic"))
 
 
