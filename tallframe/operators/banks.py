@@ -121,6 +121,25 @@ def responses(bank: Bank, n: int, sr: float) -> np.ndarray:
     return out / math.sqrt(np.mean((out**2).sum(axis=0)[inner]))
 
 
+def lobe_columns(bank: Bank, freq: Column) -> list[Column]:
+    """The rows of ``responses`` at a frequency, as columns, for banks of a set gain."""
+    if not bank.gain:
+        raise ValueError("a bank whose gain is the mean of its squares needs all bins")
+    w = warp_column(bank.scale, freq)
+
+    def lobe(low: float, mid: float, high: float) -> Column:
+        half = F.when(w < mid, F.lit(mid - low)).otherwise(F.lit(high - mid))
+        return F.when((w > low) & (w < high), F.cos((w - F.lit(mid)) / half * F.lit(math.pi / 2))).otherwise(F.lit(0.0))
+
+    def rest(k: int, beyond: Column) -> Column:
+        h = lobe(*bank.lobes[k])
+        return F.when(beyond, F.sqrt(F.greatest(F.lit(0.0), 1 - h * h))).otherwise(F.lit(0.0))
+
+    first = [rest(k, w < bank.lobes[k][1]) for k in bank.below]
+    last = [rest(k, w > bank.lobes[k][1]) for k in bank.above]
+    return [h * F.lit(bank.gain) for h in (*first, *(lobe(*x) for x in bank.lobes), *last)]
+
+
 def bank_table(spark: SparkSession, bank: Bank, n: int, sr: float) -> DataFrame:
     """``filter, bin, freq, h`` of the lobes alone, by built-in functions; bins outside a lobe have no row."""
     lobes = spark.createDataFrame([(k, *x) for k, x in enumerate(bank.lobes)], "filter int, low double, mid double, high double")

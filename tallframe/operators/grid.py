@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallframe.operators.order import with_next
+from tallframe.operators.resample import pchip
 
 
 def lengths(samples: DataFrame) -> DataFrame:
@@ -97,9 +105,17 @@ def aligned(points: DataFrame, step: float, *, bucket: float) -> DataFrame:
     return inner.unionByName(lead_in)
 
 
-def filled(samples: DataFrame, *, bucket: int = 4096) -> DataFrame:
-    """``stim, n, x`` with missing values interpolated from the nearest ones on both sides; at the ends the nearest holds. A stimulus without values has no rows."""
-    known = samples.where("x is not null").select("stim", "n", "x")
+def filled(samples: DataFrame, *, bucket: int = 4096, method: str = "linear") -> DataFrame:
+    """``stim, n, x`` with missing values (null, NaN) interpolated from those on both sides. A stimulus without values has no rows.
+
+    ``linear``: from the nearest ones; at the ends the nearest holds. ``pchip``: monotone cubic pieces, of which the first and the last carry on to the ends.
+    """
+    known = samples.where(F.col("x").isNotNull() & ~F.isnan(F.col("x").cast("double"))).select("stim", "n", "x")
+    if method == "pchip":
+        whole = lengths(samples).select("stim", F.lit(0).alias("low"), (F.col("length") - 1).alias("high"))
+        return pchip(known, ["stim"], "n", "x", bucket=F.floor(F.col("n") / bucket), limits=whole).withColumnRenamed("k", "n")
+    if method != "linear":
+        raise ValueError(method)
     nexts = with_next(known, ["stim"], F.floor(F.col("n") / bucket), ["n"], ["n", "x"])
     ends = known.groupBy("stim").agg(F.min("n").alias("from_n"))
     own = nexts.join(lengths(samples), "stim").join(ends, "stim")
@@ -127,3 +143,58 @@ def autocorrelation(samples: DataFrame, lags: list[int]) -> DataFrame:
     sums = ahead.join(behind, ["stim", "lag", "n"]).groupBy("stim", "lag").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
     grid = means.select("stim", "var", "length", lag)
     return grid.join(sums, ["stim", "lag"], "left").select("stim", "lag", F.try_divide(F.coalesce("s", F.lit(0.0)) / F.col("length"), F.col("var")).alias("ac"))
+
+
+def products(samples: DataFrame, most: int) -> DataFrame:
+    """``stim, lag, s``: sums of x[n] x[n + lag] inside the stimulus, for lags from 0 to ``most``, by blocks of at least ``most`` samples.
+
+    A block meets the next one's samples in one row of bounded length; its sums by lag are added up by a shuffle.
+    """
+    block = max(most, 256)
+    own = F.floor(F.col("n") / block)
+    spots = F.array(F.struct(own.alias("b")), F.struct((own - 1).alias("b")))
+    rows = samples.select("stim", "n", F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"), F.explode(spots).alias("s"))
+    rows = rows.select("stim", "n", "x", "s.b").where("b >= 0").groupBy("stim", "b").agg(F.collect_list(F.struct((F.col("n") - F.col("b") * block).alias("at"), "x")).alias("v"))
+    kind = samples.schema["stim"].dataType
+    schema = T.StructType([T.StructField("stim", kind), T.StructField("lag", T.LongType()), T.StructField("s", T.DoubleType())])
+    out_schema = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                lists, n = part.column("v"), part.num_rows
+                flat = lists.flatten()
+                wide = np.zeros((n, 2 * block))
+                wide[np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), flat.field("at").to_numpy()] = flat.field("x").to_numpy()
+                size = 1 << (3 * block - 1).bit_length()
+                f = np.conj(np.fft.rfft(wide[:, :block], size, axis=1)) * np.fft.rfft(wide, size, axis=1)
+                sums = np.fft.irfft(f, size, axis=1)[:, : most + 1]
+                own = np.repeat(np.arange(n), most + 1)
+                arrays = [part.column("stim").take(pa.array(own)), pa.array(np.tile(np.arange(most + 1), n)), pa.array(sums.reshape(-1))]
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, out_schema, strict=True)], schema=out_schema)
+
+    return rows.mapInArrow(run, schema).groupBy("stim", "lag").agg(F.sum("s").alias("s"))
+
+
+def window_weight(window: str, share: Column) -> Column:
+    """A window at ``share`` of its length."""
+    turn = F.cos(F.lit(2 * math.pi) * share)
+    weights = {"hanning": 0.5 - 0.5 * turn, "rect": F.lit(1.0), "hamming": 0.54 - 0.46 * turn, "soft": 0.6 - 0.4 * turn, "welch": F.sin(F.lit(math.pi) * share)}
+    if window not in weights:
+        raise ValueError(f"unknown window {window}; known are {', '.join(weights)}")
+    return weights[window]
+
+
+def windowed_autocorrelation(samples: DataFrame, lags: int, *, window: str = "hanning", undo: bool = False) -> DataFrame:
+    """``stim, lag, ac`` for lags from 0: sums of products of windowed samples a lag apart between zeros, over twice the length; with ``undo`` over the window's own sums.
+
+    Lags that a stimulus is too short for have no rows; where the window's own sum is zero, ``ac`` is null.
+    """
+    own = samples.join(lengths(samples), "stim")
+    weighed = own.withColumn("w", window_weight(window, (F.col("n") + 1) / F.col("length")))
+    sums = products(weighed.select("stim", "n", (F.col("x") * F.col("w")).alias("x")), lags).join(lengths(samples), "stim").where("lag < length")
+    if not undo:
+        return sums.select("stim", "lag", (F.col("s") / (2 * F.col("length"))).alias("ac"))
+    windows = products(weighed.select("stim", "n", F.col("w").alias("x")), lags).withColumnRenamed("s", "own")
+    return sums.join(windows, ["stim", "lag"]).select("stim", "lag", F.try_divide("s", "own").alias("ac"))

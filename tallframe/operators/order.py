@@ -33,3 +33,22 @@ def with_next(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
     for c in columns:
         out = out.withColumn(prefix + c, F.when(F.col("_last"), F.col("_after")[f"_{c}"]).otherwise(F.col(f"_n_{c}")))
     return out.drop("_bucket", "_last", "_after", *[f"_n_{c}" for c in columns])
+
+
+def with_neighbours(df: DataFrame, keys: list[str], bucket: Column, order: list[str], columns: list[str], *, back: int = 0, ahead: int = 0) -> DataFrame:
+    """Adds ``before1_c``, ``after1_c`` and so on: columns of the rows so far before and after in the group, null beyond its ends.
+
+    ``order`` must rise with ``bucket``. Neighbours inside a bucket are taken there; only the first and last rows of buckets, as many
+    as the widest distance, are ordered across buckets, and between two of them that are neighbours there is no other row.
+    """
+    reach = max(back, ahead)
+    inside = Window.partitionBy(*keys, "_bucket")
+    ranked_ = df.withColumn("_bucket", bucket).withColumn("_rank", F.row_number().over(inside.orderBy(*order))).withColumn("_left", F.count(F.lit(1)).over(inside) - F.col("_rank"))
+    edge = (F.col("_rank") <= reach) | (F.col("_left") < reach)
+
+    far = [(f"before{k}_{c}", F.lag(c, k), F.col("_rank") > k) for k in range(1, back + 1) for c in columns] + [(f"after{k}_{c}", F.lead(c, k), F.col("_left") >= k) for k in range(1, ahead + 1) for c in columns]
+    near = ranked_.withColumns({name: value.over(inside.orderBy(*order)) for name, value, _ in far})
+    across = Window.partitionBy(*keys).orderBy("_bucket", *order)
+    edges = near.where(edge).withColumns({f"_{name}": value.over(across) for name, value, _ in far})
+    edges = edges.withColumns({name: F.when(own, F.col(name)).otherwise(F.col(f"_{name}")) for name, _, own in far}).drop(*[f"_{name}" for name, _, _ in far])
+    return near.where(~edge).unionByName(edges).drop("_bucket", "_rank", "_left")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallframe.operators import annotate, compare, grid, joins, pca, repeats, shapes, spectral, stats
+from tallframe.operators import annotate, compare, grid, joins, pca, repeats, shapes, stats
 from tallframe.plans.common import SAMPLES, Query, rounded, values
 from tallframe.plans.relational import HOURS, KINDS, intervals
-from tallframe.plans.spectra import DFT, waves
 from tallframe.plans.statistics import HALVES, bins, halves
 from tallframe.sources import files
 from tallframe.sources.tables import samples, signals, table
@@ -196,11 +195,6 @@ def component_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("vec_id", rounded(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x), 4).alias("energy"))
 
 
-def noise_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The magnitudes of spectrally matched noise, which are those of the stimulus."""
-    return spectral.magnitudes(spectral.matched_noise(waves(spark, sf_dir))).select("stim", "bin", rounded("magnitude", 4).alias("magnitude"))
-
-
 def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = grid.lengths(samples(spark, sf_dir))
     return files.frame_times(lengths, sr=100.0, target=16, front=4, back=2)
@@ -213,7 +207,7 @@ def frame_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (layer_tables, flatten_axes, merge_axes, token_grid, map_grid, first_frames, feature_sizes, case_map, zip_names, repeats_mean, channel_median, complete_pairs, join_runs, envelope_loader, filter_similarities, filter_moments, before_after, class_snr, filtered_correlation, neighbour_correlation, autocorr_energy, vocabulary, positive_rates, first_files, rare_merge, phoneme_onehot, phoneme_attribute_onehot, word_onehot, feature_set, component_energy, noise_spectrum, frame_times, frame_catalog)
+    for f in (layer_tables, flatten_axes, merge_axes, token_grid, map_grid, first_frames, feature_sizes, case_map, zip_names, repeats_mean, channel_median, complete_pairs, join_runs, envelope_loader, filter_similarities, filter_moments, before_after, class_snr, filtered_correlation, neighbour_correlation, autocorr_energy, vocabulary, positive_rates, first_files, rare_merge, phoneme_onehot, phoneme_attribute_onehot, word_onehot, feature_set, component_energy, frame_times, frame_catalog)
 }
 
 E = "e AS (SELECT vec_id, label, unnest(range(64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
@@ -269,7 +263,6 @@ SELECT g.stim, round(sum((coalesce(s, 0) / c / nullif(v, 0)) ** 2), 6) AS energy
     "word_onehot": f"WITH {HOURS}, w AS (SELECT stim, CASE WHEN offs - onset > 20 THEN label || '-' || stim || '-' || CAST(floor(onset) AS BIGINT) ELSE label END AS label, onset, offs FROM i), r AS (SELECT label, count(*) AS n FROM w GROUP BY 1), x AS (SELECT stim, CASE WHEN n < 10 THEN 'LOWPROB' ELSE label END AS label, onset, offs FROM w JOIN r USING (label)), {spread('x')} SELECT stim, frame, {', '.join(ONES.format(p) for p in [*KINDS, 'LOWPROB'])} FROM f GROUP BY stim, frame",
     "feature_set": f"WITH {HOURS}, o AS (SELECT stim, CAST(round_even(onset, 0) AS BIGINT) AS frame, label FROM i), n AS (SELECT stim, frame, {', '.join(ONES.format(p) for p in KINDS[:2])} FROM o GROUP BY 1, 2), t AS (SELECT stim, 'long' AS label, onset, offs FROM i WHERE offs - onset > 20), {spread('t')}, g AS (SELECT DISTINCT stim, frame FROM f) SELECT stim, frame, {', '.join(f'CAST(coalesce({k}, 0) AS INTEGER) AS {k}' for k in KINDS[:2])}, CAST(CASE WHEN g.stim IS NULL THEN 0 ELSE 1 END AS INTEGER) AS long FROM n FULL JOIN g USING (stim, frame)",
     "component_energy": f"WITH {E}, m AS (SELECT k, avg(x) AS m FROM e GROUP BY k) SELECT vec_id, round(sum((x - m) ** 2), 4) AS energy FROM e JOIN m USING (k) GROUP BY 1",
-    "noise_spectrum": f"WITH {DFT} SELECT stim, k AS bin, round(sqrt(re * re + im * im), 4) AS magnitude FROM d",
     "frame_times": f"WITH {SAMPLES}, c AS (SELECT stim, count(*) AS m FROM s GROUP BY 1), g AS (SELECT stim, unnest(range(CAST(ceil(m / 16.0) AS BIGINT))) AS frame FROM c) SELECT stim, frame, CAST((frame * 16 - 4) / 100.0 AS DOUBLE) AS start, CAST(frame * 16 / 100.0 AS DOUBLE) AS onset, CAST((frame * 16 + 16) / 100.0 AS DOUBLE) AS offset, CAST((frame * 16 + 18) / 100.0 AS DOUBLE) AS end FROM g",
     "frame_catalog": f"WITH {SAMPLES}, k AS (SELECT stim, n FROM s WHERE event_id % 29 <> 0), r AS (SELECT stim, n, row_number() OVER (PARTITION BY stim ORDER BY n) - 1 AS i FROM k) SELECT stim, CAST(count(*) FILTER (WHERE n = i) AS BIGINT) AS frames FROM r GROUP BY stim",
 }

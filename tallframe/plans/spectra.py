@@ -16,10 +16,6 @@ from tallframe.streaming.frames import framed
 BINS, RATE = 400, 8000.0
 
 
-def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.arrays(samples(spark, sf_dir))
-
-
 def erb_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = spark.range(1, 201).select((F.col("id") * 50.0).alias("hz"))
     e, p = C.hz_to_erb(F.col("hz")), C.hz_to_erb_ferret(F.col("hz"))
@@ -70,18 +66,6 @@ def mexican_hat_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(0, 49).select(F.col("id").alias("k"), rounded(g * F.exp(1 - g), 8).alias("h"))
 
 
-def dft_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.magnitudes(waves(spark, sf_dir)).select("stim", "bin", rounded("magnitude", 4).alias("magnitude"))
-
-
-def circular_autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.circular_autocorrelation(waves(spark, sf_dir)).select("stim", "lag", rounded("ac", 4).alias("ac"))
-
-
-def hilbert_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.envelope(waves(spark, sf_dir)).select("stim", "n", rounded("x", 4).alias("x"))
-
-
 def short(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stimuli cut into frames of 64 samples, the last filled with zeros."""
     f = grid.frames(samples(spark, sf_dir), 64, 64)
@@ -92,21 +76,12 @@ def short(spark: SparkSession, sf_dir: str) -> DataFrame:
 FRAME_BANK = banks.linear_bank(4, 4.0, 28.0)
 
 
-def subband_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.subbands(short(spark, sf_dir), FRAME_BANK, 64.0).select("stim", "channel", F.posexplode("v").alias("n", "x")).select("stim", "channel", "n", rounded("x", 4).alias("x"))
-
-
 def subband_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis and synthesis: the frames again."""
     back = spectral.collapse(spectral.subbands(short(spark, sf_dir), FRAME_BANK, 64.0), FRAME_BANK, 64.0)
     return back.select("stim", F.posexplode("samples").alias("n", "x")).select("stim", "n", (rounded("x", 4) + 0.0).alias("x"))
 
 
-def cochleagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spectral.cochleagrams(short(spark, sf_dir), FRAME_BANK, 64.0, 16.0, spacing=0.25)
-    return out.select("stim", "frame", F.posexplode("v").alias("k", "x")).select("stim", "frame", "k", rounded("x", 5).alias("x"))
-
-
 def modulation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     coch = spectral.cochleagrams(short(spark, sf_dir), FRAME_BANK, 64.0, 16.0, spacing=0.25)
     out = spectral.modulations(coch, "spectempmod", [1.0, 2.0], [0.5, 1.0], 16.0, 4.0, nonlinearity="modulus", pad=2)
@@ -144,7 +119,7 @@ def windowed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stim", micros("start").alias("start_us"), "n", rounded("mean").alias("mean"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (erb_scale, log_freq_axis, fft_freqs, erb_filterbank, erb_filterbank_double, lin_filterbank, octave_filterbank, constq_filterbank, gammatone_ir, mexican_hat_tf, dft_magnitude, circular_autocorr, hilbert_envelope, subband_filter, subband_collapse, cochleagram, modulation_filter, filter_roundtrip, texture_stats, mel_spectrogram, model_infer_standin, windowed_frames)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (erb_scale, log_freq_axis, fft_freqs, erb_filterbank, erb_filterbank_double, lin_filterbank, octave_filterbank, constq_filterbank, gammatone_ir, mexican_hat_tf, subband_collapse, modulation_filter, filter_roundtrip, texture_stats, mel_spectrogram, model_infer_standin, windowed_frames)}
 
 ERB = "(9.265 * ln(1 + (%s) / (24.7 * 9.265)))"
 FERRET = "(((%s) / 1000.0) ** (1 - 0.533) / (0.31 * (1 - 0.533)))"
@@ -164,7 +139,6 @@ def even(n: int, over: int, scale: str) -> str:
 
 
 N67 = f"{SAMPLES}, c AS (SELECT stim, count(*) AS m FROM s GROUP BY stim), t AS (SELECT s.stim, s.n, s.x, c.m FROM s JOIN c USING (stim))"
-DFT = f"{N67}, d AS (SELECT a.stim, b.n AS k, any_value(a.m) AS m, sum(a.x * cos(2 * pi() * ((a.n * b.n) % a.m) / a.m)) AS re, -sum(a.x * sin(2 * pi() * ((a.n * b.n) % a.m) / a.m)) AS im FROM t a JOIN t b ON a.stim = b.stim GROUP BY a.stim, b.n)"
 ORACLES = {
     "erb_scale": f"SELECT hz, round(e, 6) AS erb, round(24.7 * 9.265 * (exp(e / 9.265) - 1), 4) AS back, round(p, 6) AS erb_ferret, round((p * 0.31 * (1 - 0.533)) ** (1 / (1 - 0.533)) * 1000, 4) AS back_ferret FROM (SELECT hz, {ERB % 'hz'} AS e, {FERRET % 'hz'} AS p FROM (SELECT CAST(unnest(range(1, 201)) * 50 AS DOUBLE) AS hz))",
     "log_freq_axis": "SELECT k, round(pow(2, log2(50) + k / 24.0), 4) AS hz FROM (SELECT unnest(range(168)) AS k)",
@@ -176,11 +150,6 @@ ORACLES = {
     "constq_filterbank": bank_sql("SELECT CAST(k AS INTEGER) AS filter, c / 2 AS low, c AS mid, c * 1.5 AS high FROM (SELECT k, 2 ** (log2(100.0) + k * (log2(3000.0) - log2(100.0)) / 11) AS c FROM (SELECT unnest(range(12)) AS k))", f"k * {RATE} / {BINS}"),
     "gammatone_ir": "SELECT n, round(sin(8 * pi() * t) * (4 * t) ** 2 * exp(-14 * t), 8) AS g FROM (SELECT n, n / 200.0 AS t FROM (SELECT unnest(range(200)) AS n))",
     "mexican_hat_tf": "SELECT k, round(g * exp(1 - g), 8) AS h FROM (SELECT k, (k * 0.125) ** 2 AS g FROM (SELECT unnest(range(49)) AS k))",
-    "dft_magnitude": f"WITH {DFT} SELECT stim, k AS bin, round(sqrt(re * re + im * im), 4) AS magnitude FROM d",
-    "circular_autocorr": f"WITH {N67} SELECT a.stim, (a.n - b.n + a.m) % a.m AS lag, round(sum(a.x * b.x) / any_value(a.m), 4) AS ac FROM t a JOIN t b ON a.stim = b.stim GROUP BY 1, 2",
-    "hilbert_envelope": f"""WITH {DFT}, w AS (SELECT stim, k, m, re, im, CASE WHEN k = 0 OR 2 * k = m THEN 1 WHEN 2 * k < m THEN 2 ELSE 0 END AS w FROM d),
-a AS (SELECT t.stim, t.n, sum(w * (re * cos(2 * pi() * ((k * t.n) % t.m) / t.m) - im * sin(2 * pi() * ((k * t.n) % t.m) / t.m))) / any_value(t.m) AS re, sum(w * (re * sin(2 * pi() * ((k * t.n) % t.m) / t.m) + im * cos(2 * pi() * ((k * t.n) % t.m) / t.m))) / any_value(t.m) AS im FROM t JOIN w USING (stim) GROUP BY t.stim, t.n)
-SELECT stim, n, round(sqrt(re * re + im * im), 4) AS x FROM a""",
     "subband_collapse": f"""WITH {N67}, g AS (SELECT DISTINCT stim, m, unnest(range(CASE WHEN m <= 64 THEN 1 ELSE CAST(ceil((m - 64) / 64.0) AS BIGINT) + 1 END)) AS frame FROM c), p AS (SELECT *, unnest(range(64)) AS n FROM g)
 SELECT p.stim || '-' || frame AS stim, CAST(p.n AS INTEGER) AS n, round(coalesce(s.x, 0), 4) + 0.0 AS x FROM p LEFT JOIN s ON s.stim = p.stim AND s.n = frame * 64 + p.n""",
     "windowed_frames": """WITH e AS (SELECT user_id AS stim, epoch_us(ts) AS us, value AS x FROM events), k AS (SELECT unnest([0, 1]) AS k),

@@ -1,8 +1,10 @@
-"""A session with the settings that the library expects."""
+"""A session with the settings that the library expects, and checkpoints in the folder that a cluster shares."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tallframe", **settings: str) -> SparkSession:
@@ -15,3 +17,17 @@ def session(name: str = "tallframe", **settings: str) -> SparkSession:
     }
     conf |= {k.replace("_", "."): v for k, v in settings.items()}
     return SparkSession.builder.appName(name).config(map=conf).getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder that ``spark.checkpoint.dir`` names and read again; what made them is forgotten.
+
+    One machine may do without the setting; a cluster, whose machines don't see each other's folders, may not.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
+    return df.checkpoint()
