@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tomllib
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields, replace
 
@@ -33,7 +36,7 @@ class Settings:
 
 
 #: Sets of settings by name; a file or an override changes single ones.
-PRESETS = {"default": {}, "toy": {"nfilts": 10, "pc": 5}, "natsound": {"out_sr": 25.0}, "spectrogram": {"feature": "spectrogram", "pc": 0}}
+PRESETS = {"default": {}, "toy": {"nfilts": 10, "pc": 5}, "slow": {"out_sr": 25.0}, "spectrogram": {"feature": "spectrogram", "pc": 0}}
 
 
 def checked(values: dict[str, object]) -> dict[str, object]:
@@ -79,25 +82,63 @@ def describe(spark: SparkSession, s: Settings, variant: str, dimensions: str) ->
     row.write.mode("overwrite").parquet(f"{s.root}/metadata/feature={s.feature}/variant={variant}")
 
 
+#: Settings that a stored feature depends on, and those that its components depend on besides.
+ORIGINAL = ("feature", "variant", "out_sr", "window_from", "window_to", "modulation_type", "nonlin", "nfilts")
+COMPONENTS = (*ORIGINAL, "pc", "pca_weights_from")
+
+
+def signature(s: Settings, names: tuple[str, ...]) -> str:
+    """A hash of settings, the same wherever they come from."""
+    return hashlib.sha256(json.dumps({k: getattr(s, k) for k in names}, sort_keys=True).encode()).hexdigest()
+
+
+def signed(s: Settings, variant: str) -> str:
+    return f"{s.root}/signature/feature={s.feature}/variant={variant}"
+
+
+def is_current(spark: SparkSession, s: Settings, variant: str, names: tuple[str, ...]) -> bool:
+    """Whether the store holds the variant, whole, made with these settings."""
+    try:
+        row = spark.read.parquet(signed(s, variant)).first()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return row is not None and row.signature == signature(s, names) and stored(spark, s.root, s.feature, variant) is not None
+
+
+def store(spark: SparkSession, made: DataFrame, s: Settings, variant: str, names: tuple[str, ...], dimensions: str) -> DataFrame:
+    """Writes a feature beside the stored one, puts it in that one's place once it is whole, then its description and, last, its signature."""
+    path = f"{s.root}/feature={s.feature}/variant={variant}"
+    new = f"{s.root}/_new/{uuid.uuid4()}"
+    made.write.parquet(new)
+    files.replace_folder(spark, new, path)
+    describe(spark, s, variant, dimensions)
+    row = spark.createDataFrame([(signature(s, names), json.dumps({k: getattr(s, k) for k in names}, sort_keys=True))], "signature string, settings string")
+    row.write.mode("overwrite").parquet(signed(s, variant))
+    return files.read_features(spark, s.root, s.feature, variant)
+
+
 def compute(spark: SparkSession, s: Settings, registry: dict[str, Callable[[SparkSession, Settings], DataFrame]]) -> DataFrame | None:
-    """The feature ``stim, frame, v`` of the settings, computed and stored, or read where it is stored already.
+    """The feature ``stim, frame, v`` of the settings, computed and stored, or read where it is stored with these settings already.
 
-    ``overwrite`` computes it anew; without ``compute_original`` it must be stored; ``meta_only`` writes the
-    description alone. With ``pc`` its first components are fitted (or read from ``pca_weights_from``), applied and stored too.
-    What was read before an overwrite must be read again.
+    What is stored with other settings, or wasn't stored whole, is computed anew. ``overwrite`` computes it in any case; without ``compute_original`` it
+    must be stored with these settings; ``meta_only`` writes the description alone. With ``pc`` its first components are fitted (or read from
+    ``pca_weights_from``), applied and stored too. A stored feature stays until its successor is whole; what was read before must be read again.
     """
     if s.feature not in registry:
         raise ValueError(f"unknown feature {s.feature}; known are {', '.join(sorted(registry))}")
-    describe(spark, s, s.variant, "time, feature")
     if s.meta_only:
+        describe(spark, s, s.variant, "time, feature")
         return None
-    original = None if s.overwrite and s.compute_original else stored(spark, s.root, s.feature, s.variant)
-    if original is None:
-        if not s.compute_original:
-            raise ValueError(f"{s.feature} isn't stored and isn't to be computed")
-        files.write_features(registry[s.feature](spark, s), s.root, feature=s.feature, variant=s.variant)
-        original = files.read_features(spark, s.root, s.feature, s.variant)
-    if s.pc and (s.overwrite or stored(spark, s.root, s.feature, files.pca_variant(s.variant, s.pc)) is None):
+    current = is_current(spark, s, s.variant, ORIGINAL)
+    if not current and not s.compute_original:
+        raise ValueError(f"{s.feature} isn't stored with these settings and isn't to be computed")
+    again = not current or (s.overwrite and s.compute_original)
+    if again:
+        store(spark, registry[s.feature](spark, s), s, s.variant, ORIGINAL, "time, feature")
+    original = files.read_features(spark, s.root, s.feature, s.variant)
+    if s.pc and (again or s.overwrite or not is_current(spark, s, files.pca_variant(s.variant, s.pc), COMPONENTS)):
         model = load_components(spark, s.pca_weights_from) if s.pca_weights_from else fit_components(original, f"{s.root}/weights/feature={s.feature}/variant={s.variant}")
         apply_components(original, model, s)
     return original
@@ -119,10 +160,7 @@ def load_components(spark: SparkSession, path: str, k: int | None = None) -> Dat
 
 def apply_components(features: DataFrame, model: DataFrame, s: Settings) -> DataFrame:
     """Scores of all stimuli at once, stored with a description. Stimuli are rows of one table: none is concatenated or split."""
-    variant = files.pca_variant(s.variant, s.pc)
-    files.write_features(pca.project(features, model, s.pc), s.root, feature=s.feature, variant=variant)
-    describe(features.sparkSession, s, variant, "time, component")
-    return files.read_features(features.sparkSession, s.root, s.feature, variant)
+    return store(features.sparkSession, pca.project(features, model, s.pc), s, files.pca_variant(s.variant, s.pc), COMPONENTS, "time, component")
 
 
 def of_stimulus(features: DataFrame, stim: object) -> DataFrame:

@@ -116,26 +116,50 @@ def significant(bands: DataFrame, cutoff: float) -> DataFrame:
     return bands.crossJoin(F.broadcast(top)).withColumn("significant", F.coalesce(below < cutoff, F.lit(False))).drop("_top")
 
 
+def whole_features(features: DataFrame, v: str = "v") -> DataFrame:
+    """``v`` alone, null rows left out; a null or NaN among a row's features is an error, as it has no place in a sum of products."""
+    gap = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    return features.where(F.col(v).isNotNull()).select(F.when(gap, F.raise_error(F.lit("a feature is missing (null or NaN) in a row"))).otherwise(F.col(v)).alias(v))
+
+
 def outer_sums(features: DataFrame, v: str = "v") -> DataFrame:
-    """``i, g, s, n``: each task's sums of feature i's products with all features and of itself, and its number of frames."""
+    """``i, g, s, n, width``: each task's sums of feature i's products with all features and of itself, its number of frames and of features.
+
+    All rows must have the same number of features: a task raises an error for its own rows, ``equal_width`` for those of different tasks.
+    """
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, sums, n = None, None, 0
         for f in frames:
+            widths = f[v].map(len).unique()
+            if len(widths) > 1 or (total is not None and len(widths) and widths[0] != len(total)):
+                raise ValueError("rows have different numbers of features")
             x = np.asarray(f[v].tolist(), np.float64)
             if len(x):
                 total, sums, n = (x.T @ x, x.sum(axis=0), len(x)) if total is None else (total + x.T @ x, sums + x.sum(axis=0), n + len(x))
-        if n:
-            yield pd.DataFrame({"i": range(len(total)), "g": list(total), "s": sums, "n": n})
+        if n and len(total):
+            yield pd.DataFrame({"i": range(len(total)), "g": list(total), "s": sums, "n": n, "width": len(total)})
+
+    return whole_features(features, v).mapInPandas(add, "i int, g array<double>, s double, n bigint, width int")
 
-    return features.select(v).where(F.col(v).isNotNull()).mapInPandas(add, "i int, g array<double>, s double, n bigint")
+
+def equal_width() -> Column:
+    """For sums grouped by feature: the number of frames, or an error if tasks had different numbers of features."""
+    return F.when(F.min("width") == F.max("width"), F.sum("n")).otherwise(F.raise_error(F.lit("rows have different numbers of features")).cast("bigint"))
 
 
 def covariance(features: DataFrame, v: str = "v") -> DataFrame:
-    """``i, j, cov`` for i <= j of array features: one matrix of sums of products a task, added up by a shuffle of its cells."""
-    sums = outer_sums(features, v)
+    """``i, j, cov`` for i <= j of array features: one matrix of sums of products a task, added up by a shuffle of its cells.
+
+    Rows of different sizes and missing features raise an error.
+    """
+    return covariance_of(outer_sums(features, v))
+
+
+def covariance_of(sums: DataFrame) -> DataFrame:
+    """``i, j, cov`` for i <= j of sums ``i, g, s, n, width``, in any number of rows for each feature."""
     cells = sums.select("i", F.posexplode("g").alias("j", "x")).where("i <= j").groupBy("i", "j").agg(F.sum("x").alias("x"))
-    means = sums.groupBy("i").agg((F.sum("s") / F.sum("n")).alias("a"), F.sum("n").alias("n"))
+    means = sums.groupBy("i").agg((F.sum("s") / F.sum("n")).alias("a"), equal_width().alias("n"))
     both = cells.join(means, "i").join(means.select(F.col("i").alias("j"), F.col("a").alias("b")), "j")
     return both.select("i", "j", (F.col("x") / F.col("n") - F.col("a") * F.col("b")).alias("cov"))
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallframe.operators import banks, cochlea, grid, resample, transform
+from tallframe.operators import banks, cochlea, grid, pca, repeats, resample, selection, transform
 from tallframe.operators.banks import centres
 from tallframe.plans.common import SAMPLES, Query, rounded, values
-from tallframe.session import checkpointed
-from tallframe.sources.tables import samples, table
+from tallframe.session import checkpointed, shared_folder
+from tallframe.sources import wav
+from tallframe.sources.tables import micros, samples, table
+from tallframe.streaming.statistics import covariance_so_far, keep_sums
 
 SR, ENV_SR, SPACING, POWER = 64.0, 16.0, 0.25, 0.3
 BANK = banks.linear_bank(4, 4.0, 28.0)
@@ -98,9 +101,52 @@ def windowed_autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.windowed_autocorrelation(samples(spark, sf_dir), LAGS, window="hamming", undo=True).select("stim", "lag", rounded("ac", 4).alias("ac"))
 
 
+def nan_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means, counts and medians over a user's days of values of which some are NaN, some null."""
+    x = F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).when(F.col("event_id") % 13 != 0, F.col("x"))
+    own = samples(spark, sf_dir).select("label", (F.col("us") / 86_400_000_000).cast("int").alias("day"), x.alias("x"))
+    means = repeats.mean_of_repeats(own, ["label", "day"]).select("label", "day", rounded("x").alias("mean"), "n_repeats")
+    return means.join(repeats.median_of(own, ["label", "day"]).select("label", "day", rounded("x").alias("median")), ["label", "day"])
+
+
+def event_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians of groups that are far larger than what is sorted together."""
+    return selection.median(samples(spark, sf_dir), ["label"], few=64).select("label", rounded("x").alias("x"))
+
+
+def pca_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first components of embeddings, found without their covariances: eigenvalues and the share of all variance."""
+    e = table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return pca.fit_leading(e, 5).select("k", rounded("value", 5).alias("value"))
+
+
+def event_features(events: DataFrame) -> DataFrame:
+    """``v``: an event's value, hour and day."""
+    us = micros("ts")
+    return events.select(F.array(F.col("value"), F.floor(us / 3_600_000_000) % 24, F.floor(us / 86_400_000_000) - 19_723).cast("array<double>").alias("v"))
+
+
+def stream_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covariances that a stream of events leaves, read to its end."""
+    path, folder = f"{sf_dir}/events.parquet", f"{shared_folder(spark)}/stream_covariance-{uuid.uuid4()}"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(f"{path}*")
+    keep_sums(event_features(events), f"{folder}/sums", f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    return covariance_so_far(spark, f"{folder}/sums").select("i", "j", rounded("cov", 4).alias("cov"))
+
+
+def wav_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as recordings in ranges and read back in ranges of another size, scaled to 16 bits."""
+    spark.dataSource.register(wav.WavSource)
+    folder = f"{shared_folder(spark)}/wav_ranges-{uuid.uuid4()}"
+    scaled = samples(spark, sf_dir).select("stim", "n", (F.col("x") / 512).alias("x"))
+    wav.in_ranges(scaled, 50).write.format("wav").option("sr", 100).option("range", 50).mode("append").save(folder.removeprefix("file://"))
+    back = spark.read.format("wav").option("range", 32).load(folder.removeprefix("file://"))
+    return back.select(F.col("stim").cast("bigint").alias("stim"), "n", (F.col("x") * 32768).cast("bigint").alias("level"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (dft_magnitude, circular_autocorr, hilbert_envelope, noise_spectrum, subband_filter, band_collapse, cochleagram, coch_roundtrip, wavelet_bands, wavelet_roundtrip, resample_rational, resample_axes, pchip_gap, pchip_log_axis, windowed_autocorr)
+    for f in (dft_magnitude, circular_autocorr, hilbert_envelope, noise_spectrum, subband_filter, band_collapse, cochleagram, coch_roundtrip, wavelet_bands, wavelet_roundtrip, resample_rational, resample_axes, pchip_gap, pchip_log_axis, windowed_autocorr, nan_repeats, event_median, pca_leading, stream_covariance, wav_ranges)
 }
 
 TIMES = f"{SAMPLES}, c AS (SELECT stim, count(*) AS m FROM s GROUP BY stim), t AS (SELECT s.stim, s.n, s.x, c.m FROM s JOIN c USING (stim))"
@@ -177,6 +223,12 @@ UNION ALL SELECT stim, 0, n, round(avg(x) OVER (PARTITION BY stim), 4) FROM t"""
 SAME = f"WITH {SAMPLES} SELECT stim, n, round(x, 4) AS x FROM s"
 GAPS = f"{SAMPLES}, v AS (SELECT stim, n, x FROM s WHERE event_id % 17 <> 0 AND event_id % 19 <> 0)"
 ORACLES = {
+    "stream_covariance": """WITH e AS (SELECT unnest([0, 1, 2]) AS k, unnest([value, (epoch_us(ts) // 3600000000) % 24, epoch_us(ts) // 86400000000 - 19723]) AS x, event_id FROM events)
+SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(covar_pop(a.x, b.x), 4) AS cov FROM e a JOIN e b USING (event_id) WHERE a.k <= b.k GROUP BY a.k, b.k""",
+    "wav_ranges": f"WITH {SAMPLES} SELECT stim, n, CAST(round_even(x / 512 * 32768, 0) AS BIGINT) AS level FROM s",
+    "nan_repeats": f"""WITH {SAMPLES} SELECT label, CAST(us // 86400000000 AS INTEGER) AS day, round(avg(x) FILTER (event_id % 11 <> 0 AND event_id % 13 <> 0), 6) AS mean, count(*) FILTER (event_id % 11 <> 0 AND event_id % 13 <> 0) AS n_repeats,
+round(median(x) FILTER (event_id % 11 <> 0 AND event_id % 13 <> 0), 6) AS median FROM s GROUP BY 1, 2""",
+    "event_median": "SELECT event_type AS label, round(median(value), 6) AS x FROM events GROUP BY event_type",
     "dft_magnitude": f"WITH {DFT} SELECT stim, k AS bin, round(sqrt(re * re + im * im), 4) AS magnitude FROM d",
     "noise_spectrum": f"WITH {DFT} SELECT stim, k AS bin, round(sqrt(re * re + im * im), 4) AS magnitude FROM d",
     "circular_autocorr": f"WITH {TIMES} SELECT a.stim, (a.n - b.n + a.m) % a.m AS lag, round(sum(a.x * b.x) / any_value(a.m), 4) AS ac FROM t a JOIN t b ON a.stim = b.stim GROUP BY 1, 2",

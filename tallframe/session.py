@@ -19,15 +19,18 @@ def session(name: str = "tallframe", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=conf).getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that ``spark.checkpoint.dir`` names and read again; what made them is forgotten.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all machines see. One machine may do without the setting; a cluster may not."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return named or tempfile.mkdtemp()
+
 
-    One machine may do without the setting; a cluster, whose machines don't see each other's folders, may not.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again; what made them is forgotten."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if named is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(named or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

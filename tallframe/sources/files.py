@@ -93,6 +93,21 @@ def write_features(features: DataFrame, path: str, *, feature: str, variant: str
     features.write.mode(mode).parquet(f"{path}/feature={feature}/variant={variant}")
 
 
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """Puts a folder that is whole in the place of another, if there is one, which stays beside it until then."""
+    jvm = spark._jvm
+    at, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(at.getParent())
+    old = source.suffix(".old")
+    if system.exists(at):
+        system.rename(at, old)
+    if not system.rename(source, at):
+        system.rename(old, at)
+        raise OSError(f"{new} can't be moved to {path}")
+    system.delete(old, True)
+
+
 def read_features(spark: SparkSession, path: str, feature: str, variant: str = "original") -> DataFrame:
     return spark.read.parquet(f"{path}/feature={feature}/variant={variant}")
 
