@@ -1,11 +1,16 @@
 """Transforms, resampling, interpolation, selection and neighbours against numpy, at lengths and buckets that cross every edge."""
 
+import glob
+import os
+import wave
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallframe.operators import banks, cochlea, features, grid, kernels, order, repeats, resample, selection, stats, transform
-from tallframe.sources import files
+from tallframe.operators import banks, cochlea, features, grid, kernels, order, pca, repeats, resample, selection, stats, transform
+from tallframe.sources import files, wav
+from tallframe.streaming import statistics
 
 LENGTHS = [1, 2, 3, 4, 5, 7, 16, 31, 64, 97, 200, 20_001]
 
@@ -210,3 +215,85 @@ def test_stored_features_follow_their_settings(spark, tmp_path):
     with pytest.raises(Exception, match="late"):
         features.compute(spark, features.replace(other, overwrite=True), {"coch": late})
     assert files.read_features(spark, str(tmp_path), "coch").count() == 9
+
+
+def test_leading_components_are_the_exact_ones(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("embedding").cast("array<double>").alias("v")).repartition(7)
+    x = np.array([r.v for r in e.collect()])
+    values, vectors = np.linalg.eigh(np.cov(x.T, bias=True))
+    got = pca.fit_leading(e, 6).orderBy("k").collect()
+    for r, value, w in zip(got, values[::-1], vectors.T[::-1], strict=False):
+        assert np.isclose(r.value, value, rtol=1e-9) and np.isclose(abs(np.dot(r.weights, w)), 1, atol=1e-9) and np.abs(np.array(r.weights) - w * np.sign(np.dot(r.weights, w))).max() < 1e-6
+    assert pca.fit_leading(e.limit(0), 3).count() == 0
+    raw = pca.fit_leading(e, 2, demean=False).orderBy("k").collect()
+    assert np.allclose([r.value for r in raw], np.linalg.eigvalsh(x.T @ x / len(x))[::-1][:2])
+
+
+def test_leading_components_of_more_features_than_rows_and_restarts(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 9000)) * np.exp(-np.arange(40) / 4)[:, None]
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(3)
+    got = pca.fit_leading(df, 3, over=1).orderBy("k").collect()
+    _, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose([r.value for r in got], s[:3] ** 2 / 40, rtol=1e-8)
+    assert all(np.isclose(abs(np.dot(r.weights, w)), 1, atol=1e-8) for r, w in zip(got, vt, strict=False))
+    constant = spark.createDataFrame([([1.0, 2.0, 3.0],)] * 4, "v array<double>")
+    assert all(abs(r.value) < 1e-12 for r in pca.fit_leading(constant, 2).collect())
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 4))
+
+    def put(k):
+        spark.createDataFrame([(r.tolist(),) for r in x[k * 30 : k * 30 + 30]], "v array<double>").coalesce(2).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        stream = spark.readStream.schema("v array<double>").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        statistics.keep_sums(stream, f"{tmp_path}/sums", f"{tmp_path}/checkpoint", availableNow=True).awaitTermination()
+        return {(r.i, r.j): r.cov for r in statistics.covariance_so_far(spark, f"{tmp_path}/sums").collect()}
+
+    for k in range(3):
+        put(k)
+        want = np.cov(x[: k * 30 + 30].T, bias=True)
+        got = run()
+        assert len(got) == 10 and all(np.isclose(v, want[i, j]) for (i, j), v in got.items())
+
+
+def test_recordings_in_ranges(spark, tmp_path):
+    spark.dataSource.register(wav.WavSource)
+    rng = np.random.default_rng(6)
+    waves = {"a": rng.uniform(-1, 1, 1000), "b": rng.uniform(-1, 1, 30), "c": np.array([-1.0, 1.0])}
+    df = spark.createDataFrame([(k, n, float(v)) for k, x in waves.items() for n, v in enumerate(x)], "stim string, n bigint, x double").repartition(5)
+    path = str(tmp_path / "out")
+    wav.in_ranges(df, 64).write.format("wav").option("sr", 8000).option("range", 64).mode("append").save(path)
+    back = spark.read.format("wav").option("range", 50).load(path)
+    assert back.rdd.getNumPartitions() > 20
+    got = arrays(back, "x")
+    for k, x in waves.items():
+        assert np.allclose(got[k], np.minimum(x, 32767 / 32768), atol=1 / 65536 + 1e-12)
+    assert {os.path.basename(p)[0] for p in glob.glob(f"{path}/*")} == set("abc")
+    wav.in_ranges(df.where("stim = 'b'"), 64).write.format("wav").option("sr", 8000).option("range", 64).mode("overwrite").save(path)
+    assert set(arrays(spark.read.format("wav").load(path), "x")) == {"b"}
+    loud = df.withColumn("x", F.col("x") * 2)
+    with pytest.raises(Exception, match="would clip"):
+        wav.in_ranges(loud, 64).write.format("wav").option("sr", 8000).option("range", 64).mode("append").save(path)
+    with pytest.raises(Exception, match="out of place|several tasks"):
+        df.repartition(3).write.format("wav").option("sr", 8000).option("range", 64).mode("append").save(path)
+    assert set(arrays(spark.read.format("wav").load(path), "x")) == {"b"} and not glob.glob(f"{path}/_*")
+
+
+@pytest.mark.parametrize("width,channels", [(1, 1), (2, 2), (3, 1), (4, 3)])
+def test_kinds_of_files(spark, tmp_path, width, channels):
+    spark.dataSource.register(wav.WavSource)
+    raw = np.random.default_rng(7).integers(0, 256, (37, channels, width), dtype=np.uint8)
+    with wave.open(str(tmp_path / "x.wav"), "wb") as w:
+        w.setparams((channels, width, 100, 0, "NONE", ""))
+        w.writeframes(raw.tobytes())
+    for kind in ("mean", "first"):
+        got = arrays(spark.read.format("wav").option("range", 10).option("channels", kind).load(str(tmp_path)), "x")["x"]
+        want = files.read_wav(spark, str(tmp_path), channels=kind).first().samples
+        assert np.array_equal(got, want)
+    (tmp_path / "y.wav").write_bytes(b"RIFFxxxxJUNK")
+    with pytest.raises(Exception, match="no WAV file"):
+        spark.read.format("wav").load(str(tmp_path)).collect()
