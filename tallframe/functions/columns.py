@@ -50,6 +50,24 @@ def clean_label(label: Column) -> Column:
     return F.regexp_replace(F.upper(label), r"\d+", "")
 
 
+#: Contractions that the endings don't explain, in lower case.
+CONTRACTIONS = {"ain't": "is not", "can't": "cannot", "won't": "will not", "shan't": "shall not", "sha'n't": "shall not", "let's": "let us", "so's": "so as", "'cause": "because", "o'clock": "of the clock", "ma'am": "madam", "y'all": "you all", "how'd'y": "how do you", "how'd": "how did", "where'd": "where did"}
+#: Endings and the words they stand for, and words after which 's is a verb; after others it marks an owner.
+ENDINGS = {"'ve": "have", "'d": "would", "'ll": "will", "'re": "are", "'m": "am", "n't": "not"}
+VERBAL = ("he", "she", "it", "that", "there", "what", "when", "where", "who", "why", "how")
+
+
+def expanded(label: Column) -> Column:
+    """Lower-cased words with contractions written out: those that have words of their own, wherever a word begins with one, then endings, then 's."""
+    out = F.translate(F.lower(label), "\u2019", "'")
+    for contraction in sorted(CONTRACTIONS, key=len, reverse=True):
+        out = F.regexp_replace(out, rf"(?<![\w']){contraction}(?![\w])", CONTRACTIONS[contraction])
+    for ending, meaning in ENDINGS.items():
+        out = F.regexp_replace(out, rf"(?<=\w){ending}(?!\w)", f" {meaning}")
+    out = F.regexp_replace(out, rf"\b({'|'.join(VERBAL)})'s(?!\w)", "$1 is")
+    return F.regexp_replace(out, r"(?<=\w)'s(?!\w)", "")
+
+
 def base_name(path: Column) -> Column:
     """A file's name without folders and its last extension."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
@@ -78,11 +96,30 @@ def decibels(ratio: Column) -> Column:
     return F.when(ratio > 0, F.lit(10.0) * F.log10(ratio))
 
 
-def frequency_bin(k: Column, n: int, sr: float) -> Column:
+def frequency_bin(k: Column, n: int | Column, sr: float) -> Column:
     """The frequency of bin k of a transform of n points; the Nyquist frequency is positive."""
-    return F.when(k <= F.lit(n // 2), k).otherwise(k - F.lit(n)) * F.lit(sr / n)
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(k <= F.floor(n / 2), k).otherwise(k - n) * F.lit(float(sr)) / n
 
 
-def shifted_bin(k: Column, n: int) -> Column:
+def shifted_bin(k: Column, n: int | Column) -> Column:
     """Where bin k stands when frequencies ascend and the Nyquist frequency comes last."""
-    return F.pmod(k + F.lit((n - 1) // 2), F.lit(n))
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.pmod(k + F.floor((n - 1) / 2), n)
+
+
+def log_frequency(k: Column, low: float, per_octave: float) -> Column:
+    """The frequency of place k on an axis of so many places an octave from ``low``."""
+    return F.pow(F.lit(2.0), F.log2(F.lit(float(low))) + k / F.lit(float(per_octave)))
+
+
+def gammatone(t: Column, rate: Column) -> Column:
+    """The impulse response of a gammatone of a rate."""
+    turn = t * rate
+    return turn * turn * F.exp(-3.5 * turn) * F.sin(2 * math.pi * turn)
+
+
+def mexican_hat(f: Column, scale: float) -> Column:
+    """The transfer function of a Mexican hat, one at its scale."""
+    g = F.pow(f / F.lit(float(scale)), F.lit(2.0))
+    return g * F.exp(1 - g)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tallframe.functions.columns import clean_label
 from tallframe.operators import joins
@@ -100,8 +101,9 @@ def words(events: DataFrame, rate: float, least: int, most: int = 10_000) -> Dat
 
 
 def combined(*sets: DataFrame) -> DataFrame:
-    """Feature sets side by side: the frames of any, with 0 where a set has none."""
-    out = sets[0]
-    for s in sets[1:]:
-        out = out.join(s, ["stim", "frame"], "full")
-    return out.fillna(0)
+    """Feature sets side by side: the frames of any, with 0 in the numeric columns of a set that lacks the frame; nulls that a set holds stay."""
+    out = sets[0].withColumn("_0", F.lit(True))
+    for k, s in enumerate(sets[1:], 1):
+        out = out.join(s.withColumn(f"_{k}", F.lit(True)), ["stim", "frame"], "full")
+    filled = {c: F.when(F.col(f"_{k}").isNull(), F.lit(0)).otherwise(F.col(c)).cast(s.schema[c].dataType) for k, s in enumerate(sets) for c in s.columns if c not in ("stim", "frame") and isinstance(s.schema[c].dataType, NumericType)}
+    return out.withColumns(filled).drop(*[f"_{k}" for k in range(len(sets))])

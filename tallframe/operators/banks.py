@@ -140,6 +140,16 @@ def lobe_columns(bank: Bank, freq: Column) -> list[Column]:
     return [h * F.lit(bank.gain) for h in (*first, *(lobe(*x) for x in bank.lobes), *last)]
 
 
+def lobes_at(df: DataFrame, bank: Bank, freq: Column) -> DataFrame:
+    """Adds ``filter, h`` to each row: the lobes whose frequencies hold the row's, by built-in functions; a row that no lobe holds has none."""
+    w = warp_column(bank.scale, freq)
+    lobes = F.array(*[F.struct(F.lit(k).alias("filter"), *[F.lit(float(v)).alias(c) for c, v in zip(("low", "mid", "high"), x, strict=True)]) for k, x in enumerate(bank.lobes)])
+    met = df.withColumn("_w", w).withColumn("_f", F.explode(F.filter(lobes, lambda f: (F.col("_w") > f["low"]) & (F.col("_w") < f["high"]))))
+    low, mid, high = (F.col(f"_f.{c}") for c in ("low", "mid", "high"))
+    h = F.cos((F.col("_w") - mid) / F.when(F.col("_w") < mid, mid - low).otherwise(high - mid) * F.lit(math.pi / 2)) * F.lit(bank.gain or 1.0)
+    return met.select(*df.columns, F.col("_f.filter").alias("filter"), h.alias("h"))
+
+
 def bank_table(spark: SparkSession, bank: Bank, n: int, sr: float) -> DataFrame:
     """``filter, bin, freq, h`` of the lobes alone, by built-in functions; bins outside a lobe have no row."""
     lobes = spark.createDataFrame([(k, *x) for k, x in enumerate(bank.lobes)], "filter int, low double, mid double, high double")

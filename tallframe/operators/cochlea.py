@@ -5,12 +5,11 @@ Nothing gathers a stimulus: envelopes are transforms' results, time is resampled
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallframe.functions.columns import gammatone
 from tallframe.operators.banks import Bank, centres
 from tallframe.operators.resample import pchip, resampled
 from tallframe.operators.transform import collapsed, fourier, inverse_fourier, signals, subbands
@@ -81,8 +80,7 @@ def wavelet_responses(lengths_: DataFrame, rates: list[float], sr: float) -> Dat
     blocks = lengths_.select("m", F.explode(own).alias("w")).select("m", "w.filter", "w.rate").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / block))))
     rows = blocks.repartition("m", "filter", "b").withColumn("n", F.explode(F.sequence(F.col("b") * block, F.least(F.col("m"), (F.col("b") + 1) * block) - 1)))
     shift = F.round(F.lit(2 / 3.5 * sr) / F.col("rate"))
-    t = F.pmod(F.col("n") + shift, F.col("m")) / F.lit(float(sr)) * F.col("rate")
-    g = t * t * F.exp(-3.5 * t) * F.sin(2 * math.pi * t)
+    g = gammatone(F.pmod(F.col("n") + shift, F.col("m")) / F.lit(float(sr)), F.col("rate"))
     spectrum = fourier(rows.select(F.col("m").alias("length"), "filter", "m", "n", g.alias("re"), F.lit(0.0).alias("im")), ["length", "filter"])
     top = spectrum.groupBy("length", "filter").agg(F.max(F.hypot("re", "im")).alias("top"))
     out = spectrum.join(top, ["length", "filter"]).select("m", "filter", "n", (F.col("re") / F.col("top")).alias("hre"), (F.col("im") / F.col("top")).alias("him"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallframe.functions.columns import expanded
+
 
 def exactly_one(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Joins each row with its one row on the right; a key with none or several raises an error."""
@@ -24,17 +29,43 @@ def within(left: DataFrame, right: DataFrame, x: str, y: str, tolerance: float)
     return own.join(near, hit, "left_semi").drop("_cell")
 
 
-def nearest(queries: DataFrame, targets: DataFrame, x: str, y: str, number: str) -> DataFrame:
-    """For each ``x``, the ``y`` and ``number`` of the nearest target (the least number, if several are).
+def nearest(queries: DataFrame, targets: DataFrame, x: str, y: str, number: str, *, bucket_rows: int = 100_000) -> DataFrame:
+    """For each ``x``, the ``y`` and ``number`` of the nearest target (the least number, if several are); null where x is null or there are no targets.
 
-    Targets are few and broadcast as one sorted array when their size is at most a million; more raise an error.
+    Distinct values of both sides stand in one order, cut into buckets of about ``bucket_rows``. In a bucket the last target before and the first
+    behind a value are taken; only buckets' first and last targets are ordered across buckets. Rows find their value's answer by an equi-join.
     """
-    distinct = targets.groupBy(y).agg(F.min(number).alias("_i"))
-    if distinct.count() > 1_000_000:
-        raise ValueError("more than a million distinct targets")
-    array = distinct.agg(F.sort_array(F.collect_list(F.struct(F.col(y).alias("y"), F.col("_i").alias("i")))).alias("_all"))
-    near = F.array_min(F.transform("_all", lambda t: F.struct(F.abs(t["y"] - F.col(x)).alias("d"), t["i"].alias("i"), t["y"].alias("y"))))
-    return queries.crossJoin(F.broadcast(array)).withColumn("_near", near).select(*queries.columns, F.col("_near.y").alias("nearest"), F.col("_near.i").alias("nearest_number"))
+    ys = targets.where(F.col(y).isNotNull()).groupBy(F.col(y).cast("double").alias("_v")).agg(F.min(F.struct(F.col(number), F.col(y))).alias("_t"))
+    xs = queries.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("_v")).distinct().withColumn("_q", F.lit(True))
+    both = ys.join(xs, "_v", "full")
+    count = both.count()
+    cuts = max(0, count // bucket_rows)
+    if cuts:
+        found = both.agg(F.percentile_approx("_v", [k / (cuts + 1) for k in range(1, cuts + 1)], 20 * cuts + 1000)).first()[0]
+        edges = F.array(*[F.lit(float(v)) for v in found])
+        both = both.withColumn("_bucket", F.size(F.filter(edges, lambda e: e < F.col("_v"))))
+    else:
+        both = both.withColumn("_bucket", F.lit(0))
+    target = F.when(F.col("_t").isNotNull(), F.struct("_v", F.col(f"_t.{number}").alias("i"), F.col(f"_t.{y}").alias("y")))
+    both = both.withColumn("_t", target)
+    ends = both.groupBy("_bucket").agg(F.min_by("_t", F.when(F.col("_t").isNotNull(), F.col("_v"))).alias("_first"), F.max_by("_t", F.when(F.col("_t").isNotNull(), F.col("_v"))).alias("_last"))
+    up, down = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select("_bucket", F.last("_last", ignorenulls=True).over(up).alias("_low"), F.first("_first", ignorenulls=True).over(down).alias("_high"))  # a row a bucket
+    inside = Window.partitionBy("_bucket").orderBy("_v")
+    before = F.coalesce(F.last("_t", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_low"))
+    behind = F.coalesce(F.first("_t", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("_high"))
+    sided = both.join(ends, "_bucket").select("_v", "_q", before.alias("_a"), behind.alias("_b")).where("_q")
+    near = F.array_min(F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._v") - F.col("_v")).alias("d"), F.col(f"{c}.i").alias("i"), F.col(f"{c}.y").alias("y"))) for c in ("_a", "_b")]), lambda t: t.isNotNull()))
+    answers = sided.select("_v", near.alias("_near"))
+    return queries.join(answers, F.col(x).cast("double") == F.col("_v"), "left").select(*queries.columns, F.col("_near.y").alias("nearest"), F.col("_near.i").alias("nearest_number"))
+
+
+def value_grid(most: int = 1_000_000, **columns: DataFrame) -> DataFrame:
+    """All combinations of the distinct values of one-column tables, which must be few: more than ``most`` combinations raise an error."""
+    grids = {name: df.toDF(name).where(F.col(name).isNotNull()).distinct() for name, df in columns.items()}
+    if math.prod(g.count() for g in grids.values()) > most:
+        raise ValueError(f"more than {most} combinations")
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), grids.values())
 
 
 def parameter_grid(spark: SparkSession, **values: list) -> DataFrame:
@@ -64,16 +95,19 @@ def one_hot(cells: DataFrame, labels: list[str]) -> DataFrame:
     return cells.groupBy("stim", "frame").agg(*hits)
 
 
-def embedded(intervals: DataFrame, vectors: DataFrame, rate: float) -> DataFrame:
-    """``stim, frame, v``: the mean vector of the words that sound in each frame.
+def embedded(intervals: DataFrame, vectors: DataFrame, rate: float, *, contractions: bool = False) -> DataFrame:
+    """``stim, frame, k, x``: the mean vector of the words that sound in each frame, of equal intervals each.
 
-    A label of several words (at spaces or hyphens) has the mean of its words' vectors; words without one count for nothing.
+    A label of several words (at spaces or hyphens; with ``contractions``, of the words these stand for, in lower case) has the mean of its
+    words' vectors; words without one count for nothing.
     """
-    words = intervals.select("stim", "label", "onset", "offset", F.explode(F.split("label", "[ -]+")).alias("word"))
-    found = words.join(vectors.select(F.col("label").alias("word"), "v"), "word").select("stim", "onset", "offset", "label", F.posexplode("v").alias("k", "x"))
-    means = found.groupBy("stim", "label", "onset", "offset", "k").agg(F.avg("x").alias("x"))
-    sized = means.groupBy("stim", "label", "onset", "offset").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v"))
+    label = expanded(F.col("label")) if contractions else F.col("label")
+    counted = intervals.groupBy("stim", "label", "onset", "offset").agg(F.count("*").alias("many"))
+    words = counted.select("stim", "label", "onset", "offset", "many", F.explode(F.split(label, "[ -]+")).alias("word"))
+    found = words.join(vectors.select(F.col("label").alias("word"), "v"), "word").select("stim", "onset", "offset", "label", "many", F.posexplode("v").alias("k", "x"))
+    means = found.groupBy("stim", "label", "onset", "offset", "many", "k").agg(F.avg("x").alias("x"))
+    sized = means.groupBy("stim", "label", "onset", "offset", "many").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v"))
     start = F.bround(F.col("onset") * rate).cast("bigint")
     end = F.greatest(start, F.bround(F.col("offset") * rate).cast("bigint") - 1)
-    flat = sized.select("stim", F.explode(F.sequence(start, end)).alias("frame"), "v").select("stim", "frame", F.inline("v"))
-    return flat.groupBy("stim", "frame", "k").agg(F.avg("x").alias("x"))
+    flat = sized.select("stim", F.explode(F.sequence(start, end)).alias("frame"), "many", "v").select("stim", "frame", "many", F.inline("v"))
+    return flat.groupBy("stim", "frame", "k").agg((F.sum(F.col("many") * F.col("x")) / F.sum("many")).alias("x"))

@@ -20,6 +20,23 @@ def layers(spark: SparkSession, network: str) -> DataFrame:
     return spark.createDataFrame([(k, t, r) for k, (t, r) in enumerate(zip(*LAYERS[network], strict=True))], "layer int, t0 double, sr double")
 
 
+#: Sizes and strides of the convolutions that a speech network begins with, and its sampling rate.
+SPEECH = ((10, 3, 3, 3, 3, 2, 2), (5, 2, 2, 2, 2, 2, 2), 16_000.0)
+
+
+def layer_frames(stimuli: DataFrame, sizes: tuple[int, ...], strides: tuple[int, ...], sr: float, *, length: str = "length") -> DataFrame:
+    """Adds ``layer, frames, t0, sr`` to each stimulus: how many outputs each layer of a stack of convolutions has, the time of the first and their rate.
+
+    An output stands at the middle of what it sees. A stimulus that is shorter than that has no outputs in the layer and those above it.
+    """
+    left, start, made = F.col(length).cast("bigint"), 0.0, []
+    for k, (size, stride) in enumerate(zip(sizes, strides, strict=True)):
+        start, sr = start + (size - 1) / (2 * sr), sr / stride
+        left = F.greatest(F.lit(0).cast("bigint"), F.floor((left - size) / stride) + 1)
+        made.append(F.struct(F.lit(k).alias("layer"), left.alias("frames"), F.lit(start).alias("t0"), F.lit(sr).alias("sr")))
+    return stimuli.withColumn("_l", F.explode(F.array(*made))).select(*stimuli.columns, "_l.*")
+
+
 def flattened(df: DataFrame, axes: list[tuple[str, int]], *, name: str = "feature", order: str = "C") -> DataFrame:
     """The index columns ``axes`` (with their sizes) as one, the last running fastest (``C``) or the first (``F``)."""
     run = axes if order == "C" else axes[::-1]

@@ -27,8 +27,9 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = [shapes.layers(spark, k).withColumn("network", F.lit(k)) for k in shapes.LAYERS]
-    return named[0].unionByName(named[1]).unionByName(named[2]).select("network", "layer", "t0", rounded("sr").alias("sr"))
+    """How many outputs each layer of a speech network has for each stimulus, taken for ten samples an event, and when."""
+    own = signals(spark, sf_dir).groupBy("stim").agg((F.count("*") * 10).alias("length"))
+    return shapes.layer_frames(own, *shapes.SPEECH).select("stim", "layer", "frames", rounded("t0", 8).alias("t0"), rounded("sr").alias("sr"))
 
 
 def flatten_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +149,8 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positive_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = joins.parameter_grid(spark, rate=[-2.0, 0.0, 2.0, 4.0], sign=[1, -1])
-    return made.select("rate").where("rate > 0").distinct()
+    """The distinct discounts above zero."""
+    return joins.value_grid(rate=table(spark, sf_dir, "lineitem").select("l_discount")).where("rate > 0")
 
 
 def first_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +225,10 @@ def spread(source: str, rate: float = 1.0) -> str:
 
 
 ORACLES: dict[str, str] = {
-    "layer_tables": "SELECT network, CAST(layer AS INTEGER) AS layer, CAST(t0 AS DOUBLE) AS t0, round(CAST(sr AS DOUBLE), 6) AS sr FROM " + values([(n, k, t, r) for n, (a, b) in shapes.LAYERS.items() for k, (t, r) in enumerate(zip(a, b, strict=True))], "network, layer, t0, sr"),
+    "layer_tables": f"""WITH RECURSIVE c AS (SELECT user_id AS stim, count(*) * 10 AS m FROM events GROUP BY user_id), k AS (SELECT * FROM {values([(k, a, b) for k, (a, b) in enumerate(zip(*shapes.SPEECH[:2], strict=True))], "layer, size, stride")}),
+w AS (SELECT stim, -1 AS layer, m AS frames, CAST(0 AS DOUBLE) AS t0, CAST(16000 AS DOUBLE) AS sr FROM c
+      UNION ALL SELECT stim, k.layer, CASE WHEN frames < size THEN 0 ELSE (frames - size) // stride + 1 END, t0 + (size - 1) / (2 * sr), sr / stride FROM w JOIN k ON k.layer = w.layer + 1)
+SELECT stim, layer, frames, round(t0, 8) AS t0, round(sr, 6) AS sr FROM w WHERE layer >= 0""",
     "flatten_axes": f"WITH {E} SELECT vec_id, k AS c_order, k // 16 + 4 * ((k // 2) % 8) + 32 * (k % 2) AS f_order, x FROM e",
     "merge_axes": f"WITH {E} SELECT vec_id, k // 16 + 4 * ((k // 2) % 8) AS row, k % 2 AS c, x FROM e",
     "token_grid": f"WITH {E} SELECT 'all' AS stim, (vec_id - 2) % 101 AS frame, CAST(k + 3 * ((vec_id - 2) // 101) AS INTEGER) AS k, x FROM e WHERE k < 3 AND vec_id BETWEEN 2 AND 405",
@@ -255,7 +259,7 @@ SELECT a.kind AS statistic, round(10 * log10(sum(a.v * a.v) / sum((a.v - b.v) **
 p AS (SELECT g.stim, g.lag, sum(a.y * b.y) AS s FROM g JOIN y a ON a.stim = g.stim JOIN y b ON b.stim = g.stim AND b.n = a.n - 2 * g.lag GROUP BY 1, 2)
 SELECT g.stim, round(sum((coalesce(s, 0) / c / nullif(v, 0)) ** 2), 6) AS energy FROM g LEFT JOIN p USING (stim, lag) GROUP BY 1""",
     "vocabulary": "SELECT DISTINCT p_brand AS label FROM part",
-    "positive_rates": "SELECT unnest([2.0, 4.0]::DOUBLE[]) AS rate",
+    "positive_rates": "SELECT DISTINCT l_discount AS rate FROM lineitem WHERE l_discount > 0",
     "first_files": "SELECT DISTINCT url FROM pages ORDER BY url LIMIT 2",
     "rare_merge": "WITH k AS (SELECT unnest(string_split(lower(text), ' ')) AS label FROM documents), c AS (SELECT label, count(*) AS n FROM k GROUP BY label) SELECT CASE WHEN n < 10 THEN 'LOWPROB' ELSE label END AS label, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1",
     "phoneme_onehot": f"WITH {SOUNDS}, {spread('j')} SELECT stim, frame, {', '.join(ONES.format(p) for p in annotate.PHONEMES)} FROM f GROUP BY stim, frame",

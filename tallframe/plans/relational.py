@@ -62,10 +62,12 @@ def phoneme_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glove_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < len(KINDS))
-    names = F.element_at(F.array(*map(F.lit, KINDS)), F.col("vec_id").cast("int") + 1)
-    out = joins.embedded(intervals(spark, sf_dir), vectors.select(names.alias("label"), F.slice("embedding", 1, 4).alias("v")), 0.25)
-    return out.select("stim", "frame", "k", rounded("x", 5).alias("x"))
+    """Words are event types, whose vectors are the means of two labels' embeddings; of each frame's vector its size and its sum."""
+    cells = table(spark, sf_dir, "embeddings").select(F.pmod("label", F.lit(len(KINDS))).alias("word"), F.posexplode("embedding").alias("k", "x"))
+    means = cells.groupBy("word", "k").agg(F.avg("x").alias("x")).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v"))
+    vectors = means.select(F.element_at(F.array(*map(F.lit, KINDS)), F.col("word").cast("int") + 1).alias("label"), F.transform("v", lambda s: s["x"]).alias("v"))
+    frames = joins.embedded(intervals(spark, sf_dir), vectors, 0.25)
+    return frames.groupBy("stim", "frame").agg(rounded(F.sqrt(F.sum(F.col("x") * F.col("x"))), 5).alias("size"), rounded(F.sum("x"), 5).alias("total"))
 
 
 def meta_exactly_one(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +81,9 @@ def exists_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skip_existing_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return customers.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an urgent order that is done."""
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(done, "c_custkey", "left_anti")
 
 
 def tolerance_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +92,9 @@ def tolerance_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.parameter_grid(spark, scale=[0.25, 0.5, 1.0, 2.0], rate=[1, 2, 4, 8], sign=[1, -1])
+    """All combinations of the quantities, taxes and ship states that occur."""
+    line = table(spark, sf_dir, "lineitem")
+    return joins.value_grid(scale=line.select("l_quantity"), rate=line.select("l_tax"), sign=line.select("l_linestatus"))
 
 
 def nearest_elem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,14 +150,13 @@ ORACLES = {
     "notes_onset": f"WITH {HOURS}, f AS (SELECT stim, label, CAST(round_even(onset, 0) AS BIGINT) AS frame FROM i) SELECT stim, frame, {ONE_HOT} FROM f GROUP BY stim, frame",
     "beat_onset": f"WITH {HOURS}, c AS (SELECT stim, CAST(round_even(onset * 4, 0) AS BIGINT) AS a, CAST(round_even((onset + 0.5) * 4, 0) AS BIGINT) AS b FROM i WHERE label = 'click') SELECT DISTINCT stim, unnest(range(a, greatest(b, a + 1))) AS frame, 'all' AS label FROM c",
     "phoneme_attributes": "SELECT p_partkey, unnest(list_distinct(string_split(p_type, ' '))) AS label FROM part",
-    "glove_frames": f"""WITH {HOURS}, {cells(0.25)}, e AS (SELECT vec_id, {KINDS}[vec_id + 1] AS label, unnest(range(4)) AS k, unnest(embedding[1:4]) AS v FROM embeddings WHERE vec_id < 5),
-d AS (SELECT DISTINCT stim, label, onset, offs, frame FROM f)
-SELECT stim, frame, CAST(k AS INTEGER) AS k, round(avg(CAST(v AS DOUBLE)), 5) AS x FROM d JOIN e USING (label) GROUP BY stim, frame, k""",
+    "glove_frames": f"""WITH {HOURS}, {cells(0.25)}, u AS (SELECT label % 5 AS word, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), e AS (SELECT {KINDS}[word + 1] AS label, k, avg(x) AS v FROM u GROUP BY word, k),
+m AS (SELECT stim, frame, k, avg(v) AS x FROM f JOIN e USING (label) GROUP BY stim, frame, k) SELECT stim, frame, round(sqrt(sum(x * x)), 5) AS size, round(sum(x), 5) AS total FROM m GROUP BY stim, frame""",
     "meta_exactly_one": "SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey",
     "exists_semi": "SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id)",
-    "skip_existing_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "skip_existing_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')",
     "tolerance_semi": "SELECT c_custkey, c_acctbal FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE abs(c_acctbal - s_acctbal) < 5.0)",
-    "param_grid": "SELECT scale, rate, sign FROM (SELECT unnest([0.25, 0.5, 1.0, 2.0]::DOUBLE[]) AS scale), (SELECT unnest([1, 2, 4, 8]::BIGINT[]) AS rate), (SELECT unnest([1, -1]::BIGINT[]) AS sign)",
+    "param_grid": "SELECT scale, rate, sign FROM (SELECT DISTINCT l_quantity AS scale FROM lineitem), (SELECT DISTINCT l_tax AS rate FROM lineitem), (SELECT DISTINCT l_linestatus AS sign FROM lineitem)",
     "nearest_elem": """WITH q AS (SELECT s_suppkey, abs(s_acctbal) / 5 AS q FROM supplier), d AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(p_retailprice - q), p_partkey) AS r FROM q, part)
 SELECT s_suppkey, p_partkey, p_retailprice AS nearest FROM d WHERE r = 1""",
     "set_difference": "SELECT o_orderkey AS k FROM orders EXCEPT ALL SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45",

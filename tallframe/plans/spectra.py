@@ -10,60 +10,63 @@ from pyspark.sql import functions as F
 from tallframe.functions import columns as C
 from tallframe.operators import banks, grid, spectral
 from tallframe.plans.common import SAMPLES, Query, rounded
-from tallframe.sources.tables import micros, samples, table
+from tallframe.sources.tables import micros, samples, signals, table
 from tallframe.streaming.frames import framed
 
-BINS, RATE = 400, 8000.0
 
 
 def erb_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.range(1, 201).select((F.col("id") * 50.0).alias("hz"))
+    """Events' values, in tens of Hz, on two ERB scales and back."""
+    f = signals(spark, sf_dir).select("event_id", (F.col("x") * 10.0).alias("hz"))
     e, p = C.hz_to_erb(F.col("hz")), C.hz_to_erb_ferret(F.col("hz"))
-    return f.select("hz", rounded(e).alias("erb"), rounded(C.erb_to_hz(e), 4).alias("back"), rounded(p).alias("erb_ferret"), rounded(C.erb_to_hz_ferret(p), 4).alias("back_ferret"))
+    return f.select("event_id", rounded(e).alias("erb"), rounded(C.erb_to_hz(e), 4).alias("back"), rounded(p).alias("erb_ferret"), rounded(C.erb_to_hz_ferret(p), 4).alias("back_ferret"))
 
 
 def log_freq_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 24 * 7).select(F.col("id").alias("k"), rounded(F.pow(F.lit(2.0), F.log2(F.lit(50.0)) + F.col("id") / 24), 4).alias("hz"))
+    return table(spark, sf_dir, "part").select("p_partkey", rounded(C.log_frequency(F.col("p_size"), 50.0, 24.0), 4).alias("hz"))
 
 
 def fft_freqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = spark.range(0, 64).withColumnRenamed("id", "k")
-    return k.select("k", C.frequency_bin(F.col("k"), 64, 100.0).alias("even"), rounded(C.frequency_bin(F.col("k"), 65, 100.0)).alias("odd"), C.shifted_bin(F.col("k"), 64).alias("place"))
+    """The bins of each stimulus's transform: frequencies, and places when they ascend."""
+    s = samples(spark, sf_dir)
+    k = s.join(grid.lengths(s), "stim")
+    return k.select("stim", "n", rounded(C.frequency_bin(F.col("n"), F.col("length"), 100.0)).alias("hz"), C.shifted_bin(F.col("n"), F.col("length")).alias("place"))
 
 
-def bank(spark: SparkSession, b: banks.Bank) -> DataFrame:
-    return banks.bank_table(spark, b, BINS, RATE).select("filter", "bin", rounded("h").alias("h"))
+def bank(spark: SparkSession, sf_dir: str, b: banks.Bank) -> DataFrame:
+    """What each filter passes of each event, whose value stands for about an eighth of a frequency."""
+    return banks.lobes_at(signals(spark, sf_dir).select("event_id", (F.col("x") * 8.0 + 0.001).alias("hz")), b, F.col("hz")).select("event_id", "filter", rounded("h").alias("h"))
 
 
 def erb_filterbank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bank(spark, banks.erb_bank(12, 50.0, 3900.0))
+    return bank(spark, sf_dir, banks.erb_bank(12, 50.0, 3900.0))
 
 
 def erb_filterbank_double(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bank(spark, banks.erb_bank(12, 50.0, 3900.0, 2))
+    return bank(spark, sf_dir, banks.erb_bank(12, 50.0, 3900.0, 2))
 
 
 def lin_filterbank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bank(spark, banks.linear_bank(12, 50.0, 3900.0))
+    return bank(spark, sf_dir, banks.linear_bank(12, 50.0, 3900.0))
 
 
 def octave_filterbank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bank(spark, banks.octave_bank(50.0, 3900.0))
+    return bank(spark, sf_dir, banks.octave_bank(50.0, 3900.0))
 
 
 def constq_filterbank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bank(spark, banks.constant_q_bank(12, 100.0, 3000.0, 2.0))
+    return bank(spark, sf_dir, banks.constant_q_bank(12, 100.0, 3000.0, 2.0))
 
 
 def gammatone_ir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("id") / 200.0
-    g = F.sin(2 * math.pi * 4 * t) * F.pow(4 * t, F.lit(2.0)) * F.exp(-3.5 * 4 * t)
-    return spark.range(0, 200).select(F.col("id").alias("n"), rounded(g, 8).alias("g"))
+    """Samples under a gammatone of 4 Hz that begins with the stimulus."""
+    return samples(spark, sf_dir).select("stim", "n", rounded(F.col("x") * C.gammatone(F.col("n") / 200.0, F.lit(4.0)), 6).alias("g"))
 
 
 def mexican_hat_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = F.pow(F.col("id") * (24.0 / 96) / 2.0, F.lit(2.0))
-    return spark.range(0, 49).select(F.col("id").alias("k"), rounded(g * F.exp(1 - g), 8).alias("h"))
+    """Embeddings as spectra of up to 12 cycles an octave, through a Mexican hat of 2."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
+    return e.select("vec_id", "k", rounded(F.col("x").cast("double") * C.mexican_hat(F.col("k") * (12.0 / 64), 2.0)).alias("h"))
 
 
 def short(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +130,9 @@ FERRET = "(((%s) / 1000.0) ** (1 - 0.533) / (0.31 * (1 - 0.533)))"
 
 def bank_sql(lobes: str, warp: str, gain: str = "1") -> str:
     """``lobes``: a query of filter, low, mid, high."""
-    return f"""WITH f AS ({lobes}), g AS (SELECT k AS bin, k * {RATE} / {BINS} AS hz, {warp} AS w FROM (SELECT unnest(range({BINS // 2 + 1})) AS k)),
-c AS (SELECT filter, bin, hz, cos((w - mid) / (CASE WHEN w < mid THEN mid - low ELSE high - mid END) * pi() / 2) * {gain} AS h FROM f, g WHERE w > low AND w < high)
-SELECT filter, bin, round(h, 6) AS h FROM c"""
+    return f"""WITH f AS ({lobes}), g AS (SELECT event_id, {warp} AS w FROM (SELECT event_id, value * 8.0 + 0.001 AS hz FROM events)),
+c AS (SELECT event_id, filter, cos((w - mid) / (CASE WHEN w < mid THEN mid - low ELSE high - mid END) * pi() / 2) * {gain} AS h FROM f, g WHERE w > low AND w < high)
+SELECT event_id, filter, round(h, 6) AS h FROM c"""
 
 
 def even(n: int, over: int, scale: str) -> str:
@@ -140,16 +143,16 @@ def even(n: int, over: int, scale: str) -> str:
 
 N67 = f"{SAMPLES}, c AS (SELECT stim, count(*) AS m FROM s GROUP BY stim), t AS (SELECT s.stim, s.n, s.x, c.m FROM s JOIN c USING (stim))"
 ORACLES = {
-    "erb_scale": f"SELECT hz, round(e, 6) AS erb, round(24.7 * 9.265 * (exp(e / 9.265) - 1), 4) AS back, round(p, 6) AS erb_ferret, round((p * 0.31 * (1 - 0.533)) ** (1 / (1 - 0.533)) * 1000, 4) AS back_ferret FROM (SELECT hz, {ERB % 'hz'} AS e, {FERRET % 'hz'} AS p FROM (SELECT CAST(unnest(range(1, 201)) * 50 AS DOUBLE) AS hz))",
-    "log_freq_axis": "SELECT k, round(pow(2, log2(50) + k / 24.0), 4) AS hz FROM (SELECT unnest(range(168)) AS k)",
-    "fft_freqs": "SELECT k, (CASE WHEN k <= 32 THEN k ELSE k - 64 END) * CAST(100.0 / 64 AS DOUBLE) AS even, round((CASE WHEN k <= 32 THEN k ELSE k - 65 END) * CAST(100 AS DOUBLE) / 65, 6) AS odd, (k + 31) % 64 AS place FROM (SELECT unnest(range(64)) AS k)",
-    "erb_filterbank": bank_sql(even(12, 1, ERB), ERB % f"k * {RATE} / {BINS}"),
-    "erb_filterbank_double": bank_sql(even(12, 2, ERB), ERB % f"k * {RATE} / {BINS}", "sqrt(0.5)"),
-    "lin_filterbank": bank_sql(even(12, 1, "(%s)::DOUBLE"), f"k * {RATE} / {BINS}"),
-    "octave_filterbank": bank_sql("SELECT CAST(row_number() OVER (ORDER BY m) - 1 AS INTEGER) AS filter, m - 1 AS low, m + 0.5 AS mid, m + 2 AS high FROM (SELECT log2(3900.0 / 2 ** unnest(range(1, 21))) AS m) WHERE m > log2(50.0)", f"log2(greatest(k * {RATE} / {BINS}, 1e-12))"),
-    "constq_filterbank": bank_sql("SELECT CAST(k AS INTEGER) AS filter, c / 2 AS low, c AS mid, c * 1.5 AS high FROM (SELECT k, 2 ** (log2(100.0) + k * (log2(3000.0) - log2(100.0)) / 11) AS c FROM (SELECT unnest(range(12)) AS k))", f"k * {RATE} / {BINS}"),
-    "gammatone_ir": "SELECT n, round(sin(8 * pi() * t) * (4 * t) ** 2 * exp(-14 * t), 8) AS g FROM (SELECT n, n / 200.0 AS t FROM (SELECT unnest(range(200)) AS n))",
-    "mexican_hat_tf": "SELECT k, round(g * exp(1 - g), 8) AS h FROM (SELECT k, (k * 0.125) ** 2 AS g FROM (SELECT unnest(range(49)) AS k))",
+    "erb_scale": f"SELECT event_id, round(e, 6) AS erb, round(24.7 * 9.265 * (exp(e / 9.265) - 1), 4) AS back, round(p, 6) AS erb_ferret, round((p * 0.31 * (1 - 0.533)) ** (1 / (1 - 0.533)) * 1000, 4) AS back_ferret FROM (SELECT event_id, {ERB % 'hz'} AS e, {FERRET % 'hz'} AS p FROM (SELECT event_id, value * 10.0 AS hz FROM events))",
+    "log_freq_axis": "SELECT p_partkey, round(pow(2, log2(50) + p_size / 24.0), 4) AS hz FROM part",
+    "fft_freqs": f"WITH {N67} SELECT stim, n, round((CASE WHEN n <= m // 2 THEN n ELSE n - m END) * CAST(100 AS DOUBLE) / m, 6) AS hz, (n + (m - 1) // 2) % m AS place FROM t",
+    "erb_filterbank": bank_sql(even(12, 1, ERB), ERB % "hz"),
+    "erb_filterbank_double": bank_sql(even(12, 2, ERB), ERB % "hz", "sqrt(0.5)"),
+    "lin_filterbank": bank_sql(even(12, 1, "(%s)::DOUBLE"), "hz"),
+    "octave_filterbank": bank_sql("SELECT CAST(row_number() OVER (ORDER BY m) - 1 AS INTEGER) AS filter, m - 1 AS low, m + 0.5 AS mid, m + 2 AS high FROM (SELECT log2(3900.0 / 2 ** unnest(range(1, 21))) AS m) WHERE m > log2(50.0)", "log2(greatest(hz, 1e-12))"),
+    "constq_filterbank": bank_sql("SELECT CAST(k AS INTEGER) AS filter, c / 2 AS low, c AS mid, c * 1.5 AS high FROM (SELECT k, 2 ** (log2(100.0) + k * (log2(3000.0) - log2(100.0)) / 11) AS c FROM (SELECT unnest(range(12)) AS k))", "hz"),
+    "gammatone_ir": f"WITH {SAMPLES} SELECT stim, n, round(x * sin(8 * pi() * t) * (4 * t) ** 2 * exp(-14 * t), 6) AS g FROM (SELECT *, n / 200.0 AS t FROM s)",
+    "mexican_hat_tf": "SELECT vec_id, CAST(k AS INTEGER) AS k, round(x * g * exp(1 - g), 6) AS h FROM (SELECT vec_id, k, x, (k * 0.1875 / 2) ** 2 AS g FROM (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings))",
     "subband_collapse": f"""WITH {N67}, g AS (SELECT DISTINCT stim, m, unnest(range(CASE WHEN m <= 64 THEN 1 ELSE CAST(ceil((m - 64) / 64.0) AS BIGINT) + 1 END)) AS frame FROM c), p AS (SELECT *, unnest(range(64)) AS n FROM g)
 SELECT p.stim || '-' || frame AS stim, CAST(p.n AS INTEGER) AS n, round(coalesce(s.x, 0), 4) + 0.0 AS x FROM p LEFT JOIN s ON s.stim = p.stim AND s.n = frame * 64 + p.n""",
     "windowed_frames": """WITH e AS (SELECT user_id AS stim, epoch_us(ts) AS us, value AS x FROM events), k AS (SELECT unnest([0, 1]) AS k),
