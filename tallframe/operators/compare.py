@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallframe.operators import stats
 
@@ -35,15 +41,40 @@ def class_ratios(target: DataFrame, synth: DataFrame, keys: list[str], bands: Da
 def filtered_correlation(filtered: DataFrame, offsets: list[int] | None = None) -> DataFrame:
     """``filter, i, j, r`` from ``stim, filter, n, channel, x``: correlations of channels' filtered envelopes, whose means are zero.
 
-    Channels at the ``offsets`` from each other are paired, or all with i < j. Moments at the same time meet by an
-    equi-join; what is shuffled after is a row for each pair of channels and task.
+    Channels at the ``offsets`` from each other are paired, or all with i < j, over the times at which both have a value. The channels of a time, which are
+    few, are one row; a task adds up a matrix of products for each filter, and what is shuffled after is a row for each pair and task.
     """
-    a = filtered.select("stim", "filter", "n", F.col("channel").alias("i"), F.col("x").alias("a"))
-    b = filtered.select("stim", "filter", "n", F.col("channel").alias("j"), F.col("x").alias("b"))
-    if offsets is None:
-        pairs = a.join(b, ["stim", "filter", "n"]).where("i < j")
-    else:
-        at = F.explode(F.array(*[F.lit(o) for o in offsets]))
-        pairs = a.withColumn("_o", at).withColumn("j", (F.col("i") + F.col("_o")).cast(filtered.schema["channel"].dataType)).join(b, ["stim", "filter", "n", "j"])
-    sums = pairs.groupBy("filter", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    kind, number = (filtered.schema[c].dataType.simpleString() for c in ("filter", "channel"))
+    rows = filtered.where("x is not null").groupBy("stim", "filter", "n").agg(F.collect_list(F.struct("channel", F.col("x").cast("double").alias("x"))).alias("v"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[object, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists, names = batch.column("v"), batch.column("filter").to_pylist()
+            flat, offsets_ = lists.flatten(), lists.offsets.to_numpy()
+            time = np.repeat(np.arange(len(lists)), np.diff(offsets_))
+            channel, x = flat.field("channel").to_numpy(), flat.field("x").to_numpy()
+            size = int(channel.max()) + 1
+            for name in dict.fromkeys(names):
+                own = np.array([n == name for n in names])
+                mine = own[time]
+                values, here = np.zeros((len(own), size)), np.zeros((len(own), size))
+                values[time[mine], channel[mine]], here[time[mine], channel[mine]] = x[mine], 1.0
+                made = np.stack([values.T @ values, (values**2).T @ here, here.T @ here])
+                old = sums.get(name, np.zeros((3, 0, 0)))
+                both = np.zeros((3, *[max(old.shape[1], size)] * 2))
+                both[:, : old.shape[1], : old.shape[1]] += old
+                both[:, :size, :size] += made
+                sums[name] = both
+        for name, (ab, aa, n) in sums.items():
+            i, j = np.nonzero(n)
+            kept = i < j if offsets is None else np.isin(j - i, offsets)
+            i, j = i[kept], j[kept]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(i), schema.field("filter").type), pa.array(i).cast(schema.field("i").type), pa.array(j).cast(schema.field("j").type), pa.array(ab[i, j]), pa.array(aa[i, j]), pa.array(aa[j, i])], schema=schema)
+
+    made = f"filter {kind}, i {number}, j {number}, ab double, aa double, bb double"
+    schema = to_arrow_schema(T._parse_datatype_string(made))
+    sums = rows.select("filter", "v").mapInArrow(add, made).groupBy("filter", "i", "j").agg(F.sum("ab").alias("ab"), F.sum("aa").alias("aa"), F.sum("bb").alias("bb"))
     return sums.select("filter", "i", "j", F.try_divide("ab", F.sqrt(F.col("aa") * F.col("bb"))).alias("r"))

@@ -8,12 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallframe.operators import banks, cochlea, grid, pca, repeats, resample, selection, transform
+from tallframe.operators import banks, cochlea, grid, pca, repeats, resample, selection, texture, transform
 from tallframe.operators.banks import centres
 from tallframe.plans.common import SAMPLES, Query, rounded, values
 from tallframe.session import checkpointed, shared_folder
 from tallframe.sources import wav
-from tallframe.sources.tables import micros, samples, table
+from tallframe.sources.tables import micros, samples, signals, table
 from tallframe.streaming.statistics import covariance_so_far, keep_sums
 
 SR, ENV_SR, SPACING, POWER = 64.0, 16.0, 0.25, 0.3
@@ -144,9 +144,39 @@ def wav_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("stim").cast("bigint").alias("stim"), "n", (F.col("x") * 32768).cast("bigint").alias("level"))
 
 
+TEXTURE = texture.Texture(4, lags=(1, 2), offsets=(1, 2), rates=(0.06, 0.12, 0.24), reach=5)
+
+
+def shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as envelopes ``stim, channel, n, x``: groups of users by their numbers, in bins of eight hours, with the values of each 160 minutes as channels."""
+    third = F.floor((F.col("us") - 1_704_067_200_000_000) / 7_200_000_000)
+    cells = signals(spark, sf_dir).select(F.pmod("stim", F.lit(8)).alias("stim"), F.pmod(third, F.lit(4)).cast("int").alias("channel"), F.floor(third / 4).alias("n"), "x")
+    sums = cells.groupBy("stim", "channel", "n").agg((F.sum("x") / 100).alias("x"))
+    ends = sums.agg(F.max("n").alias("last"))
+    grid_ = sums.select("stim").distinct().crossJoin(F.broadcast(ends)).select("stim", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("n"), F.explode(F.array(*map(F.lit, range(4)))).alias("channel"))
+    return grid_.join(sums, ["stim", "channel", "n"], "left").select("stim", "channel", "n", (F.coalesce("x", F.lit(0.0)) + 0.5).alias("x"))
+
+
+def texture_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of envelopes in blocks: moments, correlations, autocorrelations, modulation power and correlations of bands."""
+    found = texture.table(texture.measured(texture.in_blocks(shifts(spark, sf_dir), TEXTURE, 24), TEXTURE), TEXTURE)
+    return found.select("stim", "stat", "channel", "k", rounded("value", 5).alias("value"))
+
+
+def texture_imposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' envelopes moved towards the statistics of the next group's, a few steps: whether each came nearer."""
+    start = shifts(spark, sf_dir)
+    sums = checkpointed(texture.measured(texture.in_blocks(start, TEXTURE, 24), TEXTURE))
+    target = sums.withColumn("stim", F.pmod(F.col("stim") + 1, F.lit(8)))
+    folder = f"{shared_folder(spark)}/texture_imposed-{uuid.uuid4()}"
+    before = texture.impose(start, target, TEXTURE, folder, steps=0, block=24).groupBy("stim").agg(F.max("snr_db").alias("before"))
+    after = texture.impose(start, target, TEXTURE, folder, steps=3, block=24).groupBy("stim").agg(F.max("snr_db").alias("after"), F.count("*").alias("cells"))
+    return before.join(after, "stim").select("stim", "cells", (F.col("after") > F.col("before")).alias("nearer"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (dft_magnitude, circular_autocorr, hilbert_envelope, noise_spectrum, subband_filter, band_collapse, cochleagram, coch_roundtrip, wavelet_bands, wavelet_roundtrip, resample_rational, resample_axes, pchip_gap, pchip_log_axis, windowed_autocorr, nan_repeats, event_median, pca_leading, stream_covariance, wav_ranges)
+    for f in (dft_magnitude, circular_autocorr, hilbert_envelope, noise_spectrum, subband_filter, band_collapse, cochleagram, coch_roundtrip, wavelet_bands, wavelet_roundtrip, resample_rational, resample_axes, pchip_gap, pchip_log_axis, windowed_autocorr, nan_repeats, event_median, pca_leading, stream_covariance, wav_ranges, texture_sums, texture_imposed)
 }
 
 TIMES = f"{SAMPLES}, c AS (SELECT stim, count(*) AS m FROM s GROUP BY stim), t AS (SELECT s.stim, s.n, s.x, c.m FROM s JOIN c USING (stim))"
@@ -222,7 +252,22 @@ SELECT a.stim, g.filter, a.n, round(sum(b.x * g.g / top), 4) AS x FROM t a JOIN
 UNION ALL SELECT stim, 0, n, round(avg(x) OVER (PARTITION BY stim), 4) FROM t"""
 SAME = f"WITH {SAMPLES} SELECT stim, n, round(x, 4) AS x FROM s"
 GAPS = f"{SAMPLES}, v AS (SELECT stim, n, x FROM s WHERE event_id % 17 <> 0 AND event_id % 19 <> 0)"
+TAPS = values([(k, o, float(g.real), float(g.imag)) for k, row in enumerate(TEXTURE.bands()) for o, g in zip(range(-TEXTURE.reach, TEXTURE.reach + 1), row, strict=True)], "k, o, gr, gi")
+SHIFTS = f"""{SAMPLES}, u AS (SELECT stim % 8 AS stim, (us - 1704067200000000) // 7200000000 AS q, x FROM s), v AS (SELECT stim, CAST(q % 4 AS INTEGER) AS channel, q // 4 AS n, sum(x) / 100 AS x FROM u GROUP BY 1, 2, 3),
+e AS (SELECT g.stim, g.channel, g.n, g.m, coalesce(v.x, 0) + 0.5 AS x FROM (SELECT stim, m, unnest(range(m)) AS n, channel FROM (SELECT DISTINCT stim FROM v), (SELECT max(n) + 1 AS m FROM v), (SELECT unnest([0, 1, 2, 3]) AS channel)) g LEFT JOIN v ON v.stim = g.stim AND v.channel = g.channel AND v.n = g.n)"""
 ORACLES = {
+    "texture_imposed": f"WITH {SHIFTS} SELECT stim, count(*) AS cells, true AS nearer FROM e GROUP BY stim",
+    "texture_sums": f"""WITH {SHIFTS}, p AS (SELECT stim, channel, any_value(m) AS m, avg(x) AS a, var_pop(x) AS v FROM e GROUP BY stim, channel), d AS (SELECT e.*, x - a AS d, a, v FROM e JOIN p USING (stim, channel)),
+b AS (SELECT e.stim, e.channel, k, e.n, sum(gr * f.x) AS ar, sum(gi * f.x) AS ai FROM e, (SELECT * FROM {TAPS}), e f WHERE f.stim = e.stim AND f.channel = e.channel AND f.n = (e.n - o + e.m) % e.m GROUP BY e.stim, e.channel, k, e.n),
+c AS (SELECT *, sqrt(ar * ar + ai * ai) AS r FROM b), w AS (SELECT stim, channel, k, sum(r * r) AS w FROM c GROUP BY stim, channel, k),
+z AS (SELECT c.stim, c.channel, c.k, sum(((c.ar * c.ar - c.ai * c.ai) * n.ar + 2 * c.ar * c.ai * n.ai) / c.r) AS re, sum(((c.ar * c.ar - c.ai * c.ai) * n.ai - 2 * c.ar * c.ai * n.ar) / c.r) AS im FROM c JOIN c n ON n.stim = c.stim AND n.channel = c.channel AND n.n = c.n AND n.k = c.k + 1 GROUP BY c.stim, c.channel, c.k),
+y AS (SELECT z.stim, z.channel, z.k, re / sqrt(w.w * x.w) AS re, im / sqrt(w.w * x.w) AS im FROM z JOIN w ON w.stim = z.stim AND w.channel = z.channel AND w.k = z.k JOIN w x ON x.stim = z.stim AND x.channel = z.channel AND x.k = z.k + 1),
+r AS (SELECT stim, 'mean' AS stat, channel, 0 AS k, a AS value FROM p UNION ALL SELECT stim, 'cv2', channel, 0, v / (a * a) FROM p
+UNION ALL SELECT stim, 'skew', channel, 0, avg(d ** 3) / any_value(v) ** 1.5 FROM d GROUP BY stim, channel UNION ALL SELECT stim, 'kurt', channel, 0, avg(d ** 4) / any_value(v) ** 2 FROM d GROUP BY stim, channel
+UNION ALL SELECT a.stim, 'corr', a.channel, b.channel, corr(a.x, b.x) FROM d a JOIN d b ON a.stim = b.stim AND a.n = b.n AND b.channel - a.channel IN (1, 2) GROUP BY a.stim, a.channel, b.channel
+UNION ALL SELECT a.stim, 'ac', a.channel, l, avg(a.d * b.d) / any_value(a.v) FROM d a, (SELECT unnest([1, 2]) AS l), d b WHERE a.stim = b.stim AND a.channel = b.channel AND b.n = (a.n + l) % a.m GROUP BY a.stim, a.channel, l
+UNION ALL SELECT w.stim, 'mod', w.channel, w.k, w / (m * v) FROM w JOIN p USING (stim, channel) UNION ALL SELECT stim, 'c2_real', channel, k, re FROM y UNION ALL SELECT stim, 'c2_imag', channel, k, im FROM y)
+SELECT stim, stat, CAST(channel AS INTEGER) AS channel, CAST(k AS INTEGER) AS k, round(value, 5) AS value FROM r""",
     "stream_covariance": """WITH e AS (SELECT unnest([0, 1, 2]) AS k, unnest([value, (epoch_us(ts) // 3600000000) % 24, epoch_us(ts) // 86400000000 - 19723]) AS x, event_id FROM events)
 SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(covar_pop(a.x, b.x), 4) AS cov FROM e a JOIN e b USING (event_id) WHERE a.k <= b.k GROUP BY a.k, b.k""",
     "wav_ranges": f"WITH {SAMPLES} SELECT stim, n, CAST(round_even(x / 512 * 32768, 0) AS BIGINT) AS level FROM s",

@@ -108,6 +108,12 @@ def replace_folder(spark: SparkSession, new: str, path: str) -> None:
     system.delete(old, True)
 
 
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a write that ended."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def read_features(spark: SparkSession, path: str, feature: str, variant: str = "original") -> DataFrame:
     return spark.read.parquet(f"{path}/feature={feature}/variant={variant}")
 
