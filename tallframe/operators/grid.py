@@ -136,13 +136,9 @@ def lagged(samples: DataFrame, lag: int) -> DataFrame:
 def autocorrelation(samples: DataFrame, lags: list[int]) -> DataFrame:
     """``stim, lag, ac``: the mean product of values a lag before and after each sample, over the variance; zero beyond the ends."""
     means = samples.groupBy("stim").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.count("*").alias("length"))
-    y = samples.join(means, "stim").select("stim", "n", (F.col("x") - F.col("mean")).alias("y"))
-    lag = F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag")
-    ahead = y.select("stim", "n", F.col("y").alias("a"), lag).withColumn("n", F.col("n") - F.col("lag"))
-    behind = y.select("stim", "n", F.col("y").alias("b"), lag).withColumn("n", F.col("n") + F.col("lag"))
-    sums = ahead.join(behind, ["stim", "lag", "n"]).groupBy("stim", "lag").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-    grid = means.select("stim", "var", "length", lag)
-    return grid.join(sums, ["stim", "lag"], "left").select("stim", "lag", F.try_divide(F.coalesce("s", F.lit(0.0)) / F.col("length"), F.col("var")).alias("ac"))
+    y = samples.join(means, "stim").select("stim", "n", (F.col("x") - F.col("mean")).alias("x"))
+    sums = products(y, 2 * max(lags)).where(F.col("lag").isin([2 * k for k in lags])).select("stim", (F.col("lag") / 2).cast("int").alias("lag"), "s")
+    return sums.join(means, "stim").select("stim", "lag", F.try_divide(F.col("s") / F.col("length"), F.col("var")).alias("ac"))
 
 
 def products(samples: DataFrame, most: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallframe.operators.stats import equal_width, outer_sums, whole_features
+from tallframe.operators.stats import whole_features
 
 #: Most features: their matrix, and the model that ``project`` broadcasts, take 8 bytes a pair.
 MOST = 10_000
@@ -18,21 +19,24 @@ MODEL = "k int, value double, weights array<double>, mean array<double>, scale a
 
 
 def gram(features: DataFrame, v: str = "v") -> tuple[np.ndarray, np.ndarray, int]:
-    """Sum of outer products, sum, and count of array features: one matrix a task, whose cells a shuffle adds up.
+    """Sum of outer products, sum, and count of array features, in one pass: one matrix a task, added up in chunks of features.
 
-    The driver gets one matrix of features by features, whatever the number of frames; more than ``MOST`` features raise an error.
+    The driver gets one matrix of features by features, whatever the number of frames; more than ``MOST`` features raise an error (``fit_leading`` takes any number).
     """
-    sums = outer_sums(features, v)
-    first = sums.groupBy("i").agg(F.sum("s").alias("s"), equal_width().alias("n")).orderBy("i").limit(MOST + 1).toPandas()
-    if len(first) > MOST:
-        raise ValueError(f"more than {MOST} features: their matrix is too large for the driver")
-    size = len(first)
-    if not size:
+
+    def work(x: np.ndarray) -> np.ndarray:
+        if x.shape[1] > MOST:
+            raise ValueError(f"more than {MOST} features: their matrix is too large for the driver")
+        return np.concatenate([x.T @ x, x.sum(axis=0)[:, None], np.full((x.shape[1], 1), float(len(x)))], axis=1)
+
+    flat = summed(features, v, work)
+    if not flat.size:
         return np.zeros((0, 0)), np.zeros(0), 0
-    cells = sums.select("i", F.posexplode("g").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
-    g = np.zeros((size, size))
-    g[cells["i"], cells["j"]] = cells["x"]
-    return g, first["s"].to_numpy(), int(first["n"].iloc[0])
+    size = round(math.sqrt(flat.size + 1) - 1)  # size * (size + 2) values
+    whole = flat.reshape(size, size + 2)
+    if (whole[:, -1] != whole[0, -1]).any():
+        raise ValueError("rows have different numbers of features")
+    return whole[:, :-2], whole[:, -2], int(whole[0, -1])
 
 
 def fit(features: DataFrame, *, demean: bool = True, standardise: bool = False, v: str = "v") -> DataFrame:
