@@ -70,8 +70,8 @@ def waveform(coch: DataFrame, rest: DataFrame, bank: Bank, sr: float, up: int, d
     return collapsed(bands, bank, sr)
 
 
-def wavelet_responses(lengths_: DataFrame, rates: list[float], sr: float) -> DataFrame:
-    """``m, filter, n, hre, him``: transfer functions of gammatones of the given rates, centred, for signals of m samples (``lengths_``: distinct ``m``).
+def wavelet_responses(lengths_: DataFrame, rates: list[float], sr: float, *, causal: bool = False) -> DataFrame:
+    """``m, filter, n, hre, him``: transfer functions of gammatones of the given rates, centred unless ``causal``, for signals of m samples (``lengths_``: distinct ``m``).
 
     The largest magnitude of each is one; rate zero passes the mean alone. Wavelets are made in blocks of their samples, not in one row.
     """
@@ -79,7 +79,7 @@ def wavelet_responses(lengths_: DataFrame, rates: list[float], sr: float) -> Dat
     own = F.array(*[F.struct(F.lit(k).alias("filter"), F.lit(float(r)).alias("rate")) for k, r in enumerate(rates) if r != 0])
     blocks = lengths_.select("m", F.explode(own).alias("w")).select("m", "w.filter", "w.rate").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("m") - 1) / block))))
     rows = blocks.repartition("m", "filter", "b").withColumn("n", F.explode(F.sequence(F.col("b") * block, F.least(F.col("m"), (F.col("b") + 1) * block) - 1)))
-    shift = F.round(F.lit(2 / 3.5 * sr) / F.col("rate"))
+    shift = F.lit(0.0) if causal else F.round(F.lit(2 / 3.5 * sr) / F.col("rate"))
     g = gammatone(F.pmod(F.col("n") + shift, F.col("m")) / F.lit(float(sr)), F.col("rate"))
     spectrum = fourier(rows.select(F.col("m").alias("length"), "filter", "m", "n", g.alias("re"), F.lit(0.0).alias("im")), ["length", "filter"])
     top = spectrum.groupBy("length", "filter").agg(F.max(F.hypot("re", "im")).alias("top"))

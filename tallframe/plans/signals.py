@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallframe.operators import banks, cochlea, grid, pca, repeats, resample, selection, texture, transform
-from tallframe.operators.banks import centres
+from tallframe.operators import banks, cochlea, grid, modulation, pca, repeats, resample, selection, texture, transform
+from tallframe.operators.kernels import spectral_filter
 from tallframe.plans.common import SAMPLES, Query, rounded, values
 from tallframe.session import checkpointed, shared_folder
 from tallframe.sources import wav
@@ -174,9 +174,34 @@ def texture_imposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.join(after, "stim").select("stim", "cells", (F.col("after") > F.col("before")).alias("nearer"))
 
 
+FILTERED = modulation.Filters(4, ((0.0, 0.0, 1), (2.0, 1.0, 1), (2.0, 1.0, -1), (4.0, None, 1)), 16.0, 4.0)
+COVERING = modulation.Filters(4, tuple((r, c, sign) for c in (0.0, 0.5, 1.0) for r in (0.0, 1.0, 2.0, 4.0) for sign in (1, -1)), 16.0, 4.0)
+
+
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The envelopes of ``shifts`` as cochleagrams."""
+    return shifts(spark, sf_dir).select("stim", F.col("n").alias("frame"), F.col("channel").alias("k"), "x")
+
+
+def modulation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modulation.filtered(planes(spark, sf_dir), FILTERED).select("stim", "filter", "frame", "k", (rounded("x", 5) + 0.0).alias("x"))
+
+
+def filter_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = modulation.filtered(planes(spark, sf_dir), COVERING)
+    return modulation.put_together(bands, COVERING).select("stim", "frame", "k", rounded("x", 4).alias("x"))
+
+
+def modulation_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of synthesis: cochleagrams whose filtered versions have taken on the values of the next group's, with what cancels given back."""
+    own = planes(spark, sf_dir)
+    other = own.withColumn("stim", F.pmod(F.col("stim") + 1, F.lit(8)))
+    return modulation.matched(own, other, FILTERED, width=1.0, cancellation=True).select("stim", "frame", "k", rounded("x", 4).alias("x"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (dft_magnitude, circular_autocorr, hilbert_envelope, noise_spectrum, subband_filter, band_collapse, cochleagram, coch_roundtrip, wavelet_bands, wavelet_roundtrip, resample_rational, resample_axes, pchip_gap, pchip_log_axis, windowed_autocorr, nan_repeats, event_median, pca_leading, stream_covariance, wav_ranges, texture_sums, texture_imposed)
+    for f in (dft_magnitude, circular_autocorr, hilbert_envelope, noise_spectrum, subband_filter, band_collapse, cochleagram, coch_roundtrip, wavelet_bands, wavelet_roundtrip, resample_rational, resample_axes, pchip_gap, pchip_log_axis, windowed_autocorr, nan_repeats, event_median, pca_leading, stream_covariance, wav_ranges, texture_sums, texture_imposed, modulation_filter, filter_roundtrip, modulation_matched)
 }
 
 TIMES = f"{SAMPLES}, c AS (SELECT stim, count(*) AS m FROM s GROUP BY stim), t AS (SELECT s.stim, s.n, s.x, c.m FROM s JOIN c USING (stim))"
@@ -255,7 +280,22 @@ GAPS = f"{SAMPLES}, v AS (SELECT stim, n, x FROM s WHERE event_id % 17 <> 0 AND
 TAPS = values([(k, o, float(g.real), float(g.imag)) for k, row in enumerate(TEXTURE.bands()) for o, g in zip(range(-TEXTURE.reach, TEXTURE.reach + 1), row, strict=True)], "k, o, gr, gi")
 SHIFTS = f"""{SAMPLES}, u AS (SELECT stim % 8 AS stim, (us - 1704067200000000) // 7200000000 AS q, x FROM s), v AS (SELECT stim, CAST(q % 4 AS INTEGER) AS channel, q // 4 AS n, sum(x) / 100 AS x FROM u GROUP BY 1, 2, 3),
 e AS (SELECT g.stim, g.channel, g.n, g.m, coalesce(v.x, 0) + 0.5 AS x FROM (SELECT stim, m, unnest(range(m)) AS n, channel FROM (SELECT DISTINCT stim FROM v), (SELECT max(n) + 1 AS m FROM v), (SELECT unnest([0, 1, 2, 3]) AS channel)) g LEFT JOIN v ON v.stim = g.stim AND v.channel = g.channel AND v.n = g.n)"""
+MOD_RATES = values([(0, 2.0), (1, 4.0)], "rate, hz")
+#: Each filter's rate (-2 passes the mean alone, -1 all) and direction, and what it passes of each frequency over channels.
+MOD_FILTERS = values([(k, -1 if r is None else -2 if r == 0 else [2.0, 4.0].index(r), sign if r is not None and c is not None else 0, f, float(h)) for k, (r, c, sign) in enumerate(FILTERED.each) for f, h in enumerate(spectral_filter(c, 4, 4.0) if c is not None else [1.0] * 4)], "filter, rate, directed, f, h")
+ANGLE = "2 * pi() * (((e.n * b.t) % e.m) / CAST(e.m AS DOUBLE) + ((e.channel * b.f) % 4) / 4.0)"
 ORACLES = {
+    "modulation_filter": f"""WITH {SHIFTS}, b AS (SELECT m, t, f FROM (SELECT m, unnest(range(m)) AS t FROM (SELECT DISTINCT m FROM e)), (SELECT unnest([0, 1, 2, 3]) AS f)),
+d AS (SELECT e.stim, b.t, b.f, sum(x * cos({ANGLE})) AS re, -sum(x * sin({ANGLE})) AS im FROM e JOIN b ON b.m = e.m GROUP BY e.stim, b.t, b.f),
+a AS (SELECT rate, m, t AS j, t / 16.0 * hz AS u FROM b, (SELECT * FROM {MOD_RATES}) WHERE f = 0), g AS (SELECT rate, m, j, u * u * exp(-3.5 * u) * sin(2 * pi() * u) AS g FROM a),
+q AS (SELECT p.rate, r.j AS t, sum(p.g * cos(2 * pi() * ((p.j * r.j) % p.m) / p.m)) AS re, -sum(p.g * sin(2 * pi() * ((p.j * r.j) % p.m) / p.m)) AS im FROM g p JOIN g r ON p.rate = r.rate GROUP BY p.rate, r.j),
+o AS (SELECT rate, max(sqrt(re * re + im * im)) AS o FROM q GROUP BY rate),
+w AS (SELECT rate, t, re / o AS hre, im / o AS him FROM q JOIN o USING (rate) UNION ALL SELECT -1, t, 1, 0 FROM b WHERE f = 0 UNION ALL SELECT -2, 0, 1, 0),
+h AS (SELECT filter, w.t, x.f, hre * h AS hre, him * h AS him FROM w JOIN (SELECT * FROM {MOD_FILTERS}) x ON x.rate = w.rate, (SELECT DISTINCT m FROM e) k
+      WHERE directed = 0 OR (CASE WHEN w.t = 0 OR 2 * w.t = m THEN 0 WHEN 2 * w.t < m THEN 1 ELSE -1 END) * (CASE x.f WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END) <> -directed),
+b2 AS (SELECT stim, filter, d.t, d.f, re * hre - im * him AS re, re * him + im * hre AS im FROM d JOIN h ON h.t = d.t AND h.f = d.f)
+SELECT e.stim, b.filter, e.n AS frame, e.channel AS k, round(sum(re * cos({ANGLE}) - im * sin({ANGLE})) / any_value(e.m * 4), 5) + 0.0 AS x FROM e JOIN b2 b ON b.stim = e.stim GROUP BY e.stim, b.filter, e.n, e.channel""",
+    "filter_roundtrip": f"WITH {SHIFTS} SELECT stim, n AS frame, channel AS k, round(x, 4) AS x FROM e",
     "texture_imposed": f"WITH {SHIFTS} SELECT stim, count(*) AS cells, true AS nearer FROM e GROUP BY stim",
     "texture_sums": f"""WITH {SHIFTS}, p AS (SELECT stim, channel, any_value(m) AS m, avg(x) AS a, var_pop(x) AS v FROM e GROUP BY stim, channel), d AS (SELECT e.*, x - a AS d, a, v FROM e JOIN p USING (stim, channel)),
 b AS (SELECT e.stim, e.channel, k, e.n, sum(gr * f.x) AS ar, sum(gi * f.x) AS ai FROM e, (SELECT * FROM {TAPS}), e f WHERE f.stim = e.stim AND f.channel = e.channel AND f.n = (e.n - o + e.m) % e.m GROUP BY e.stim, e.channel, k, e.n),

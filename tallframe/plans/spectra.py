@@ -85,18 +85,6 @@ def subband_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("stim", F.posexplode("samples").alias("n", "x")).select("stim", "n", (rounded("x", 4) + 0.0).alias("x"))
 
 
-def modulation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coch = spectral.cochleagrams(short(spark, sf_dir), FRAME_BANK, 64.0, 16.0, spacing=0.25)
-    out = spectral.modulations(coch, "spectempmod", [1.0, 2.0], [0.5, 1.0], 16.0, 4.0, nonlinearity="modulus", pad=2)
-    return out.select("stim", "frame", "filter", "part", F.posexplode("v").alias("k", "x")).select("stim", "frame", "filter", "part", "k", rounded("x", 5).alias("x"))
-
-
-def filter_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coch = spectral.cochleagrams(short(spark, sf_dir), FRAME_BANK, 64.0, 16.0, spacing=0.25)
-    out = spectral.round_trip(coch, "spectempmod", [0.0, 1.0, 2.0, 4.0], [0.0, 0.5, 1.0], 16.0, 4.0)
-    return out.select("stim", "frame", F.posexplode("v").alias("k", "x")).select("stim", "frame", "k", rounded("x", 5).alias("x"))
-
-
 def texture_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spectral.texture_statistics(short(spark, sf_dir), FRAME_BANK, banks.octave_bank(0.5, 7.9), 64.0, 16.0, [1, 2])
     return out.select("stim", "stat", "channel", "k", rounded("value", 5).alias("value"))
@@ -122,7 +110,7 @@ def windowed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stim", micros("start").alias("start_us"), "n", rounded("mean").alias("mean"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (erb_scale, log_freq_axis, fft_freqs, erb_filterbank, erb_filterbank_double, lin_filterbank, octave_filterbank, constq_filterbank, gammatone_ir, mexican_hat_tf, subband_collapse, modulation_filter, filter_roundtrip, texture_stats, mel_spectrogram, model_infer_standin, windowed_frames)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (erb_scale, log_freq_axis, fft_freqs, erb_filterbank, erb_filterbank_double, lin_filterbank, octave_filterbank, constq_filterbank, gammatone_ir, mexican_hat_tf, subband_collapse, texture_stats, mel_spectrogram, model_infer_standin, windowed_frames)}
 
 ERB = "(9.265 * ln(1 + (%s) / (24.7 * 9.265)))"
 FERRET = "(((%s) / 1000.0) ** (1 - 0.533) / (0.31 * (1 - 0.533)))"
