@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import tomllib
 import uuid
 from collections.abc import Callable
@@ -50,19 +51,34 @@ def checked(values: dict[str, object]) -> dict[str, object]:
     return {k: float(v) if kinds[k] is float else v for k, v in values.items()}
 
 
+def composed(path: str, choices: dict[str, str]) -> dict[str, object]:
+    """A TOML file's values over those of the files it names in ``defaults``: ``group/name`` is the file of that name in the folder ``group`` beside it, or the group's choice."""
+    with open(path, "rb") as f:
+        own = tomllib.load(f)
+    out: dict[str, object] = {}
+    for part in own.pop("defaults", []):
+        group, _, name = part.rpartition("/")
+        out |= composed(os.path.join(os.path.dirname(path), group, f"{choices.get(group, name)}.toml"), choices)
+    return out | own
+
+
 def settings(preset: str = "default", *paths: str, overrides: list[str] = ()) -> Settings:
-    """A preset, then TOML files in order, then ``key=value`` overrides, each over what stands before it."""
+    """A preset, then TOML files in order, each over those in its ``defaults``, then ``key=value`` overrides, each over what stands before it.
+
+    An override whose key is a group of some file (a folder beside it) chooses that group's file instead: ``env=fast`` takes ``env/fast.toml``.
+    """
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset}")
+    known = {f.name: type(f.default) for f in fields(Settings)}
+    parted = [(k.strip(), v.strip()) for k, v in (o.split("=", 1) for o in overrides)]
+    choices = {k: v for k, v in parted if k not in known and any(os.path.isdir(os.path.join(os.path.dirname(p), k)) for p in paths)}
     made = replace(Settings(), **checked(PRESETS[preset]))
     for path in paths:
-        with open(path, "rb") as f:
-            made = replace(made, **checked(tomllib.load(f)))
-    for o in overrides:
-        key, value = o.split("=", 1)
-        known = {f.name: type(f.default) for f in fields(Settings)}
-        text = f'"{value}"' if known.get(key.strip()) is str and not value.strip().startswith('"') else value
-        made = replace(made, **checked(tomllib.loads(f"{key} = {text}")))
+        made = replace(made, **checked(composed(path, choices)))
+    for key, value in parted:
+        if key not in choices:
+            text = f'"{value}"' if known.get(key) is str and not value.startswith('"') else value
+            made = replace(made, **checked(tomllib.loads(f"{key} = {text}")))
     return made
 
 

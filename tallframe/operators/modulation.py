@@ -1,7 +1,7 @@
 """Modulations of whole cochleagrams, tall ``stim, frame, k, x``: two-dimensional filters, the way back, and matching of what they pass.
 
 A plane's transform is that of each channel over time and then of each frequency over channels, both by blocks, so that no task
-holds a cochleagram. Channels are numbered from 0 to ``channels`` less one, and every frame has them all.
+holds a cochleagram. What is between is written to the shared folder, as it is read several times. Channels are numbered from 0 to ``channels`` less one, and every frame has them all.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from tallframe.operators.cochlea import wavelet_responses
 from tallframe.operators.kernels import spectral_filter
 from tallframe.operators.match import by_rank
 from tallframe.operators.transform import fourier, inverse_fourier
+from tallframe.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -37,14 +38,14 @@ def plane(cells: DataFrame, keys: list[str], channels: int) -> DataFrame:
     """``*keys, frames, t, f, re, im``: the transform of ``*keys, frame, k, re, im`` over both axes."""
     ends = cells.groupBy(*keys).agg((F.max("frame") + 1).alias("m"))
     rows = cells.select(*keys, "k", F.col("frame").cast("bigint").alias("n"), "re", "im").join(ends, keys)
-    over_time = fourier(rows, [*keys, "k"]).select(*keys, F.col("m").alias("frames"), F.col("n").alias("t"), F.lit(channels).cast("bigint").alias("m"), F.col("k").cast("bigint").alias("n"), "re", "im")
-    return fourier(over_time, [*keys, "frames", "t"]).select(*keys, "frames", "t", F.col("n").alias("f"), "re", "im")
+    over_time = checkpointed(fourier(rows, [*keys, "k"])).select(*keys, F.col("m").alias("frames"), F.col("n").alias("t"), F.lit(channels).cast("bigint").alias("m"), F.col("k").cast("bigint").alias("n"), "re", "im")
+    return checkpointed(fourier(over_time, [*keys, "frames", "t"])).select(*keys, "frames", "t", F.col("n").alias("f"), "re", "im")
 
 
 def inverse_plane(bins: DataFrame, keys: list[str], channels: int) -> DataFrame:
     """``*keys, frame, k, x``: the real part of the inverse of ``plane``."""
     rows = bins.select(*keys, "frames", "t", F.lit(channels).cast("bigint").alias("m"), F.col("f").alias("n"), "re", "im")
-    over_frequency = inverse_fourier(rows, [*keys, "frames", "t"]).select(*keys, F.col("frames").alias("m"), F.col("t").alias("n"), F.col("n").cast("int").alias("k"), "re", "im")
+    over_frequency = checkpointed(inverse_fourier(rows, [*keys, "frames", "t"])).select(*keys, F.col("frames").alias("m"), F.col("t").alias("n"), F.col("n").cast("int").alias("k"), "re", "im")
     return inverse_fourier(over_frequency, [*keys, "k"]).select(*keys, F.col("n").alias("frame"), "k", F.col("re").alias("x"))
 
 
@@ -81,7 +82,7 @@ def own_lengths(cells: DataFrame) -> DataFrame:
 def filtered(coch: DataFrame, s: Filters) -> DataFrame:
     """``stim, filter, frame, k, x``: cochleagrams through each filter, round both ends."""
     bins = plane(coch.select("stim", "frame", "k", F.col("x").cast("double").alias("re"), F.lit(0.0).alias("im")), ["stim"], s.channels)
-    h = responses(own_lengths(coch), s)
+    h = checkpointed(responses(own_lengths(coch), s))
     passed = bins.join(h, ["frames", "t", "f"])
     re, im = F.col("re") * F.col("hre") - F.col("im") * F.col("him"), F.col("re") * F.col("him") + F.col("im") * F.col("hre")
     own = passed.select("stim", "filter", "frames", "t", "f", re.alias("re"), im.alias("im"))
@@ -98,7 +99,7 @@ def put_together(bands: DataFrame, s: Filters, *, cancellation: bool = False, le
     Filters overlap, and bands that were changed may cancel where they do. With ``cancellation`` the magnitude that a bin loses so is added to it.
     """
     bins = plane(bands.select("stim", "filter", "frame", "k", F.col("x").cast("double").alias("re"), F.lit(0.0).alias("im")), ["stim", "filter"], s.channels)
-    h = responses(own_lengths(bands), s)
+    h = checkpointed(responses(own_lengths(bands), s))
     both = bins.join(h, ["frames", "filter", "t", "f"], "left").fillna(0.0, ["hre", "him"])
     re, im = F.col("re") * F.col("hre") + F.col("im") * F.col("him"), F.col("im") * F.col("hre") - F.col("re") * F.col("him")
     sums = both.groupBy("stim", "frames", "t", "f").agg(F.sum(re).alias("re"), F.sum(im).alias("im"), F.sum(F.hypot(re, im)).alias("size"), F.sum(F.col("hre") * F.col("hre") + F.col("him") * F.col("him")).alias("power"))

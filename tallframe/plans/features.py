@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallframe.operators import annotate, compare, grid, joins, pca, repeats, shapes, stats
+from tallframe.operators import annotate, compare, grid, joins, pca, prepare, repeats, shapes, stats
 from tallframe.plans.common import SAMPLES, Query, rounded, values
 from tallframe.plans.relational import HOURS, KINDS, intervals
 from tallframe.plans.statistics import HALVES, bins, halves
@@ -141,7 +141,7 @@ def neighbour_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def autocorr_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     ac = grid.autocorrelation(samples(spark, sf_dir), [0, 1, 2, 4, 8])
-    return ac.groupBy("stim").agg(rounded(F.sum(F.col("ac") * F.col("ac"))).alias("energy"))
+    return prepare.energy(ac, ["stim"], "ac").select("stim", rounded("energy").alias("energy"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallframe.operators import grid, stats
+from tallframe.operators import grid, prepare, stats
 from tallframe.plans.common import SAMPLES, Query, rounded
 from tallframe.sources.tables import samples, signals
 
@@ -75,8 +75,7 @@ def autocorr_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples without the first ten and the last ten."""
-    s = samples(spark, sf_dir)
-    return s.join(grid.lengths(s), "stim").where((F.col("n") >= 10) & (F.col("n") < F.col("length") - 10)).select("stim", "n", "x")
+    return prepare.trimmed(samples(spark, sf_dir), 10, 10)
 
 
 def baseline_percent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallframe.operators import banks, cochlea, grid, modulation, pca, repeats, resample, selection, texture, transform
+from tallframe.operators import banks, cochlea, grid, modulation, pca, prepare, repeats, resample, selection, texture, transform
 from tallframe.operators.kernels import spectral_filter
 from tallframe.plans.common import SAMPLES, Query, rounded, values
 from tallframe.session import checkpointed, shared_folder
@@ -199,9 +199,43 @@ def modulation_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modulation.matched(own, other, FILTERED, width=1.0, cancellation=True).select("stim", "frame", "k", rounded("x", 4).alias("x"))
 
 
+def formatted_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stimuli cut to 60 samples, at two thirds of the rate and a root mean square of 0.01."""
+    return prepare.formatted(samples(spark, sf_dir), 60, 2, 3).select("stim", "n", rounded("x", 7).alias("x"))
+
+
+def measured_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stimuli cut to multiples of eight samples, 50 at most."""
+    return prepare.measured_sound(samples(spark, sf_dir), 4, most=50).select("stim", "n", rounded("x", 7).alias("x"))
+
+
+def padded_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.padded_plane(planes(spark, sf_dir), 3, 2).select("stim", "frame", "k", rounded("x", 5).alias("x"))
+
+
+def unpadded_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    padded = prepare.padded_plane(planes(spark, sf_dir), 3, 2, value=0.0)
+    return prepare.unpadded_plane(padded, 2.8, 2, most=40.5).select("stim", "frame", "k", rounded("x", 5).alias("x"))
+
+
+def loudest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's day of the largest sum of values."""
+    days = signals(spark, sf_dir).groupBy("stim", F.floor(F.col("us") / 86_400_000_000).alias("day")).agg(rounded(F.sum("x"), 2).alias("x"))
+    return prepare.largest(days, ["stim"], "day")
+
+
+def converged_stimuli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether moments of two halves of a supplier's quantities are as near as 25 dB."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("stim"), "l_returnflag", "l_quantity")
+    means = line.groupBy("stim", "l_returnflag").agg(F.avg("l_quantity").alias("x"))
+    whole = line.groupBy("stim").agg(F.avg("l_quantity").alias("all"))
+    ratio = means.join(whole, "stim").select("stim", (-20 * F.log10(F.abs(F.col("x") - F.col("all")) / F.col("all") + 1e-9)).alias("snr_db"))
+    return prepare.convergence(ratio, 25.0, flag="l_returnflag").select("stim", rounded("snr_db", 4).alias("snr_db"), "converged")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (dft_magnitude, circular_autocorr, hilbert_envelope, noise_spectrum, subband_filter, band_collapse, cochleagram, coch_roundtrip, wavelet_bands, wavelet_roundtrip, resample_rational, resample_axes, pchip_gap, pchip_log_axis, windowed_autocorr, nan_repeats, event_median, pca_leading, stream_covariance, wav_ranges, texture_sums, texture_imposed, modulation_filter, filter_roundtrip, modulation_matched)
+    for f in (dft_magnitude, circular_autocorr, hilbert_envelope, noise_spectrum, subband_filter, band_collapse, cochleagram, coch_roundtrip, wavelet_bands, wavelet_roundtrip, resample_rational, resample_axes, pchip_gap, pchip_log_axis, windowed_autocorr, nan_repeats, event_median, pca_leading, stream_covariance, wav_ranges, texture_sums, texture_imposed, modulation_filter, filter_roundtrip, modulation_matched, formatted_waves, measured_sounds, padded_planes, unpadded_planes, loudest_days, converged_stimuli)
 }
 
 TIMES = f"{SAMPLES}, c AS (SELECT stim, count(*) AS m FROM s GROUP BY stim), t AS (SELECT s.stim, s.n, s.x, c.m FROM s JOIN c USING (stim))"
@@ -284,7 +318,22 @@ MOD_RATES = values([(0, 2.0), (1, 4.0)], "rate, hz")
 #: Each filter's rate (-2 passes the mean alone, -1 all) and direction, and what it passes of each frequency over channels.
 MOD_FILTERS = values([(k, -1 if r is None else -2 if r == 0 else [2.0, 4.0].index(r), sign if r is not None and c is not None else 0, f, float(h)) for k, (r, c, sign) in enumerate(FILTERED.each) for f, h in enumerate(spectral_filter(c, 4, 4.0) if c is not None else [1.0] * 4)], "filter, rate, directed, f, h")
 ANGLE = "2 * pi() * (((e.n * b.t) % e.m) / CAST(e.m AS DOUBLE) + ((e.channel * b.f) % 4) / 4.0)"
+def levelled_sql(source: str, level: float = 0.01) -> str:
+    return f"SELECT stim, n, round(x * {level} / nullif(sqrt(avg(x * x) OVER (PARTITION BY stim)), 0), 7) AS x FROM ({source})"
+
+
+PADDED = f"""{SHIFTS}, a AS (SELECT stim, any_value(m) AS m, avg(x) AS a FROM e GROUP BY stim),
+p AS (SELECT g.stim, g.frame, g.k, e.x, a FROM (SELECT stim, a, frame, unnest(range(6)) AS k FROM (SELECT stim, a, unnest(range(m + 3)) AS frame FROM a)) g LEFT JOIN e ON e.stim = g.stim AND e.n = g.frame - 3 AND e.channel = g.k - 2)"""
 ORACLES = {
+    "formatted_waves": f"WITH {SAMPLES}, v AS (SELECT stim, n, x FROM s WHERE n < 60) {levelled_sql(resample_sql('v', 'stim', 'n', 2, 3))}",
+    "measured_sounds": f"""WITH {TIMES}, l AS (SELECT stim, m, m + m % 2 AS w FROM c), k AS (SELECT stim, m, CASE WHEN 50 > w THEN w // 8 * 8 WHEN 56 > w THEN 48 ELSE 56 END AS l FROM l)
+{levelled_sql("SELECT k.stim, g.n, coalesce(s.x, 0) AS x FROM (SELECT stim, unnest(range(l)) AS n FROM k) g JOIN k USING (stim) LEFT JOIN s ON s.stim = g.stim AND s.n = g.n")}""",
+    "padded_planes": f"WITH {PADDED} SELECT stim, frame, CAST(k AS INTEGER) AS k, round(coalesce(x, a), 5) AS x FROM p",
+    "unpadded_planes": f"WITH {SHIFTS} SELECT stim, n AS frame, channel AS k, round(x, 5) AS x FROM e WHERE n < 40",
+    "loudest_days": """WITH d AS (SELECT user_id AS stim, epoch_us(ts) // 86400000000 AS day, round(sum(value), 2) AS x FROM events GROUP BY 1, 2)
+SELECT stim, day, x FROM (SELECT *, row_number() OVER (PARTITION BY stim ORDER BY x DESC, day) AS r FROM d) WHERE r = 1""",
+    "converged_stimuli": """WITH m AS (SELECT l_suppkey AS stim, l_returnflag, avg(l_quantity) AS x FROM lineitem GROUP BY 1, 2), w AS (SELECT l_suppkey AS stim, avg(l_quantity) AS a FROM lineitem GROUP BY 1)
+SELECT stim, round(min(-20 * log10(abs(x - a) / a + 1e-9)), 4) AS snr_db, min(-20 * log10(abs(x - a) / a + 1e-9)) >= 25 AS converged FROM m JOIN w USING (stim) GROUP BY stim""",
     "modulation_filter": f"""WITH {SHIFTS}, b AS (SELECT m, t, f FROM (SELECT m, unnest(range(m)) AS t FROM (SELECT DISTINCT m FROM e)), (SELECT unnest([0, 1, 2, 3]) AS f)),
 d AS (SELECT e.stim, b.t, b.f, sum(x * cos({ANGLE})) AS re, -sum(x * sin({ANGLE})) AS im FROM e JOIN b ON b.m = e.m GROUP BY e.stim, b.t, b.f),
 a AS (SELECT rate, m, t AS j, t / 16.0 * hz AS u FROM b, (SELECT * FROM {MOD_RATES}) WHERE f = 0), g AS (SELECT rate, m, j, u * u * exp(-3.5 * u) * sin(2 * pi() * u) AS g FROM a),
