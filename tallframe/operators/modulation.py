@@ -6,6 +6,8 @@ holds a cochleagram. What is between is written to the shared folder, as it is r
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +19,7 @@ from tallframe.operators.kernels import spectral_filter
 from tallframe.operators.match import by_rank
 from tallframe.operators.transform import fourier, inverse_fourier
 from tallframe.session import checkpointed
+from tallframe.sources.files import is_whole
 
 
 @dataclass(frozen=True)
@@ -109,8 +112,44 @@ def put_together(bands: DataFrame, s: Filters, *, cancellation: bool = False, le
     return inverse_plane(sums.select("stim", "frames", "t", "f", share("re").alias("re"), share("im").alias("im")), ["stim"], s.channels)
 
 
-def matched(synth: DataFrame, orig: DataFrame, s: Filters, *, width: float, cancellation: bool = False) -> DataFrame:
-    """``stim, frame, k, x``: a cochleagram each of whose filtered versions has taken on the values of the original's, channel by channel, put together again."""
+def matched(synth: DataFrame, orig: DataFrame, s: Filters, *, width: float, cancellation: bool = False, buffer: int = 0) -> DataFrame:
+    """``stim, frame, k, x``: a cochleagram each of whose filtered versions has taken on the values of the original's, channel by channel, put together again.
+
+    ``buffer``: frames at either end whose values aren't matched and aren't matched to.
+    """
     have, want = (filtered(df, s).withColumnRenamed("frame", "n") for df in (synth, orig))
-    bands = by_rank(have, want, ["stim", "filter", "k"], width=width).withColumnRenamed("n", "frame")
+    bands = inner_matched(have, want, ["stim", "filter", "k"], width, buffer).withColumnRenamed("n", "frame")
     return put_together(bands, s, cancellation=cancellation)
+
+
+def inner_matched(have: DataFrame, want: DataFrame, keys: list[str], width: float, buffer: int) -> DataFrame:
+    """``*keys, n, x`` with the values of ``want`` in the order of ``have``, but for ``buffer`` places at either end."""
+    if not buffer:
+        return by_rank(have, want, keys, width=width)
+
+    def inside(df: DataFrame) -> DataFrame:
+        ends = df.groupBy("stim").agg((F.max("n") - buffer).alias("_last"))
+        return df.join(ends, "stim").withColumn("_in", (F.col("n") >= buffer) & (F.col("n") <= F.col("_last"))).drop("_last")
+
+    both = inside(have)
+    own = by_rank(both.where("_in").drop("_in"), inside(want).where("_in").drop("_in"), keys, width=width)
+    return own.unionByName(both.where("not _in").drop("_in"))
+
+
+def synthesise(start: DataFrame, target: DataFrame, s: Filters, folder: str, *, iterations: int, width: float, cancellation: bool = False, buffer: int = 0) -> DataFrame:
+    """``stim, frame, k, x``: ``start`` after so many rounds, each of which gives its filtered versions and then its channels the target's values.
+
+    ``buffer`` (frames) takes the place of padding in time: the ends, where filters wrap round, are left out of matching. Each round is Parquet below
+    ``folder``; a later call with the same settings and inputs goes on from the last whole one, another has a folder of its own.
+    """
+    spark = start.sparkSession
+    marks = [str(df.agg(F.sum(F.xxhash64("stim", "frame", "k", "x").cast("decimal(38,0)"))).first()[0]) for df in (start, target)]
+    where = f"{folder}/{hashlib.sha256(json.dumps([str(s), width, cancellation, buffer, *marks]).encode()).hexdigest()[:16]}"
+    done = next((k for k in range(iterations, 0, -1) if is_whole(spark, f"{where}/round={k}")), 0)
+    now = spark.read.parquet(f"{where}/round={done}") if done else start.select("stim", "frame", "k", F.col("x").cast("double").alias("x"))
+    want = target.select("stim", F.col("frame").alias("n"), "k", F.col("x").cast("double").alias("x"))
+    for k in range(done + 1, iterations + 1):
+        bands = matched(now, target, s, width=width, cancellation=cancellation, buffer=buffer).withColumnRenamed("frame", "n")
+        inner_matched(bands, want, ["stim", "k"], width, buffer).select("stim", F.col("n").alias("frame"), "k", "x").write.mode("overwrite").parquet(f"{where}/round={k}")
+        now = spark.read.parquet(f"{where}/round={k}")
+    return now

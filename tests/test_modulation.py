@@ -54,6 +54,26 @@ def test_matching_with_what_cancels(spark, planes):
         assert np.allclose(got[k,], want, atol=1e-9)
 
 
+def test_rounds_of_synthesis(spark, planes, tmp_path):
+    start, target = (tall(spark, {0: p[0]}) for p in planes)
+    few = M.Filters(CHANNELS, ((0.0, 0.0, 1), (2.0, None, 1), (None, 0.5, 1)), 16.0, 4.0)
+    got = grids(M.synthesise(start, target, few, str(tmp_path), iterations=1, width=0.5, buffer=2), ("stim",))[0,]
+    x, y = planes[0][0], planes[1][0]
+    h = [kernels.modulation_filter(rate, scale, x.shape, 16.0, 4.0, sign=sign) for rate, scale, sign in few.each]
+
+    def matched(a, b):
+        a = a.copy()
+        a[2:-2] = kernels.rank_matched(a[2:-2], b[2:-2])
+        return a
+
+    want = kernels.demodulated([matched(a, b) for a, b in zip(kernels.modulated(x, h), kernels.modulated(y, h), strict=True)], h)
+    want = matched(want, y)
+    assert np.allclose(got, want, atol=1e-9)
+    before = sorted(tmp_path.rglob("*.parquet"))
+    assert M.synthesise(start, target, few, str(tmp_path), iterations=1, width=0.5, buffer=2).count() == x.size
+    assert sorted(tmp_path.rglob("*.parquet")) == before
+
+
 def test_contractions(spark):
     pairs = {"can't've": "cannot have", "Y'ALL'D'VE": "you all would have", "won't": "will not", "he’s": "he is", "girl's": "girl", "how'd'y": "how do you", "where'd": "where did", "shouldn't've": "should not have", "o'clock": "of the clock", "so's": "so as", "plain words": "plain words", "it's they're": "it is they are", "": "", None: None}
     df = spark.createDataFrame([(k,) for k in pairs], "label string")
