@@ -349,7 +349,7 @@ SELECT e.stim, b.filter, e.n AS frame, e.channel AS k, round(sum(re * cos({ANGLE
     "texture_sums": f"""WITH {SHIFTS}, p AS (SELECT stim, channel, any_value(m) AS m, avg(x) AS a, var_pop(x) AS v FROM e GROUP BY stim, channel), d AS (SELECT e.*, x - a AS d, a, v FROM e JOIN p USING (stim, channel)),
 b AS (SELECT e.stim, e.channel, k, e.n, sum(gr * f.x) AS ar, sum(gi * f.x) AS ai FROM e, (SELECT * FROM {TAPS}), e f WHERE f.stim = e.stim AND f.channel = e.channel AND f.n = (e.n - o + e.m) % e.m GROUP BY e.stim, e.channel, k, e.n),
 c AS (SELECT *, sqrt(ar * ar + ai * ai) AS r FROM b), w AS (SELECT stim, channel, k, sum(r * r) AS w FROM c GROUP BY stim, channel, k),
-z AS (SELECT c.stim, c.channel, c.k, sum(((c.ar * c.ar - c.ai * c.ai) * n.ar + 2 * c.ar * c.ai * n.ai) / c.r) AS re, sum(((c.ar * c.ar - c.ai * c.ai) * n.ai - 2 * c.ar * c.ai * n.ar) / c.r) AS im FROM c JOIN c n ON n.stim = c.stim AND n.channel = c.channel AND n.n = c.n AND n.k = c.k + 1 GROUP BY c.stim, c.channel, c.k),
+z AS (SELECT c.stim, c.channel, c.k, sum(((c.ar * c.ar - c.ai * c.ai) * n.ar + 2 * c.ar * c.ai * n.ai) / greatest(c.r, 1e-12)) AS re, sum(((c.ar * c.ar - c.ai * c.ai) * n.ai - 2 * c.ar * c.ai * n.ar) / greatest(c.r, 1e-12)) AS im FROM c JOIN c n ON n.stim = c.stim AND n.channel = c.channel AND n.n = c.n AND n.k = c.k + 1 GROUP BY c.stim, c.channel, c.k),
 y AS (SELECT z.stim, z.channel, z.k, re / sqrt(w.w * x.w) AS re, im / sqrt(w.w * x.w) AS im FROM z JOIN w ON w.stim = z.stim AND w.channel = z.channel AND w.k = z.k JOIN w x ON x.stim = z.stim AND x.channel = z.channel AND x.k = z.k + 1),
 r AS (SELECT stim, 'mean' AS stat, channel, 0 AS k, a AS value FROM p UNION ALL SELECT stim, 'cv2', channel, 0, v / (a * a) FROM p
 UNION ALL SELECT stim, 'skew', channel, 0, avg(d ** 3) / any_value(v) ** 1.5 FROM d GROUP BY stim, channel UNION ALL SELECT stim, 'kurt', channel, 0, avg(d ** 4) / any_value(v) ** 2 FROM d GROUP BY stim, channel

@@ -143,6 +143,12 @@ ORACLES = {
     "mexican_hat_tf": "SELECT vec_id, CAST(k AS INTEGER) AS k, round(x * g * exp(1 - g), 6) AS h FROM (SELECT vec_id, k, x, (k * 0.1875 / 2) ** 2 AS g FROM (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings))",
     "subband_collapse": f"""WITH {N67}, g AS (SELECT DISTINCT stim, m, unnest(range(CASE WHEN m <= 64 THEN 1 ELSE CAST(ceil((m - 64) / 64.0) AS BIGINT) + 1 END)) AS frame FROM c), p AS (SELECT *, unnest(range(64)) AS n FROM g)
 SELECT p.stim || '-' || frame AS stim, CAST(p.n AS INTEGER) AS n, round(coalesce(s.x, 0), 4) + 0.0 AS x FROM p LEFT JOIN s ON s.stim = p.stim AND s.n = frame * 64 + p.n""",
+    "mel_spectrogram": f"""WITH {N67}, g AS (SELECT DISTINCT stim, unnest(range(CASE WHEN m <= 64 THEN 1 ELSE CAST(ceil((m - 64) / 64.0) AS BIGINT) + 1 END)) AS part FROM c),
+f AS (SELECT stim, part, frame, j, part * 64 + frame * 16 + j - 16 AS n, frame * 16 + j - 16 AS own FROM g, (SELECT unnest(range(4)) AS frame), (SELECT unnest(range(32)) AS j)),
+w AS (SELECT f.stim, part, frame, j, CASE WHEN own BETWEEN 0 AND 63 THEN coalesce(s.x, 0) ELSE 0 END * (0.5 - 0.5 * cos(2 * pi() * j / 31)) AS x FROM f LEFT JOIN s ON s.stim = f.stim AND s.n = f.n),
+d AS (SELECT stim, part, frame, k, sum(x * cos(2 * pi() * ((j * k) % 32) / 32)) ** 2 + sum(x * sin(2 * pi() * ((j * k) % 32) / 32)) ** 2 AS p FROM w, (SELECT unnest(range(17)) AS k) GROUP BY stim, part, frame, k),
+tri AS (SELECT k, b, greatest(0, 1 - abs(2595 * log10(1 + 2 * k / 700.0) - (b + 1) * st) / st) AS h FROM (SELECT unnest(range(17)) AS k), (SELECT unnest(range(10)) AS b), (SELECT 2595 * log10(1 + 32 / 700.0) / 11 AS st))
+SELECT stim || '-' || part AS stim, frame, CAST(b AS INTEGER) AS k, round(log10(sum(p * h) + 1e-10), 5) AS x FROM d JOIN tri USING (k) GROUP BY stim, part, frame, b""",
     "windowed_frames": """WITH e AS (SELECT user_id AS stim, epoch_us(ts) AS us, value AS x FROM events), k AS (SELECT unnest([0, 1]) AS k),
 f AS (SELECT stim, us, x, ((us - 14400000000) // 21600000000 - k) * 21600000000 + 14400000000 AS start_us FROM e, k)
 SELECT stim, start_us, count(*) AS n, round(avg(x), 6) AS mean FROM f WHERE us < start_us + 32400000000 GROUP BY stim, start_us""",
