@@ -16,7 +16,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,94 +29,233 @@ from pyspark.sql import functions as F
 from tallframe.llm.exchange import planes, unplanes
 from tallframe.llm.text import hashes, map_batches, mix
 
-#: Elements and names of parts that aren't a page's text.
-RAW = "script style noscript template textarea iframe object svg head title select"
-CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "button"}
+#: Elements whose content is text to the parser, elements that hold no text of the page, blocks, elements without content, words of class names and ids of parts that aren't a page's text, and of what only says that there are such parts.
+RAW = {"script", "style", "textarea", "title", "iframe"}
+CHROME = {"nav", "footer", "aside", "form", "menu", "dialog"}
+INLINE = {"button", "noscript", "template", "object", "svg", "select", "audio", "video", "canvas"}
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])", re.I)
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+READERS = {"comment", "comments", "disqus", "replies", "reply", "respond", "responses"}
+NOTICES = {"ad", "ads", "banner", "cookie", "cookies", "consent", "modal", "newsletter", "notice", "notices", "popup", "related", "share", "sharing", "social", "subscribe"}
+PLACES = {"breadcrumb", "breadcrumbs", "footer", "masthead", "menu", "nav", "navbar", "navigation", "sidebar", "toolbar", "topbar", "widget"}
+STEMS = ("advert", "promo", "sponsor")
+STATES = {"no", "not", "has", "is", "with", "without", "show", "hide"}
+OF_SITE = {"site", "page", "main", "global", "top", "blog"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
-#: A tag ends before the next one begins, so that tags that never close are passed in one step each.
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<more>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
+#: A start tag of the first ends open elements of the second.
+IMPLIED = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr")}
+#: A tag's name and attributes end before the next tag begins and are never read again, so that tags that never close are passed in one step each; a tag with a stray quote ends at the first ``>``.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<more>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?=>)|[^<>]*+)>", re.S)
 #: Most bytes of html in a group, unless a page has more.
 GROUP_BYTES = 8 << 20
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+TELLING = re.compile(r"class|id|role|hidden", re.I)
 
 
-def is_chrome(tag: str, more: str, in_article: bool) -> bool:
-    if tag in CHROME or (tag == "header" and not in_article):
-        return True
-    if tag in ("html", "body", "article", "main") or not more:
-        return False
+def named(name: str, in_article: bool) -> str | None:
+    """Which part of a page a class name or id is of: ``readers``, ``notice``, ``place`` or none of them.
+
+    ``no-sidebar``, ``has-comments`` and ``content-sidebar-wrap`` are of wrappers, as is what follows two hyphens.
+    """
+    parts = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name.split("--")[0]).lower().replace("_", "-").split("-")
+    if not STATES.isdisjoint(parts):
+        return None
+    if not READERS.isdisjoint(parts):
+        return "readers"
+    if not NOTICES.isdisjoint(parts) or any(x.startswith(STEMS) for x in parts):
+        return "notice"
+    if not PLACES.isdisjoint(parts) and not ("content" in parts and "sidebar" in parts and parts.index("content") < parts.index("sidebar")):
+        return "place"
+    if parts[-1] == "header" and not in_article and (len(parts) == 1 or parts[0] in OF_SITE):
+        return "place"
+    return None
+
+
+@lru_cache(1 << 14)
+def apart(tag: str, more: str, in_article: bool) -> str | None:
+    """Why an element isn't the page's text: an ``element`` by its tag, role or attribute, a ``form``, or by ``named``; none if it may be."""
+    if tag == "form":
+        return "form"
+    if tag in CHROME or tag in INLINE or (tag == "header" and not in_article):
+        return "element"
+    if tag in ("html", "body", "main"):
+        return None
+    found = None
     for name, value in ATTRIBUTE.findall(more):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and NAMES.search(value) or name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return "element" if tag != "article" else None
+        if name == "class" or name == "id" and tag not in HEADINGS:  # a heading's id is made of its words
+            for x in value.split():
+                why = named(x, in_article)
+                if why and (tag != "article" or why == "readers"):
+                    found = found or why
+    return found
+
+
+class Part:
+    """An element that may be set apart, with what speaks against it."""
+
+    def __init__(self, why: str, tag: str, above: int) -> None:
+        self.why, self.tag, self.above = why, tag, above
+        self.closed = self.main = self.article = False
+        self.landmark = self.content = -1  # where the first article or main begins in it, and the first paragraph, title or section
+        self.chars = self.links = 0
+        self.until = -1  # what stands in it from here on stays; all if 0
+
+    def decide(self, total: int, landmarks: bool) -> None:
+        """``total``: letters of the page; ``landmarks``: whether an article or main element stands outside all parts."""
+        if self.main or self.article and not landmarks:
+            self.until = 0 if self.closed else self.landmark
+        elif self.content >= 0 and not landmarks and 2 * self.chars > total and 2 * self.links < self.chars:
+            if self.why == "form" or self.why == "place":
+                self.until = 0 if self.closed else self.content
+            elif not self.closed and self.why == "element" and self.tag != "footer":
+                self.until = self.content
 
 
 def blocks(page: str | None) -> tuple[list[str], list[bool]]:
-    """The page's blocks of text but for those that its markup sets apart, and which of them stand in an article."""
+    """The page's blocks of text but for those that its markup sets apart, and which of them stand in an article.
+
+    An element that is set apart yields to a main element in it, and to an article if none stands elsewhere. A form, or what is
+    named as a place of the page, yields too if it holds paragraphs, most of the page's letters and not mostly links. An
+    element that never closes ends where its article begins, or before a paragraph if most of the page follows.
+    """
     page = page or ""
-    texts: list[list[str]] = [[]]
+    texts: list[list[tuple[int, int, str]]] = [[]]  # of a block: part, place and text
     inside: list[bool] = [False]
-    open_: list[tuple[str, bool, bool]] = []  # tag, whether it is an article, whether it is set apart
-    articles = apart = 0
-    last: dict[str, int] = {}  # where each tag is closed last
-
-    def closed_after(tag: str, at: int) -> bool:
-        if tag not in last:
-            last[tag] = max((m.start() for m in re.finditer(f"</{re.escape(tag)}", page, re.I)), default=-1)
-        return last[tag] >= at
-
-    def close(to: int) -> None:
-        nonlocal articles, apart
-        for _, is_article, is_apart in open_[to:]:
+    parts: list[Part] = []
+    open_: list[tuple[str, bool, int]] = []  # tag, whether it is an article, part
+    held: dict[str, int] = {}  # how many of each tag are open
+    ends: dict[str, list[int]] = {}  # where the elements of ``RAW`` end, by tag
+    articles, part, link, inline = 0, -1, False, ""
+    landmarks = False
+
+    def close(to: int, closed: bool) -> None:
+        """Closes elements, the outermost of them by its own end tag or by one that implies it."""
+        nonlocal articles, part
+        while len(open_) > to:
+            tag, is_article, of = open_.pop()
+            held[tag] -= 1
             articles -= is_article
-            apart -= is_apart
-        del open_[to:]
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at and not apart:
-            texts[-1].append(page[at : m.start()])
-        at = m.end()
-        if m["tag"] is None:
-            if m[0].startswith("<![CDATA[") and not apart:
-                texts[-1].append(html.escape(m[0][9:-3]))
+            if of >= 0:
+                part = parts[of].above
+                parts[of].closed = closed and len(open_) == to
+
+    def said(start: int, text: str) -> None:
+        texts[-1].append((part, start, text))
+        if not text.isspace():
+            n, p = len(text), part
+            while p >= 0 and p > part - 16:  # parts nest little; what counts is which holds most
+                parts[p].chars += n
+                parts[p].links += n if link else 0
+                p = parts[p].above
+
+    at, tokens = 0, TOKEN.finditer(page)
+    while m := next(tokens, None):
+        start, stop = m.span()
+        if start > at:
+            if part < 0:
+                texts[-1].append((-1, at, page[at:start]))
+            else:
+                said(at, page[at:start])
+        at = stop
+        end, tag, more = m.groups()
+        if tag is None:
+            if m[0].startswith("<![CDATA["):
+                said(start, html.escape(m[0][9:-3]))
             continue
-        tag = m["tag"].lower()
-        if tag not in BLOCKS and tag not in CHROME:
-            if tag == "br" and not apart:
-                texts[-1].append(" ")
+        tag = tag.lower()
+        single = more.endswith("/") or tag in VOID
+        if tag in RAW:
+            if not end and not single:
+                if tag not in ends:
+                    ends[tag] = [x.end() for x in re.finditer(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", page, re.I)]
+                k = bisect_right(ends[tag], at)
+                if k < len(ends[tag]):
+                    at = ends[tag][k]
+                elif tag in ("script", "style"):
+                    at = len(page)
+                tokens = TOKEN.finditer(page, at)
             continue
+        if tag not in BLOCKS:
+            if tag == "br":
+                said(start, " ")
+            elif tag == "a":
+                link = not end
+            if end:
+                if held.get(tag):
+                    k = len(open_) - 1
+                    while open_[k][0] != tag and open_[k][0] not in BLOCKS:
+                        k -= 1
+                    if open_[k][0] == tag:
+                        close(k, True)
+                        inline = inline if held[tag] else ""
+            elif not single:
+                why = None
+                if not inline and (tag in INLINE or more and TELLING.search(more)):
+                    why = apart(tag, more if tag not in INLINE else "", articles > 0)
+                if why:
+                    parts.append(Part(why, tag, part))
+                    part, inline = len(parts) - 1, tag
+                if why or tag == inline:
+                    open_.append((tag, False, part if why else -1))
+                    held[tag] = held.get(tag, 0) + 1
+            continue
+        if end:
+            if held.get(tag):
+                k = len(open_) - 1
+                while open_[k][0] != tag:
+                    k -= 1
+                close(k, True)
+        elif not single:
+            implied = IMPLIED.get(tag, ("p",))
+            while open_ and open_[-1][0] in implied:
+                close(len(open_) - 1, True)
+        if inline and not held[inline]:
+            inline = ""
         if texts[-1] or inside[-1] != (articles > 0):
             texts.append([])
             inside.append(False)
-        if m["end"]:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == tag:
-                    close(k)
-                    break
-        elif tag != "hr" and not m["more"].endswith("/"):
-            if tag in ("article", "main") and apart and not articles:
-                first = next(k for k, x in enumerate(open_) if x[2])
-                if not closed_after(open_[first][0], at):
-                    close(first)  # what was set apart was never closed
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and open_ and open_[-1][0] == tag:
-                close(len(open_) - 1)
-            elif tag in BLOCKS and tag != "p" and open_ and open_[-1][0] == "p":
-                close(len(open_) - 1)
-            is_article = tag in ("article", "main")
-            is_apart = is_chrome(tag, m["more"], articles > 0)
-            open_.append((tag, is_article, is_apart))
+        if not end and not single:
+            why = apart(tag, more if more and TELLING.search(more) else "", articles > 0)
+            is_article = tag == "main" or tag == "article" and not why
+            if is_article and part < 0:
+                landmarks = True
+            if part >= 0 and (is_article or tag in ("p", "h1", "section")):
+                p = part
+                while p >= 0 and (parts[p].content < 0 or is_article and (parts[p].landmark < 0 or tag == "main" and not parts[p].main)):
+                    x = parts[p]
+                    x.content = start if x.content < 0 else x.content
+                    if is_article:
+                        x.landmark = start if x.landmark < 0 else x.landmark
+                        x.main, x.article = x.main or tag == "main", True
+                    p = x.above
+            if why:
+                parts.append(Part(why, tag, part))
+                part = len(parts) - 1
+            open_.append((tag, is_article, part if why else -1))
+            held[tag] = held.get(tag, 0) + 1
             articles += is_article
-            apart += is_apart
         inside[-1] = articles > 0
-    if at < len(page) and not apart:
-        texts[-1].append(page[at:])
+    if at < len(page):
+        said(at, page[at:])
+    close(0, False)
+    if parts:
+        total = sum([len(x) for t in texts for _, _, x in t if not x.isspace()])
+        for x in parts:
+            x.decide(total, landmarks)
+        gone_until = [0] * len(parts)  # what stands in a part before this place goes
+        for k, x in enumerate(parts):
+            own = len(page) + 1 if x.until < 0 else x.until
+            gone_until[k] = max(own, gone_until[x.above] if x.above >= 0 else 0)
     out, main = [], []
     for t, i in zip(texts, inside, strict=True):
-        if t and (text := " ".join(html.unescape("".join(t)).split())):
+        if not t:
+            continue
+        text = t[0][2] if len(t) == 1 and t[0][0] < 0 else "".join([x for p, place, x in t if p < 0 or place >= gone_until[p]])
+        if text := " ".join((html.unescape(text) if "&" in text else text).split()):
             out.append(text)
             main.append(i)
     return out, main
@@ -176,17 +317,37 @@ def repeated(words: list[list[str]], page: np.ndarray, least: int, need: np.ndar
 
 def windows(words: list[list[str]], least: int) -> list[np.ndarray]:
     """64-bit hashes of each block's windows of ``least`` words; a shorter block has one, of the whole."""
+    if not words:
+        return []
     code: dict[str, int] = {}
-    places = [np.fromiter((code.setdefault(x, len(code)) for x in w), np.int64, len(w)) for w in words]
-    of = hashes([x.encode("utf-8", "surrogatepass") for x in code])
-    out = []
-    for w in places:
-        codes, width = of[w], min(len(w), least)
-        sums = np.full(len(w) - width + 1, width, np.uint64)
-        for k in range(width):
-            sums = sums * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(w) - width + 1 + k]
-        out.append(mix(sums).view(np.int64))
-    return out
+    sizes = np.array([len(w) for w in words], np.int64)
+    stream = np.fromiter((code.setdefault(x, len(code)) for w in words for x in w), np.int64, sizes.sum())
+    codes = hashes([x.encode("utf-8", "surrogatepass") for x in code])[stream]
+    width = np.minimum(sizes, least)
+    many = sizes - width + 1
+    ends = np.cumsum(many)
+    at = np.arange(ends[-1]) + np.repeat(np.cumsum(sizes) - sizes - ends + many, many)
+    width = np.repeat(width, many)
+    sums, shortest = width.astype(np.uint64), width.min()
+    for k in range(least):
+        which = slice(None) if k < shortest else np.flatnonzero(width > k)
+        sums[which] = sums[which] * np.uint64(0x9E3779B97F4A7C15) + codes[at[which] + k]
+    return np.split(mix(sums).view(np.int64), ends[:-1])
+
+
+def told(pages: list[str | None], least: int) -> Iterator[np.ndarray]:
+    """The distinct windows of each page, some megabytes of pages at a time."""
+    start, held = 0, 0
+    for k, page in enumerate(pages):
+        held += len(page or "")
+        if held < 1 << 21 and k + 1 < len(pages):
+            continue
+        found = [blocks(x)[0] for x in pages[start : k + 1]]
+        of = windows([x.split(" ") for b in found for x in b], least)
+        ends = np.cumsum([len(b) for b in found])
+        for b, end in zip(found, ends.tolist(), strict=True):
+            yield np.unique(np.concatenate(of[end - len(b) : end])) if b else np.array([], np.int64)
+        start, held = k + 1, 0
 
 
 def packed(part: np.ndarray, found: np.ndarray, shards: int) -> pa.RecordBatch:
@@ -241,8 +402,7 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
         for whole in batches:
             for start in range(0, whole.num_rows, 2500):
                 b = whole.slice(start, 2500).to_pydict()
-                of = [windows([x.split(" ") for x in blocks(page)[0]], least) for page in b["html"]]
-                of = [np.unique(np.concatenate(w)) ^ np.int64(at) if w else np.array([], np.int64) for w, at in zip(of, b["host"], strict=True)]
+                of = [w ^ np.int64(at) for w, at in zip(told(b["html"], least), b["host"], strict=True)]
                 yield packed(np.repeat(np.array(b["part"], np.int64), [len(w) for w in of]), np.concatenate(of).view(np.uint64), shards)
 
     def count(t: pa.Table) -> pa.Table:
@@ -294,6 +454,6 @@ def extract_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     schema = f"page_id {kind}, url string, text string, n_chars bigint"
     if not split:
         return parsed.groupBy("part").applyInArrow(lambda t: judge(t, None), schema)
-    told = rows.where("groups > 1").select("html", "host", "part").mapInArrow(tell, "shard int, part bigint, many bigint, hashes binary, counts binary")
-    heard = told.groupBy("shard").applyInArrow(count, "part bigint, _hash bigint, n bigint")
+    heard = rows.where("groups > 1").select("html", "host", "part").mapInArrow(tell, "shard int, part bigint, many bigint, hashes binary, counts binary")
+    heard = heard.groupBy("shard").applyInArrow(count, "part bigint, _hash bigint, n bigint")
     return parsed.groupBy("part").cogroup(heard.groupBy("part")).applyInArrow(judge, schema)

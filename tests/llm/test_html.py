@@ -4,7 +4,7 @@ import random
 import time
 from collections import Counter
 
-from tallframe.llm.html import blocks, extract_text
+from tallframe.llm.html import blocks, extract_text, windows
 
 
 def texts(spark, pages, **more):
@@ -59,6 +59,58 @@ def test_broken_and_odd_pages(spark):
     assert blocks("<a " * 350_000)[0] == [" ".join(["<a"] * 350_000)]
     assert time.perf_counter() - start < 5
     assert blocks("<div class=menu>x" + "<article>y" * 20_000)[0][0] == "y"
+    for junk in ("<a" * 100_000, "<script" * 100_000, "<iframe>" * 100_000, "<span class=ad>" * 100_000, "<div>" * 3000 + "</p>" * 100_000, "<a \"<a' " * 50_000, "<span class=ad><div>" * 30_000 + "</span>" * 30_000, "<form>" * 2000 + "<article>x</article>" * 20_000):
+        start = time.perf_counter()
+        blocks(junk)
+        assert time.perf_counter() - start < 2, junk[:20]
     got = extract_text(spark.createDataFrame([(1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (None, "https://a.org", None), (2, "", "")], "page_id bigint, url string, html string"))
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1), (2, "", 0)]
     assert extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+BODY = "The main text of this page has many words that all belong to the story and are read by people"
+
+
+def test_whole_pages_do_not_vanish():
+    """Heads and menus that never close, elements that close themselves, a page in a form, wrappers named after what they hold."""
+    for page in (
+        f"<html><head><title>t</title><meta charset=utf-8><body><p>{BODY}</p>",
+        f"<svg/><iframe src=x /><noscript><p>{BODY}</p>",
+        f"<form action=x><nav>Home About</nav><div><p>{BODY}</p></div><footer>c</footer></form>",
+        f"<div class='no-sidebar'><p>{BODY}</p></div>",
+        f"<div class='content-sidebar-wrap'><article>{BODY}</article><div class=sidebar>s</div></div>",
+        f"<div class='layout--sidebar'><p>{BODY}</p></div>",
+        f"<div class='sidebar-left'><main>{BODY}</main></div>",
+        f"<div class=menu><a href=/>Home</a><div><p>{BODY}</p></div>",
+        f"<nav><a href=/>Home</a><main><p>{BODY}</p></main>",
+        f"<a title='x>y'></a><a href=\"z\"\"></a><p>{BODY}</p>",
+    ):
+        assert blocks(page)[0] == [BODY], page
+
+
+def test_what_is_no_text_of_the_page_goes():
+    """Adverts and share links within a line, readers' comments longer than the text, a site's header, teasers beside an article."""
+    readers = f"{BODY}. " * 5
+    for page in (
+        f"<p>The main text of this page has many words <span class='ad'>buy <span>now</span></span> that all belong to the story <a class=share href=x>share</a> and are read by people</p>",
+        f"<div class='has-comments'><p>{BODY}<div class=comments><p>{readers}</div></div>",
+        f"<article><p>{BODY}</p></article><div class=replies><p>{readers}</div><div id=responses>x</div>",
+        f"<article>{BODY}</article><section id=comments><article class=comment-body>{readers}</article></section>",
+        f"<div class='site-header'>Site</div><p>{BODY}</p><div id=mainNav>Home</div>",
+        f"<aside><article>teaser</article></aside><article>{BODY}</article>",
+        f"<table><tr><td class=sidebar>Home<td><p>{BODY}</table><select><option>a</select><video src=x>none</video>",
+    ):
+        assert blocks(page)[0] == [BODY], page
+    assert blocks("<nav>Home About</nav><article></article><footer>f</footer>")[0] == []
+    assert blocks("<article><header><h1 id=comments>T</h1></header>a<p hidden>b</p></article>")[0] == ["T", "a"]
+
+
+def test_windows_against_a_plain_count():
+    words = [[str(k % 7) for k in range(n)] for n in (1, 5, 8, 9, 30)]
+    found = windows(words, 8)
+    assert [len(x) for x in found] == [1, 1, 1, 2, 23]
+    same = {}
+    for w, x in zip(words, found, strict=True):
+        for k, h in enumerate(x.tolist()):
+            assert same.setdefault(tuple(w[k : k + 8]), h) == h
+    assert len(set(same.values())) == len(same)
