@@ -10,7 +10,8 @@ take the next try until none is left, for names with one syllable more, so that
 only these exceptions are carried to the documents.
 
 Names are found after a title, word by word: the last word is a family name, the others are given names of the
-title's gender; where the same document mentions a word of them again without a title, it is replaced too.
+title's gender; where the same document mentions a word of them again without a title, it is replaced too. Initials, particles
+between names and the ending of a possessive are no names and stay.
 Not found are names that no title introduces in their document, and personal data in words (places, dates, employers).
 """
 
@@ -34,26 +35,38 @@ SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re
 ENDINGS = {"latin": {"m": "n", "f": "na", "n": "", "s": "r"}, "greek": {"m": "ς", "f": "να", "n": "", "s": "ρ"}, "cyrillic": {"m": "н", "f": "на", "n": "", "s": "р"}}
 
 LETTERS = r"[^\W\d_]"
-WORD = rf"[^\W\d_a-z]{LETTERS}*(?:['’-]{LETTERS}+)*"
+WORD = rf"[^\W\d_a-z]{LETTERS}*(?:['’-]{LETTERS}+){{0,5}}"
 CALLED = [f for t in TITLES for f in (t.capitalize(), t.upper())]
+#: Particles of names, titles that are told in small letters, words between two titles.
+PARTICLES = "af al av bin da dal das de del della den der di do dos du e el ibn la le ten ter van von y zu zum zur".split()
+SMALL = ["mr", "mrs"]
+BETWEEN = ["and", "or"]
+GAP = r"[^\S\r\n]{1,3}"
+PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)}){GAP}){{0,3}}"
+INITIALS = r"(?:[^\W\d_a-z]\.[^\S\r\n]{0,3}){0,4}"
+NAME = rf"{INITIALS}{PARTICLE}{WORD}(?:{GAP}{INITIALS}{PARTICLE}{WORD}){{0,2}}"
 #: Every part is bounded or starts at the first letter of a run alone, so that a search is linear in the text.
 PATTERNS = {
     "email": r"(?<![\w.+-])(?=[.+-]{0,64}\w)[\w.+-]{1,320}@[\w-]{1,63}(?:\.[\w-]{1,63}){0,20}\.[^\W\d_]{2,63}(?![\w-])",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-fA-F]{32,128})(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|[0-9a-fA-F]{32,128}|(?<!-)xox[abeprs]-[A-Za-z0-9-]{10,512}|(?<![_-])eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{4,8192}\.[A-Za-z0-9_-]{4,4096})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d])",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)",
     "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|(?<![.-])\d{3}(?P<sep>[.-])\d{3}(?P=sep)\d{4}(?![.-]\d))(?!\d)",
-    "name": rf"\b(?P<title>{'|'.join(CALLED)})\b\.? (?P<name>{WORD}(?: {WORD}){{0,2}})",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|(?<![.-])\d{3}(?P<sep>[.-])\d{3}(?P=sep)\d{4}(?![.-]\d)|(?<!\d[ .-])(?:00[1-9]\d{0,2}[ .-]\d{1,5}(?:[ .-]\d{2,8}){1,4}|0\d(?:[ .-]\d{2}){4}|0\d{2,4} \d{3,4} \d{3,4}|\d{3} \d{3} \d{4})(?![ .-]\d))(?!\d)",
+    "name": rf"\b(?:(?P<title>{'|'.join(CALLED)})\b\.?\s{{1,4}}(?P<name>{NAME})|(?P<small>{'|'.join(SMALL)})\b\.?\s{{1,4}}(?:(?P<named>{NAME})|(?!(?:{'|'.join(BETWEEN)})\b)(?P<low>{LETTERS}{{2,64}})))",
 }
 ENTITY = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS.items()))
 SECRET = re.compile(r"\b(?:api[_-]?key|secret|token|password|passwd|pwd)\b\s*[:=]\s*[\"']?(?P<secret>[A-Za-z0-9_+/=.-]{8,})", re.I)
 DIGIT = re.compile(r"\d")
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: What a text without digits and the signs of mail, keys and addresses must hold for anything to be found.
-TELLING = re.compile(rf"AKIA|gh[pousr]_|sk-|[a-fA-F]{{32}}|\b(?:{'|'.join(CALLED)})\b")
+TELLING = re.compile(rf"AKIA|gh[pousr]_|sk-|xox|eyJ|[a-fA-F]{{32}}|\b(?:{'|'.join([*CALLED, *SMALL])})\b")
+#: Words as names may be mentioned, their parts, and the ending of a possessive.
+MENTION = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+OF_MENTION = re.compile(r"[^\W_]+")
+OWN = re.compile(r"['’][sS]$")
 
 
 def luhn(digits: str) -> int:
@@ -74,6 +87,29 @@ def raised(value: str) -> str:
     return "".join(up if len(up := c.upper()) == 1 else c for c in value)
 
 
+def again(text: str, called: dict[str, str]) -> list[tuple[int, int, str, str]]:
+    """Where names are mentioned, as words or parts of words with hyphens or apostrophes: one look at each part, whatever the number of names."""
+    out: list[tuple[int, int, str, str]] = []
+    if not called:
+        return out
+    most = max(len(OF_MENTION.findall(w)) for w in called)
+    for m in MENTION.finditer(text):
+        if (kind := called.get(lowered(m[0]))) and m[0][0].isupper():
+            out.append((*m.span(), kind, m[0]))
+            continue
+        parts = [x.span() for x in OF_MENTION.finditer(text, *m.span())]
+        k = 0
+        while len(parts) > 1 and k < len(parts):
+            for j in range(min(len(parts), k + most), k, -1):
+                found = text[parts[k][0] : parts[j - 1][1]]
+                if found[0].isupper() and (kind := called.get(lowered(found))):
+                    out.append((parts[k][0], parts[j - 1][1], kind, found))
+                    k = j - 1
+                    break
+            k += 1
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """The entities of a text: start, end, kind and canonical form, in order and without overlap."""
     if "@" not in text and "=" not in text and ":" not in text and not DIGIT.search(text) and not TELLING.search(text):
@@ -87,18 +123,18 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if kind != "name":
             spans.append((*m.span(), kind, m[0]))
             continue
-        words = [(m.start("name") + w.start(), w[0]) for w in re.finditer(r"\S+", m["name"])]
-        words = words[: next((k for k, (_, w) in enumerate(words) if not w[0].isupper() and w[0].lower() != w[0].upper()), len(words))]
-        gender = TITLES[m["title"].lower()]
+        group = next(g for g in ("name", "named", "low") if m[g] is not None)
+        words = [(m.start(group) + w.start(), OWN.sub("", w[0])) for w in re.finditer(rf"{LETTERS}+(?:['’-]{LETTERS}+)*", m[group])]
+        if group != "low":
+            words = [(at, w) for at, w in words if w not in PARTICLES]
+            words = words[: next((k for k, (_, w) in enumerate(words) if not w[0].isupper() and w[0].lower() != w[0].upper()), len(words))]
+        words = [(at, w) for at, w in words if len(w) > 1]
+        gender = TITLES[(m["title"] or m["small"]).lower()]
         for k, (start, w) in enumerate(words):
             kind = "name-s" if k == len(words) - 1 else f"name-{gender}"
             kind = called.setdefault(lowered(w), kind)
             spans.append((start, start + len(w), kind, w))
-    again = [w for w in called if len(w) > 2]
-    if again:
-        for m in re.finditer(rf"(?<![^\W_])(?:{'|'.join(map(re.escape, sorted(again, key=len, reverse=True)))})(?![^\W_])", text, re.I):
-            if m[0][0].isupper() and lowered(m[0]) in called:
-                spans.append((*m.span(), called[lowered(m[0])], m[0]))
+    spans += again(text, {w: kind for w, kind in called.items() if len(w) > 2})
     last = 0
     for start, end, kind, value in sorted(spans, key=lambda x: (x[0], -x[1])):
         if start >= last and (form := canonical(kind, value)):
@@ -170,8 +206,9 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         body = reshaped(value[1:-1], key, f"{tweak}|{value[0]}|{valid}")
         check = luhn(value[0] + body)
         return value[0] + body + str(check if valid else (check + 1 + (int(value[-1]) - luhn(value[:-1]) - 1) % 10) % 10)
-    if kind == "phone" and len(value) > 7:  # the first digit stays, that of a country as a rule
-        return value[0] + reshaped(value[1:], key, f"{tweak}|{value[0]}")
+    if kind == "phone" and len(value) > 7:  # the first digit stays, that of a country as a rule, and so do zeros before it
+        first = max(1, len(value) - len(value.lstrip("0")))
+        return value[:first] + reshaped(value[first:], key, f"{tweak}|{value[:first]}")
     if kind == "iban":
         body = reshaped(value[4:], key, tweak)
         number = int("".join(str(int(c, 36)) for c in body + value[:2] + "00"))
@@ -200,6 +237,8 @@ def laid_out(kind: str, original: str, new: str) -> str:
     if letters and all(c.isupper() for c in letters) and (len(letters) > 1 or not kind.startswith("name")):
         return raised(new)
     if kind.startswith("name"):
+        if original[:1].islower():
+            return new
         return "".join(w[:1].upper() + w[1:] for w in re.split(r"(['’-])", new))
     if kind == "email" and any(c.isupper() for c in letters):
         return "".join(raised(n) if o.isupper() else n for o, n in zip(original, new, strict=True))
