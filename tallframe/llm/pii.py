@@ -54,7 +54,7 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)",
     "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|(?<![.-])\d{3}(?P<sep>[.-])\d{3}(?P=sep)\d{4}(?![.-]\d)|(?<!\d[ .-])(?:00[1-9]\d{0,2}[ .-]\d{1,5}(?:[ .-]\d{2,8}){1,4}|0\d(?:[ .-]\d{2}){4}|0\d{2,4} \d{3,4} \d{3,4}|\d{3} \d{3} \d{4})(?![ .-]\d))(?!\d)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|(?<![.-])\d{3}(?P<sep>[.-])\d{3}(?P=sep)\d{4}(?![.-]\d)|(?<!\d[ .-])(?:00[1-9]\d{0,2}[ .-]\d{1,5}(?:[ .-]\d{2,8}){1,4}|0\d(?:[ .-]\d{2}){4}|0\d{2,4} \d{3,4} \d{3,4}|[2-9]\d{2} \d{3} \d{4})(?![ .-]\d))(?!\d)",
     "name": rf"\b(?:(?P<title>{'|'.join(CALLED)})\b\.?\s{{1,4}}(?P<name>{NAME})|(?P<small>{'|'.join(SMALL)})\b\.?\s{{1,4}}(?:(?P<named>{NAME})|(?!(?:{'|'.join(BETWEEN)})\b)(?P<low>{LETTERS}{{2,64}})))",
 }
 ENTITY = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS.items()))
