@@ -13,9 +13,12 @@ FEW, HUB = 300_000, 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only on a single machine where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    named = named or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
