@@ -135,13 +135,13 @@ def stream_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wav_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as recordings in ranges and read back in ranges of another size, scaled to 16 bits."""
+    """Events written as recordings in ranges and read back in ranges of another size, in 512ths of 16 bits; values beyond 512 take more, so files have 32."""
     spark.dataSource.register(wav.WavSource)
     folder = f"{shared_folder(spark)}/wav_ranges-{uuid.uuid4()}"
-    scaled = samples(spark, sf_dir).select("stim", "n", (F.col("x") / 512).alias("x"))
-    wav.in_ranges(scaled, 50).write.format("wav").option("sr", 100).option("range", 50).mode("append").save(folder.removeprefix("file://"))
+    scaled = samples(spark, sf_dir).select("stim", "n", (F.col("x") / (512 << 16)).alias("x"))
+    wav.in_ranges(scaled, 50).write.format("wav").option("sr", 100).option("bits", 32).option("range", 50).mode("append").save(folder.removeprefix("file://"))
     back = spark.read.format("wav").option("range", 32).load(folder.removeprefix("file://"))
-    return back.select(F.col("stim").cast("bigint").alias("stim"), "n", (F.col("x") * 32768).cast("bigint").alias("level"))
+    return back.select(F.col("stim").cast("bigint").alias("stim"), "n", (F.col("x") * (1 << 31)).cast("bigint").alias("level"))
 
 
 TEXTURE = texture.Texture(4, lags=(1, 2), offsets=(1, 2), rates=(0.06, 0.12, 0.24), reach=5)

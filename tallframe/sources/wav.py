@@ -4,7 +4,8 @@
     samples = spark.read.format("wav").option("range", 1 << 20).load(folder)
     samples.write.format("wav").option("sr", 16000).mode("append").save(folder)
 
-A file is read in ranges of its bytes, a task each, so that its length bounds nothing. A recording is written as files
+A file is read in ranges of its bytes, a task each, so that its length bounds nothing; of many short files or ranges, a
+task reads several one after the other. A recording is written as files
 of a range each, ``stim.wav`` or ``stim/00000000.wav`` and so on; they take their place when all tasks have ended.
 """
 
@@ -14,6 +15,7 @@ import posixpath
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,8 @@ from pyspark.sql.types import StructType
 
 SCHEMA = "stim string, n bigint, x double"
 ROWS = 1 << 16
+#: Tasks of a read beyond which a task takes several ranges.
+TASKS = 1024
 
 
 @dataclass
@@ -79,7 +83,7 @@ def decoded(raw: bytes, h: Header, channels: str) -> np.ndarray:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     stim: str
     header: Header
@@ -88,30 +92,46 @@ class Range(InputPartition):
     last: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    each: list[Range]
+
+
 class WavReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.range, self.channels = options["path"], int(options.get("range", 1 << 20)), options.get("channels", "mean")
         if self.range < 1 or self.channels not in ("mean", "first"):
             raise ValueError("range must be positive, channels mean or first")
 
-    def partitions(self) -> list[Range]:
-        """Ranges of all files; only their headers are read here. Files in a folder of a stimulus follow each other by name."""
+    def partitions(self) -> list[Ranges]:
+        """Ranges of all files, as many to a task; only their headers are read here. Files in a folder of a stimulus follow each other by name."""
         store, root = system(self.path)
         found = store.get_file_info(fs.FileSelector(root, recursive=True)) if store.get_file_info(root).type == fs.FileType.Directory else [store.get_file_info(root)]
         files = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".wav") and not any(p[0] in "._" for p in f.path[len(root) :].strip("/").split("/") if p))
+
+        def header(path: str) -> Header:
+            with store.open_input_file(path) as f:
+                return read_header(f, path)
+
+        with ThreadPoolExecutor(16) as pool:
+            headers = dict(zip(files, pool.map(header, files), strict=True))
         out: list[Range] = []
         ends: dict[str, int] = {}
         for path in files:
             inner = posixpath.dirname(path[len(root) :].strip("/"))
             stim = posixpath.basename(inner) if inner else posixpath.basename(path)[:-4]
-            with store.open_input_file(path) as f:
-                h = read_header(f, path)
+            h = headers[path]
             offset = ends.get(stim, 0)
             out += [Range(path, stim, h, offset, a, min(a + self.range, h.frames)) for a in range(0, h.frames, self.range)]
             ends[stim] = offset + h.frames
-        return out
+        some = -(-len(out) // TASKS) or 1
+        return [Ranges(out[k : k + some]) for k in range(0, len(out), some)]
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        for each in part.each:
+            yield from self.samples(each)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def samples(self, part: Range) -> Iterator[pa.RecordBatch]:
         h, size = part.header, part.header.channels * part.header.width
         store, _ = system(self.path)
         with store.open_input_file(part.path) as f:
@@ -127,19 +147,22 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-def pcm(x: np.ndarray, sr: int, what: str) -> bytes:
-    """A mono file of 16 bits; a sample beyond -1 to 1, or none, raises an error rather than clip."""
+def pcm(x: np.ndarray, sr: int, what: str, bits: int = 16) -> bytes:
+    """A mono file of 16 or 32 bits; a sample beyond -1 to 1, or none, raises an error rather than clip."""
     if not (np.abs(x) <= 1).all():
         raise ValueError(f"{what} would clip")
-    body = np.clip(np.rint(x * 32768), -32768, 32767).astype("<i2").tobytes()
-    return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, sr, 2 * sr, 2, 16) + b"data" + struct.pack("<I", len(body)) + body
+    top, width = 1 << bits - 1, bits // 8
+    body = np.clip(np.rint(x * top), -top, top - 1).astype(f"<i{width}").tobytes()
+    return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, sr, width * sr, width, bits) + b"data" + struct.pack("<I", len(body)) + body
 
 
 class WavWriter(DataSourceArrowWriter):
     """Each task writes whole ranges of samples under names that readers pass over; they are renamed when all tasks have ended."""
 
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
-        self.path, self.sr, self.range, self.overwrite = options["path"], int(options["sr"]), int(options.get("range", 1 << 20)), overwrite
+        self.path, self.sr, self.range, self.bits, self.overwrite = options["path"], int(options["sr"]), int(options.get("range", 1 << 20)), int(options.get("bits", 16)), overwrite
+        if self.bits not in (16, 32):
+            raise ValueError("bits must be 16 or 32")
         self.run = f"_{uuid.uuid4()}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
@@ -154,7 +177,7 @@ class WavWriter(DataSourceArrowWriter):
             new, final = f"{root}/{self.run}/{uuid.uuid4()}.wav", f"{root}/{held[0]}/{held[1]:010d}.wav"
             store.create_dir(posixpath.dirname(new))
             with store.open_output_stream(new) as f:
-                f.write(pcm(np.asarray(xs, np.float64), self.sr, held[0]))
+                f.write(pcm(np.asarray(xs, np.float64), self.sr, held[0], self.bits))
             done.append((new, final))
 
         for batch in batches:
@@ -190,7 +213,7 @@ class WavWriter(DataSourceArrowWriter):
 
 
 class WavSource(DataSource):
-    """Options: ``path``, ``range`` (samples of a task or of a written file), ``channels`` (mean or first), ``sr`` to write."""
+    """Options: ``path``, ``range`` (samples of a task or of a written file), ``channels`` (mean or first); ``sr`` and ``bits`` (16 or 32) to write."""
 
     @classmethod
     def name(cls) -> str:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallframe.operators import banks, cochlea, features, grid, kernels, order, pca, repeats, resample, selection, stats, transform
+from tallframe.plans import signals
 from tallframe.sources import files, wav
 from tallframe.streaming import statistics
 
@@ -297,3 +298,19 @@ def test_kinds_of_files(spark, tmp_path, width, channels):
     (tmp_path / "y.wav").write_bytes(b"RIFFxxxxJUNK")
     with pytest.raises(Exception, match="no WAV file"):
         spark.read.format("wav").load(str(tmp_path)).collect()
+
+
+def test_recordings_of_32_bits_and_of_many_files(spark, tmp_path, monkeypatch):
+    """Values beyond 512 don't clip the query's files, and many short files are few tasks."""
+    events = spark.createDataFrame([(k, k % 3, float(v)) for k, v in enumerate([560.21, 0.0, 512.0, -700.5, 29.27, 3e7])], "event_id bigint, user_id bigint, value double")
+    events = events.withColumn("ts", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, event_id)")).withColumn("event_type", F.lit("view"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.stim, r.n): r.level for r in signals.wav_ranges(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): 35853, (1, 0): 0, (2, 0): 32768, (0, 1): -44832, (1, 1): 1873, (2, 1): 1920000000}
+    monkeypatch.setattr(wav, "TASKS", 3)
+    path = str(tmp_path / "out")
+    x = spark.range(1000).select(F.lpad((F.col("id") % 50).cast("string"), 2, "0").alias("stim"), F.floor(F.col("id") / 50).alias("n"), (F.col("id") / 1024).alias("x"))
+    wav.in_ranges(x, 8).write.format("wav").option("sr", 100).option("bits", 32).option("range", 8).mode("append").save(path)
+    parts = wav.WavReader({"path": path, "range": "5"}).partitions()
+    assert len(parts) == 3 and sum(r.last - r.first for p in parts for r in p.each) == 1000
+    assert spark.read.format("wav").option("range", 5).load(path).exceptAll(x.select("stim", "n", "x")).count() == 0
