@@ -49,11 +49,11 @@ def nearest(queries: DataFrame, targets: DataFrame, x: str, y: str, number: str,
     target = F.when(F.col("_t").isNotNull(), F.struct("_v", F.col(f"_t.{number}").alias("i"), F.col(f"_t.{y}").alias("y")))
     both = both.withColumn("_t", target)
     ends = both.groupBy("_bucket").agg(F.min_by("_t", F.when(F.col("_t").isNotNull(), F.col("_v"))).alias("_first"), F.max_by("_t", F.when(F.col("_t").isNotNull(), F.col("_v"))).alias("_last"))
-    up, down = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-    ends = ends.select("_bucket", F.last("_last", ignorenulls=True).over(up).alias("_low"), F.first("_first", ignorenulls=True).over(down).alias("_high"))  # a row a bucket
-    inside = Window.partitionBy("_bucket").orderBy("_v")
-    before = F.coalesce(F.last("_t", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_low"))
-    behind = F.coalesce(F.first("_t", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("_high"))
+    up, down = (Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1) for b in (F.asc("_bucket"), F.desc("_bucket")))
+    ends = ends.select("_bucket", F.last("_last", ignorenulls=True).over(up).alias("_low"), F.last("_first", ignorenulls=True).over(down).alias("_high"))  # a row a bucket
+    # both frames end at the row and grow by it; one that begins there is counted anew for each row
+    so_far = [Window.partitionBy("_bucket").orderBy(v).rowsBetween(Window.unboundedPreceding, 0) for v in (F.asc("_v"), F.desc("_v"))]
+    before, behind = (F.coalesce(F.last("_t", ignorenulls=True).over(w), F.col(end)) for w, end in zip(so_far, ("_low", "_high"), strict=True))
     sided = both.join(ends, "_bucket").select("_v", "_q", before.alias("_a"), behind.alias("_b")).where("_q")
     near = F.array_min(F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._v") - F.col("_v")).alias("d"), F.col(f"{c}.i").alias("i"), F.col(f"{c}.y").alias("y"))) for c in ("_a", "_b")]), lambda t: t.isNotNull()))
     answers = sided.select("_v", near.alias("_near"))

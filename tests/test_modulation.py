@@ -101,3 +101,12 @@ def test_combined_sets_keep_their_nulls(spark):
     a = spark.createDataFrame([("s", 0, None, "n"), ("s", 1, 2.0, None)], "stim string, frame int, a double, name string")
     b = spark.createDataFrame([("s", 1, 7), ("s", 2, 8)], "stim string, frame int, b int")
     assert {(r.frame, r.a, r.name, r.b) for r in annotate.combined(a, b).collect()} == {(0, None, "n", 0), (1, 2.0, None, 7), (2, 0.0, None, 8)}
+
+
+def test_nearest_counts_no_row_twice(spark):
+    """No window begins at its row: Spark adds such a frame up anew for each row, which is quadratic in a bucket."""
+    own = spark.range(500).select(F.col("id").alias("i"), (F.col("id") * 7 % 500).cast("double").alias("y"))
+    found = joins.nearest(own.select((F.col("y") + 0.4).alias("x")), own, "x", "y", "i")
+    plan = found._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    assert all(abs(r.nearest + 0.4 - r.x) < 1e-9 for r in found.collect())
