@@ -102,12 +102,13 @@ def embedded(intervals: DataFrame, vectors: DataFrame, rate: float, *, contracti
     words' vectors; words without one count for nothing.
     """
     label = expanded(F.col("label")) if contractions else F.col("label")
-    counted = intervals.groupBy("stim", "label", "onset", "offset").agg(F.count("*").alias("many"))
-    words = counted.select("stim", "label", "onset", "offset", "many", F.explode(F.split(label, "[ -]+")).alias("word"))
-    found = words.join(vectors.select(F.col("label").alias("word"), "v"), "word").select("stim", "onset", "offset", "label", "many", F.posexplode("v").alias("k", "x"))
-    means = found.groupBy("stim", "label", "onset", "offset", "many", "k").agg(F.avg("x").alias("x"))
-    sized = means.groupBy("stim", "label", "onset", "offset", "many").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v"))
+    words = intervals.select("label").distinct().select("label", F.explode(F.split(label, "[ -]+")).alias("word"))
+    found = words.join(vectors.select(F.col("label").alias("word"), "v"), "word").select("label", F.posexplode("v").alias("k", "x"))
+    means = found.groupBy("label", "k").agg(F.avg("x").alias("x")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v"))
     start = F.bround(F.col("onset") * rate).cast("bigint")
     end = F.greatest(start, F.bround(F.col("offset") * rate).cast("bigint") - 1)
-    flat = sized.select("stim", F.explode(F.sequence(start, end)).alias("frame"), "many", "v").select("stim", "frame", "many", F.inline("v"))
-    return flat.groupBy("stim", "frame", "k").agg((F.sum(F.col("many") * F.col("x")) / F.sum("many")).alias("x"))
+    # frames are dealt out once, by themselves: labels are counted, vectors met and added up where they are
+    flat = intervals.select("stim", F.explode(F.sequence(start, end)).alias("frame"), "label").repartition("stim", "frame")
+    counted = flat.groupBy("stim", "frame", "label").agg(F.count("*").alias("many"))
+    met = counted.join(means, "label").select("stim", "frame", "many", F.inline("v"))
+    return met.groupBy("stim", "frame", "k").agg((F.sum(F.col("many") * F.col("x")) / F.sum("many")).alias("x"))

@@ -105,8 +105,17 @@ def test_combined_sets_keep_their_nulls(spark):
 
 def test_nearest_counts_no_row_twice(spark):
     """No window begins at its row: Spark adds such a frame up anew for each row, which is quadratic in a bucket."""
-    own = spark.range(500).select(F.col("id").alias("i"), (F.col("id") * 7 % 500).cast("double").alias("y"))
-    found = joins.nearest(own.select((F.col("y") + 0.4).alias("x")), own, "x", "y", "i")
+    own = spark.range(500).selectExpr("id as i", "cast(id * 7 % 500 as double) as y")
+    found = joins.nearest(own.selectExpr("y + 0.4 as x"), own, "x", "y", "i")
     plan = found._jdf.queryExecution().toString().lower()
     assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
     assert all(abs(r.nearest + 0.4 - r.x) < 1e-9 for r in found.collect())
+
+
+def test_embedded_deals_frames_out_once(spark):
+    """Vectors' elements are added up where their frames lie: none is shuffled by its number."""
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 5.0])], "label string, v array<double>")
+    events = spark.createDataFrame([("s", "a b", 0.0, 0.2), ("s", "a", 0.1, 0.2), ("s", "a", 0.1, 0.2), ("s", "c", 0.1, 0.2), ("s", None, 0.0, 0.1)], "stim string, label string, onset double, offset double")
+    found = joins.embedded(events, vectors, 10)
+    assert {(r.frame, r.k): round(r.x, 9) for r in found.collect()} == {(0, 0): 2.0, (0, 1): 3.5, (1, 0): round(4 / 3, 9), (1, 1): 2.5}
+    assert "hashpartitioning(stim" in (plan := found._jdf.queryExecution().toString()) and not [x for x in plan.splitlines() if "Exchange hashpartitioning(stim" in x and ", k#" in x]
