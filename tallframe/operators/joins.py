@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tallframe.functions.columns import expanded
 
 
+#: Elements of labels' vectors up to which they are broadcast.
+CELLS = 1 << 21
+
+
 def exactly_one(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Joins each row with its one row on the right; a key with none or several raises an error."""
     counted = right.groupBy(on).agg(F.count("*").alias("_n"), F.first(F.struct(*[c for c in right.columns if c != on])).alias("_r"))
@@ -105,6 +109,8 @@ def embedded(intervals: DataFrame, vectors: DataFrame, rate: float, *, contracti
     words = intervals.select("label").distinct().select("label", F.explode(F.split(label, "[ -]+")).alias("word"))
     found = words.join(vectors.select(F.col("label").alias("word"), "v"), "word").select("label", F.posexplode("v").alias("k", "x"))
     means = found.groupBy("label", "k").agg(F.avg("x").alias("x")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v"))
+    if (means.agg(F.sum(F.size("v"))).first()[0] or 0) <= CELLS:
+        means = F.broadcast(means)
     start = F.bround(F.col("onset") * rate).cast("bigint")
     end = F.greatest(start, F.bround(F.col("offset") * rate).cast("bigint") - 1)
     # frames are dealt out once, by themselves: labels are counted, vectors met and added up where they are
