@@ -8,6 +8,9 @@ this order: what comes out by row is multiplied there and goes back by column, t
 
 Transforms of any number of points, analytic signals and circular correlations are convolutions with kernels whose
 values have a closed form (or are the signal's own), padded to a power of two, so that they are exact at every length.
+
+Where the caller knows that no signal is longer than ``longest`` and a transform of that many points is one block both ways,
+a signal is a row of bounded length, and a convolution is one shuffle that carries its samples alone.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from tallframe.operators.grid import lengths
 #: A kernel's value at offsets -(m - 1) to m - 1, given the offsets and m as arrays.
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Columns or rows of a transform that a task holds together, and complex values that it transforms at a time.
-LINES, CELLS = 64, 1 << 20
+LINES, CELLS = 64, 1 << 18
 
 
 def chirp(j: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -50,12 +53,23 @@ def padded_size(m: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ceil(F.log2((2 * m - 1).cast("double")) - F.lit(1e-12)).cast("int"))
 
 
-def convolved(rows: DataFrame, keys: list[str], kernel: Kernel | None = None) -> DataFrame:
+def longest(samples: DataFrame) -> int:
+    """The samples of the longest signal; reads all of them."""
+    return (samples.agg(F.max("n")).first()[0] or 0) + 1
+
+
+def one_block(longest_: int | None) -> bool:
+    """Whether transforms for signals of up to so many samples are a block of columns and a block of rows."""
+    return longest_ is not None and 2 * longest_ - 1 <= LINES * LINES
+
+
+def convolved(rows: DataFrame, keys: list[str], kernel: Kernel | None = None, longest: int | None = None) -> DataFrame:
     """``*keys, m, n, re, im``: each signal convolved with a kernel, at n from 0 to m - 1.
 
     ``rows`` has the keys, ``m`` (the signal's length, the same in all its rows), ``n`` (0 to m - 1), ``re`` and ``im``; a sample without
     a row is zero, but one whose ``n`` squared is below 4 m must have a row. Without a ``kernel``, rows have ``other`` too, the other
     signal's real value, at n from 0 to the size of the transform (``padded_size``) less one; offsets below zero count from its end.
+    No m may be beyond ``longest``.
     """
     values = ("re", "im") if kernel else ("re", "im", "other")
     keyed = rows.select(*keys, F.col("m").cast("bigint").alias("m"), padded_size(F.col("m")).alias("size"), F.col("n").cast("bigint").alias("n"), *[F.col(c).cast("double").alias(c) for c in values])
@@ -63,6 +77,9 @@ def convolved(rows: DataFrame, keys: list[str], kernel: Kernel | None = None) ->
     own = [T.StructField(k, rows.schema[k].dataType) for k in keys] + [T.StructField("m", T.LongType()), T.StructField("size", T.LongType())]
     packed = T.StructType([*own, T.StructField("block", T.LongType()), T.StructField("at", T.LongType()), T.StructField("part", T.BinaryType())])
     tall = T.StructType([*own, T.StructField("n", T.LongType()), T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
+    if one_block(longest):
+        wholes = keyed.groupBy(*keys, "m", "size").agg(F.collect_list(F.struct("n", *values)).alias("v"))
+        return wholes.mapInArrow(lambda b: blocks(b, keys, tall, Whole(kernel)), tall).select(*keys, "m", "n", "re", "im")
 
     def met(parts: DataFrame) -> DataFrame:
         return parts.groupBy(*keys, "m", "size", "block").agg(F.collect_list(F.struct("at", "part")).alias("v"))
@@ -104,6 +121,35 @@ def assembled(v: pa.ListArray, lines: int, long: int, signals_: int) -> np.ndarr
     return out
 
 
+class Whole:
+    """Whole signals of at most a block both ways: convolved in one step."""
+
+    def __init__(self, kernel: Kernel | None) -> None:
+        self.kernel = kernel
+
+    def __call__(self, part: pa.RecordBatch, size: int) -> tuple[np.ndarray, list]:
+        n, m, lists = part.num_rows, part.column("m").to_numpy(), part.column("v")
+        flat = lists.flatten()
+        if size > LINES * LINES:
+            raise ValueError(f"a signal of {m.max()} samples is longer than was stated")
+        spot = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())) * size + flat.field("n").to_numpy()
+
+        def line(c: str) -> np.ndarray:
+            return np.bincount(spot, flat.field(c).to_numpy(), n * size).reshape(n, size)
+
+        if self.kernel is None:
+            other = np.fft.fft(line("other"), axis=1)
+        else:
+            lengths_, which = np.unique(m, return_inverse=True)  # a kernel for each length
+            offset = np.arange(size) - np.where(np.arange(size) < lengths_[:, None], 0, size)
+            other = np.where(np.abs(offset) < lengths_[:, None], self.kernel(offset, lengths_[:, None]), 0.0)
+            other = np.fft.fft(other, axis=1)[which]
+        found = np.fft.ifft(np.fft.fft(line("re") + 1j * line("im"), axis=1) * other, axis=1)
+        row, place = np.nonzero(np.arange(size) < m[:, None])
+        kept = found[row, place]
+        return row, [pa.array(place), pa.array(kept.real), pa.array(kept.imag)]
+
+
 class Columns:
     """Blocks of columns of both signals: transformed, turned and sent to rows."""
 
@@ -162,7 +208,7 @@ def packed_parts(sent: np.ndarray) -> tuple[np.ndarray, list]:
     return np.repeat(np.arange(n), many), [pa.array(np.tile(np.arange(many), n)), None, pa.array(parts, pa.binary())]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], keys: list[str], schema: T.StructType, step: Columns | Rows | Back) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], keys: list[str], schema: T.StructType, step: Whole | Columns | Rows | Back) -> Iterator[pa.RecordBatch]:
     """Applies a step to blocks of lines of one size at a time, few enough to bound memory."""
     out_schema = to_arrow_schema(schema)
     for batch in batches:
@@ -195,38 +241,38 @@ def signals(samples: DataFrame) -> DataFrame:
     return own.join(lengths(samples).withColumnRenamed("length", "m"), "stim")
 
 
-def fourier(rows: DataFrame, keys: list[str] = ["stim"]) -> DataFrame:  # noqa: B006
+def fourier(rows: DataFrame, keys: list[str] = ["stim"], longest: int | None = None) -> DataFrame:  # noqa: B006
     """``*keys, m, n, re, im``: the discrete transform of ``*keys, m, n, re, im``; n is then the number of the bin."""
-    return turned(convolved(turned(rows, -1), keys, chirp), -1)
+    return turned(convolved(turned(rows, -1), keys, chirp, longest), -1)
 
 
-def inverse_fourier(rows: DataFrame, keys: list[str] = ["stim"]) -> DataFrame:  # noqa: B006
+def inverse_fourier(rows: DataFrame, keys: list[str] = ["stim"], longest: int | None = None) -> DataFrame:  # noqa: B006
     """The inverse of ``fourier``: the conjugate transform of the conjugate, over m."""
-    back = turned(convolved(turned(rows.withColumn("im", -F.col("im")), -1), keys, chirp), -1)
+    back = turned(convolved(turned(rows.withColumn("im", -F.col("im")), -1), keys, chirp, longest), -1)
     return back.withColumns({"re": F.col("re") / F.col("m"), "im": -F.col("im") / F.col("m")})
 
 
-def magnitudes(samples: DataFrame) -> DataFrame:
+def magnitudes(samples: DataFrame, longest: int | None = None) -> DataFrame:
     """``stim, bin, magnitude`` of the discrete transform of ``stim, n, x``."""
-    return fourier(signals(samples)).select("stim", F.col("n").alias("bin"), F.hypot("re", "im").alias("magnitude"))
+    return fourier(signals(samples), longest=longest).select("stim", F.col("n").alias("bin"), F.hypot("re", "im").alias("magnitude"))
 
 
-def analytic(samples: DataFrame) -> DataFrame:
+def analytic(samples: DataFrame, longest: int | None = None) -> DataFrame:
     """``stim, n, re, im``: the analytic signal; its magnitude is the envelope."""
-    return convolved(signals(samples), ["stim"], hilbert).select("stim", "n", "re", "im")
+    return convolved(signals(samples), ["stim"], hilbert, longest).select("stim", "n", "re", "im")
 
 
-def circular_autocorrelation(samples: DataFrame) -> DataFrame:
+def circular_autocorrelation(samples: DataFrame, longest: int | None = None) -> DataFrame:
     """``stim, lag, ac`` for lags from 0: the mean product of a stimulus and itself turned by the lag."""
     n, m, x = F.col("n"), F.col("m"), F.col("re")
     back = F.pmod(m - n, m)
     zero = F.lit(0.0)
     spots = F.array(F.struct(n.alias("n"), x.alias("re"), zero.alias("other")), F.struct(back.alias("n"), zero.alias("re"), x.alias("other")), F.struct((padded_size(m) + back - m).alias("n"), zero.alias("re"), F.when(back > 0, x).otherwise(zero).alias("other")))
     rows = signals(samples).select("stim", "m", F.explode(spots).alias("s")).select("stim", "m", "s.n", "s.re", F.lit(0.0).alias("im"), "s.other")
-    return convolved(rows, ["stim"]).select("stim", F.col("n").alias("lag"), (F.col("re") / F.col("m")).alias("ac"))
+    return convolved(rows, ["stim"], longest=longest).select("stim", F.col("n").alias("lag"), (F.col("re") / F.col("m")).alias("ac"))
 
 
-def subbands(samples: DataFrame, bank: Bank, sr: float, *, complex_: bool = False) -> DataFrame:
+def subbands(samples: DataFrame, bank: Bank, sr: float, *, complex_: bool = False, longest: int | None = None) -> DataFrame:
     """``stim, channel, n, re, im``: each filter's output over whole stimuli; ``complex_`` gives analytic signals, whose magnitudes are envelopes.
 
     A filter multiplies the bins of the transform, so that it is as sharp at every length; only bins that it passes go on.
@@ -235,29 +281,29 @@ def subbands(samples: DataFrame, bank: Bank, sr: float, *, complex_: bool = Fals
     below = F.least(n, m - n)  # a bin above the middle is the conjugate of its mirror image
     freq = below.cast("double") * F.lit(float(sr)) / m
     channels = F.array(*[h.alias("h") for h in lobe_columns(bank, freq)])
-    rows = fourier(signals(samples)).select("stim", "m", "n", "re", "im", F.posexplode(channels).alias("channel", "h"))
+    rows = fourier(signals(samples), longest=longest).select("stim", "m", "n", "re", "im", F.posexplode(channels).alias("channel", "h"))
     if complex_:
         rows = rows.withColumn("h", F.col("h") * F.when((n == 0) | (2 * n == m), 1.0).when(2 * n < m, 2.0).otherwise(0.0))
     rows = rows.where((F.col("h") != 0) | (n * n < 4 * m)).select("stim", "channel", "m", "n", (F.col("re") * F.col("h")).alias("re"), (F.col("im") * F.col("h")).alias("im"))
-    return inverse_fourier(rows, ["stim", "channel"]).select("stim", "channel", "n", "re", "im")
+    return inverse_fourier(rows, ["stim", "channel"], longest).select("stim", "channel", "n", "re", "im")
 
 
-def collapsed(bands: DataFrame, bank: Bank, sr: float) -> DataFrame:
+def collapsed(bands: DataFrame, bank: Bank, sr: float, longest: int | None = None) -> DataFrame:
     """``stim, n, x`` from ``stim, channel, n, x``: the bands, each filtered again, added up in the transform."""
     rows = bands.select("stim", "channel", F.col("n").cast("bigint").alias("n"), F.col("x").cast("double").alias("re"), F.lit(0.0).alias("im"))
     rows = rows.join(lengths(bands).withColumnRenamed("length", "m"), "stim")
     n, m = F.col("n"), F.col("m")
     channels = F.array(*lobe_columns(bank, F.least(n, m - n).cast("double") * F.lit(float(sr)) / m))
-    own = fourier(rows, ["stim", "channel"]).withColumn("h", F.get(channels, F.col("channel")))
+    own = fourier(rows, ["stim", "channel"], longest).withColumn("h", F.get(channels, F.col("channel")))
     sums = own.groupBy("stim", "m", "n").agg(F.sum(F.col("re") * F.col("h")).alias("re"), F.sum(F.col("im") * F.col("h")).alias("im"))
-    return inverse_fourier(sums).select("stim", "n", F.col("re").alias("x"))
+    return inverse_fourier(sums, longest=longest).select("stim", "n", F.col("re").alias("x"))
 
 
-def matched_noise(samples: DataFrame, seed: int = 0) -> DataFrame:
+def matched_noise(samples: DataFrame, seed: int = 0, longest: int | None = None) -> DataFrame:
     """``stim, n, x``: noise of each signal's own magnitudes; the phase of a bin comes of its stimulus, its number and ``seed``. The mean and the middle bin keep theirs."""
     n, m = F.col("n"), F.col("m")
     mirror = F.least(n, m - n)
     angle = F.pmod(F.xxhash64("stim", mirror, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53)) * (2 * math.pi)
     angle = F.when((n == 0) | (2 * n == m), 0.0).when(2 * n < m, angle).otherwise(-angle)
     re, im = F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle), F.col("re") * F.sin(angle) + F.col("im") * F.cos(angle)
-    return inverse_fourier(fourier(signals(samples)).withColumns({"re": re, "im": im})).select("stim", "n", F.col("re").alias("x"))
+    return inverse_fourier(fourier(signals(samples), longest=longest).withColumns({"re": re, "im": im}), longest=longest).select("stim", "n", F.col("re").alias("x"))

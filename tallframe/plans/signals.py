@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallframe.operators import banks, cochlea, grid, modulation, pca, prepare, repeats, resample, selection, texture, transform
 from tallframe.operators.kernels import spectral_filter
 from tallframe.plans.common import SAMPLES, Query, rounded, values
-from tallframe.session import checkpointed, shared_folder
+from tallframe.session import checkpointed, shared_folder, stored
 from tallframe.sources import wav
 from tallframe.sources.tables import micros, samples, signals, table
 from tallframe.streaming.statistics import covariance_so_far, keep_sums
@@ -22,58 +22,75 @@ RATES, WAVELET_SR = [0.0, 2.0, 4.0, 8.0, 16.0, 32.0], 100.0
 LAGS = 8
 
 
+def measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """``samples``, and how many the longest stimulus has, counted without numbering them."""
+    counts = signals(spark, sf_dir).groupBy("stim").agg(F.count("*").alias("m"))
+    return samples(spark, sf_dir), counts.agg(F.max("m")).first()[0] or 0
+
+
 def dft_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transform.magnitudes(samples(spark, sf_dir)).select("stim", "bin", rounded("magnitude", 4).alias("magnitude"))
+    own, longest = measured(spark, sf_dir)
+    return transform.magnitudes(own, longest).select("stim", "bin", rounded("magnitude", 4).alias("magnitude"))
 
 
 def circular_autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transform.circular_autocorrelation(samples(spark, sf_dir)).select("stim", "lag", rounded("ac", 4).alias("ac"))
+    own, longest = measured(spark, sf_dir)
+    return transform.circular_autocorrelation(own, longest).select("stim", "lag", rounded("ac", 4).alias("ac"))
 
 
 def hilbert_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transform.analytic(samples(spark, sf_dir)).select("stim", "n", rounded(F.hypot("re", "im"), 4).alias("x"))
+    own, longest = measured(spark, sf_dir)
+    return transform.analytic(own, longest).select("stim", "n", rounded(F.hypot("re", "im"), 4).alias("x"))
 
 
 def noise_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The magnitudes of spectrally matched noise, which are those of the stimulus."""
-    return transform.magnitudes(transform.matched_noise(samples(spark, sf_dir))).select("stim", "bin", rounded("magnitude", 4).alias("magnitude"))
+    own, longest = measured(spark, sf_dir)
+    return transform.magnitudes(transform.matched_noise(own, longest=longest), longest).select("stim", "bin", rounded("magnitude", 4).alias("magnitude"))
 
 
 def subband_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transform.subbands(samples(spark, sf_dir), BANK, SR).select("stim", "channel", "n", rounded("re", 4).alias("x"))
+    own, longest = measured(spark, sf_dir)
+    return transform.subbands(own, BANK, SR, longest=longest).select("stim", "channel", "n", rounded("re", 4).alias("x"))
 
 
 def band_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis and synthesis of whole stimuli: the samples again."""
-    bands = transform.subbands(samples(spark, sf_dir), BANK, SR).select("stim", "channel", "n", F.col("re").alias("x"))
-    return transform.collapsed(bands, BANK, SR).select("stim", "n", rounded("x", 4).alias("x"))
+    own, longest = measured(spark, sf_dir)
+    bands = transform.subbands(own, BANK, SR, longest=longest).select("stim", "channel", "n", F.col("re").alias("x"))
+    return transform.collapsed(bands, BANK, SR, longest).select("stim", "n", rounded("x", 4).alias("x"))
 
 
 def cochleagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    env = cochlea.envelopes(samples(spark, sf_dir), BANK, SR, power=POWER)
-    return cochlea.cochleagram(env, BANK, 1, 4, spacing=SPACING).select("stim", "frame", "k", rounded("x", 5).alias("x"))
+    own, longest = measured(spark, sf_dir)
+    env = cochlea.envelopes(own, BANK, SR, power=POWER, longest=longest)
+    return cochlea.cochleagram(env, BANK, 1, 4, spacing=SPACING, longest=longest).select("stim", "frame", "k", rounded("x", 5).alias("x"))
 
 
 def coch_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cochleagram turned back into sound with the phases and errors kept beside it."""
-    env = checkpointed(cochlea.envelopes(samples(spark, sf_dir), BANK, SR, power=POWER))
-    coch = checkpointed(cochlea.cochleagram(env, BANK, 1, 4, spacing=SPACING))
-    rest = cochlea.with_rest(env, coch, BANK, 1, 4, spacing=SPACING)
-    back = cochlea.waveform(coch, rest, BANK, SR, 1, 4, power=POWER, spacing=SPACING)
+    own, longest = measured(spark, sf_dir)
+    env = stored(cochlea.envelopes(own, BANK, SR, power=POWER, longest=longest))
+    coch = stored(cochlea.cochleagram(env, BANK, 1, 4, spacing=SPACING, longest=longest))
+    rest = cochlea.with_rest(env, coch, BANK, 1, 4, spacing=SPACING, longest=longest)
+    back = cochlea.waveform(coch, rest, BANK, SR, 1, 4, power=POWER, spacing=SPACING, longest=longest)
     return back.select("stim", "n", rounded("x", 4).alias("x"))
 
 
 def wavelet_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cochlea.wavelets(samples(spark, sf_dir), RATES, WAVELET_SR).select("stim", "filter", "n", rounded("x", 4).alias("x"))
+    own, longest = measured(spark, sf_dir)
+    return cochlea.wavelets(own, RATES, WAVELET_SR, longest).select("stim", "filter", "n", rounded("x", 4).alias("x"))
 
 
 def wavelet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = cochlea.wavelets(samples(spark, sf_dir), RATES, WAVELET_SR)
-    return cochlea.from_wavelets(bands, RATES, WAVELET_SR).select("stim", "n", rounded("x", 4).alias("x"))
+    own, longest = measured(spark, sf_dir)
+    bands = cochlea.wavelets(own, RATES, WAVELET_SR, longest)
+    return cochlea.from_wavelets(bands, RATES, WAVELET_SR, longest=longest).select("stim", "n", rounded("x", 4).alias("x"))
 
 
 def resample_rational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.resampled(samples(spark, sf_dir), 3, 2).select("stim", "n", rounded("x", 5).alias("x"))
+    own, longest = measured(spark, sf_dir)
+    return resample.resampled(own, 3, 2, longest=longest).select("stim", "n", rounded("x", 5).alias("x"))
 
 
 def resample_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +109,7 @@ def pchip_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pchip_log_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as spectra of 64 even frequencies, brought to a quarter of an octave."""
     cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("feature", "x")).withColumn("octave", F.log2(F.col("feature") + 1.0))
-    out = resample.pchip(cells, ["vec_id"], "octave", "x", step=SPACING, bucket=F.lit(0))
+    out = resample.pchip(cells, ["vec_id"], "octave", "x", step=SPACING, bucket=None)
     return out.select("vec_id", "k", rounded("x", 5).alias("x"))
 
 

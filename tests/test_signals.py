@@ -314,3 +314,27 @@ def test_recordings_of_32_bits_and_of_many_files(spark, tmp_path, monkeypatch):
     parts = wav.WavReader({"path": path, "range": "5"}).partitions()
     assert len(parts) == 3 and sum(r.last - r.first for p in parts for r in p.each) == 1000
     assert spark.read.format("wav").option("range", 5).load(path).exceptAll(x.select("stim", "n", "x")).count() == 0
+
+
+def test_short_signals_are_shuffled_once(spark, tall, waves):
+    """Where the longest signal is known to be short, a convolution or a change of rate is one shuffle of samples, with the same values."""
+    some = tall.where("stim < 11")
+
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    rows = transform.signals(some).withColumn("other", F.lit(0.0))
+    assert shuffles(transform.convolved(rows, ["stim"], transform.chirp, 200)) == shuffles(transform.convolved(rows, ["stim"], transform.chirp)) - 2
+    mags, env, ac = arrays(transform.magnitudes(some, 200), "magnitude", "bin"), arrays(transform.analytic(some, 200), "hypot(re, im)"), arrays(transform.circular_autocorrelation(some, 200), "ac", "lag")
+    for k in range(11):
+        assert np.allclose(mags[k], np.abs(np.fft.fft(waves[k])), atol=1e-9) and np.allclose(env[k], np.abs(kernels.analytic(waves[k])), atol=1e-9)
+        assert np.allclose(ac[k], np.fft.ifft(np.abs(np.fft.fft(waves[k])) ** 2).real / len(waves[k]), atol=1e-9)
+    for up, down in ((3, 2), (1, 4), (4, 1)):
+        short = resample.resampled(some, up, down, longest=200)
+        got = arrays(short, "x")
+        assert shuffles(short) == 1
+        for k in range(11):
+            want = kernels.resampled(waves[k], up, down)[: int(np.floor(len(waves[k]) * up / down + 0.5))]
+            assert len(got.get(k, [])) == len(want) and (not len(want) or np.allclose(got[k], want, atol=1e-9))
+    with pytest.raises(Exception, match="longer than was stated"):
+        transform.magnitudes(tall, 200).collect()
