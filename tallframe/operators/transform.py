@@ -63,15 +63,17 @@ def one_block(longest_: int | None) -> bool:
     return longest_ is not None and 2 * longest_ - 1 <= LINES * LINES
 
 
-def convolved(rows: DataFrame, keys: list[str], kernel: Kernel | None = None, longest: int | None = None) -> DataFrame:
+def convolved(rows: DataFrame, keys: list[str], kernel: Kernel | None = None, longest: int | None = None, *, mirrored: bool = False) -> DataFrame:
     """``*keys, m, n, re, im``: each signal convolved with a kernel, at n from 0 to m - 1.
 
     ``rows`` has the keys, ``m`` (the signal's length, the same in all its rows), ``n`` (0 to m - 1), ``re`` and ``im``; a sample without
     a row is zero, but one whose ``n`` squared is below 4 m must have a row. Without a ``kernel``, rows have ``other`` too, the other
     signal's real value, at n from 0 to the size of the transform (``padded_size``) less one; offsets below zero count from its end.
-    No m may be beyond ``longest``.
+    No m may be beyond ``longest``. With ``mirrored``, for whole signals alone, rows are real and have ``re`` only, and the other signal is the signal itself backwards, which wraps round.
     """
-    values = ("re", "im") if kernel else ("re", "im", "other")
+    if mirrored and not one_block(longest):
+        raise ValueError("only whole signals are mirrored")
+    values = ("re",) if mirrored else ("re", "im") if kernel else ("re", "im", "other")
     keyed = rows.select(*keys, F.col("m").cast("bigint").alias("m"), padded_size(F.col("m")).alias("size"), F.col("n").cast("bigint").alias("n"), *[F.col(c).cast("double").alias(c) for c in values])
     across = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.floor(F.round(F.log2("size")) / 2).cast("int"))
     own = [T.StructField(k, rows.schema[k].dataType) for k in keys] + [T.StructField("m", T.LongType()), T.StructField("size", T.LongType())]
@@ -79,7 +81,7 @@ def convolved(rows: DataFrame, keys: list[str], kernel: Kernel | None = None, lo
     tall = T.StructType([*own, T.StructField("n", T.LongType()), T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
     if one_block(longest):
         wholes = keyed.groupBy(*keys, "m", "size").agg(F.collect_list(F.struct("n", *values)).alias("v"))
-        return wholes.mapInArrow(lambda b: blocks(b, keys, tall, Whole(kernel)), tall).select(*keys, "m", "n", "re", "im")
+        return wholes.mapInArrow(lambda b: blocks(b, keys, tall, Whole(kernel, mirrored)), tall).select(*keys, "m", "n", "re", "im")
 
     def met(parts: DataFrame) -> DataFrame:
         return parts.groupBy(*keys, "m", "size", "block").agg(F.collect_list(F.struct("at", "part")).alias("v"))
@@ -124,27 +126,33 @@ def assembled(v: pa.ListArray, lines: int, long: int, signals_: int) -> np.ndarr
 class Whole:
     """Whole signals of at most a block both ways: convolved in one step."""
 
-    def __init__(self, kernel: Kernel | None) -> None:
-        self.kernel = kernel
+    def __init__(self, kernel: Kernel | None, mirrored: bool) -> None:
+        self.kernel, self.mirrored = kernel, mirrored
 
     def __call__(self, part: pa.RecordBatch, size: int) -> tuple[np.ndarray, list]:
         n, m, lists = part.num_rows, part.column("m").to_numpy(), part.column("v")
         flat = lists.flatten()
         if size > LINES * LINES:
             raise ValueError(f"a signal of {m.max()} samples is longer than was stated")
-        spot = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())) * size + flat.field("n").to_numpy()
+        row, place = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), flat.field("n").to_numpy()
+        spot = row * size + place
 
         def line(c: str) -> np.ndarray:
             return np.bincount(spot, flat.field(c).to_numpy(), n * size).reshape(n, size)
 
-        if self.kernel is None:
+        real = line("re")
+        if self.mirrored:
+            other = np.zeros((n, size))
+            other[row, np.where(place == 0, 0, m[row] - place)] = other[row, (size - place) % size] = real[row, place]
+            other = np.fft.fft(other, axis=1)
+        elif self.kernel is None:
             other = np.fft.fft(line("other"), axis=1)
         else:
             lengths_, which = np.unique(m, return_inverse=True)  # a kernel for each length
             offset = np.arange(size) - np.where(np.arange(size) < lengths_[:, None], 0, size)
             other = np.where(np.abs(offset) < lengths_[:, None], self.kernel(offset, lengths_[:, None]), 0.0)
             other = np.fft.fft(other, axis=1)[which]
-        found = np.fft.ifft(np.fft.fft(line("re") + 1j * line("im"), axis=1) * other, axis=1)
+        found = np.fft.ifft(np.fft.fft(real if self.mirrored else real + 1j * line("im"), axis=1) * other, axis=1)
         row, place = np.nonzero(np.arange(size) < m[:, None])
         kept = found[row, place]
         return row, [pa.array(place), pa.array(kept.real), pa.array(kept.imag)]
@@ -265,6 +273,9 @@ def analytic(samples: DataFrame, longest: int | None = None) -> DataFrame:
 def circular_autocorrelation(samples: DataFrame, longest: int | None = None) -> DataFrame:
     """``stim, lag, ac`` for lags from 0: the mean product of a stimulus and itself turned by the lag."""
     n, m, x = F.col("n"), F.col("m"), F.col("re")
+    if one_block(longest):
+        own = convolved(signals(samples).drop("im"), ["stim"], longest=longest, mirrored=True)
+        return own.select("stim", n.alias("lag"), (x / m).alias("ac"))
     back = F.pmod(m - n, m)
     zero = F.lit(0.0)
     spots = F.array(F.struct(n.alias("n"), x.alias("re"), zero.alias("other")), F.struct(back.alias("n"), zero.alias("re"), x.alias("other")), F.struct((padded_size(m) + back - m).alias("n"), zero.alias("re"), F.when(back > 0, x).otherwise(zero).alias("other")))

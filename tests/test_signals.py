@@ -338,3 +338,17 @@ def test_short_signals_are_shuffled_once(spark, tall, waves):
             assert len(got.get(k, [])) == len(want) and (not len(want) or np.allclose(got[k], want, atol=1e-9))
     with pytest.raises(Exception, match="longer than was stated"):
         transform.magnitudes(tall, 200).collect()
+
+
+def test_short_signals_meet_themselves_without_copies(spark):
+    """The circular autocorrelation of short signals takes a row for each sample, not three, at every small length."""
+    rng = np.random.default_rng(4)
+    waves = {m: rng.normal(size=m) for m in (1, 2, 3, 4, 5, 8, 9, 33)}
+    rows = spark.createDataFrame([(m, n, float(x)) for m, w in waves.items() for n, x in enumerate(w)], "stim bigint, n bigint, x double")
+    found = transform.circular_autocorrelation(rows, 33)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = arrays(found, "ac", "lag")
+    for m, w in waves.items():
+        assert np.allclose(got[m], [np.dot(w, np.roll(w, -k)) / m for k in range(m)], atol=1e-9)
+    with pytest.raises(ValueError, match="whole signals"):
+        transform.convolved(transform.signals(rows), ["stim"], mirrored=True)
