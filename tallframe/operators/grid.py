@@ -87,13 +87,14 @@ def combined(buffered: DataFrame, target: int, onset: int) -> DataFrame:
     return inside.select("stim", (F.col("frame") * target + F.col("pos") - onset).alias("n"), "x")
 
 
-def aligned(points: DataFrame, step: float, *, bucket: float) -> DataFrame:
+def aligned(points: DataFrame, step: float, *, bucket: float, parts: int | None = None) -> DataFrame:
     """Values at ``stim, t`` brought to the grid ``frame * step`` by linear interpolation: ``stim, frame, x``.
 
     ``t`` is 0 or more and distinct in a stimulus. Before the first point its value holds; the grid ends
     with the last point. Each pair of neighbours fills its own part of the grid, so no range is joined.
+    Buckets of points are dealt to ``parts``, as in ``with_next``.
     """
-    nexts = with_next(points.select("stim", "t", "x"), ["stim"], F.floor(F.col("t") / bucket), ["t"], ["t", "x"])
+    nexts = with_next(points.select("stim", "t", "x"), ["stim"], F.floor(F.col("t") / bucket), ["t"], ["t", "x"], parts=parts)
     first = points.groupBy("stim").agg(F.min(F.struct("t", "x")).alias("first"))
     low, high = F.ceil(F.col("t") / step), F.when(F.col("next_t").isNull(), F.floor(F.col("t") / step)).otherwise(F.ceil(F.col("next_t") / step) - 1)
     inner = nexts.withColumn("low", low.cast("bigint")).withColumn("high", high.cast("bigint")).where("low <= high")

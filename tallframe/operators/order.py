@@ -20,9 +20,14 @@ def ranked(df: DataFrame, keys: list[str], bucket: Column, order: list[str], nam
     return binned.withColumn("_own", own).join(starts, [*keys, "_bucket"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint")).drop("_bucket", "_own", "_before")
 
 
-def with_next(df: DataFrame, keys: list[str], bucket: Column, order: list[str], columns: list[str], prefix: str = "next_") -> DataFrame:
-    """Adds columns of the following row of the group, null in the last; ``order`` must rise with ``bucket``."""
+def with_next(df: DataFrame, keys: list[str], bucket: Column, order: list[str], columns: list[str], prefix: str = "next_", parts: int | None = None) -> DataFrame:
+    """Adds columns of the following row of the group, null in the last; ``order`` must rise with ``bucket``.
+
+    Buckets are dealt to so many ``parts`` where the caller knows how many keep a task small; else Spark's settings say how many.
+    """
     binned = df.withColumn("_bucket", bucket)
+    if parts:
+        binned = binned.repartition(parts, *keys, "_bucket")
     heads = binned.groupBy(*keys, "_bucket").agg(F.min(F.struct(*order, *[F.col(c).alias(f"_{c}") for c in columns])).alias("_head"))
     heads = heads.select(*keys, "_bucket", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_after"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)

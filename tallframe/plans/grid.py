@@ -11,6 +11,8 @@ from tallframe.sources.tables import samples, signals
 
 KERNEL, STRIDE = 16, 10
 HOURS6 = 21600.0
+#: Samples of a task, and tasks at least, where points are put in order.
+TASK, TASKS = 250_000, 8
 
 
 def stim_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,15 +49,16 @@ def combine_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.combined(grid.buffered_frames(samples(spark, sf_dir), 20, 4, 1), 20, 4).select("stim", "n", "x")
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples at seconds since the stimulus's first, and 100 s before it."""
+def points(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    """Samples at seconds since the stimulus's first, and 100 s before it; stimuli are dealt to ``parts``."""
     s = signals(spark, sf_dir)
     start = s.groupBy("stim").agg(F.min("us").alias("us0"))
-    return s.join(start, "stim").groupBy("stim", ((F.col("us") - F.col("us0")) / 1e6 + 100).alias("t")).agg(F.min("x").alias("x"))
+    return s.select("stim", "us", "x").repartition(parts, "stim").join(start, "stim").groupBy("stim", ((F.col("us") - F.col("us0")) / 1e6 + 100).alias("t")).agg(F.min("x").alias("x"))
 
 
 def align_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.aligned(points(spark, sf_dir), HOURS6, bucket=86400.0).select("stim", "frame", rounded("x").alias("x"))
+    parts = max(TASKS, -(-signals(spark, sf_dir).count() // TASK))
+    return grid.aligned(points(spark, sf_dir, parts), HOURS6, bucket=86400.0, parts=parts).select("stim", "frame", rounded("x").alias("x"))
 
 
 def interp_null_gap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,3 +139,17 @@ def test_stream_gives_the_frames_of_the_table(spark, tmp_path):
 def test_session_is_utc(spark):
     assert session().conf.get("spark.sql.session.timeZone") == "UTC"
     assert sum(stats.windowed(300, 100)) == pytest.approx(1)
+
+
+def test_tasks_of_alignment_are_bounded_by_samples(spark, monkeypatch):
+    """More samples are more tasks, not larger ones, and the values are the same."""
+    from tallframe.plans import grid as plans
+
+    folder = "/root/testdata/sf0.001"
+    want = {(r.stim, r.frame): r.x for r in plans.align_linear(spark, folder).collect()}
+    monkeypatch.setattr(plans, "TASK", 50)
+    found = plans.align_linear(spark, folder)
+    parts = -(-spark.read.parquet(f"{folder}/events.parquet").count() // 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert parts > 8 and plan.count(f", {parts}), REPARTITION_BY_NUM") >= 2
+    assert {(r.stim, r.frame): r.x for r in found.collect()} == want and want
