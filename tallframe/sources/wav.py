@@ -7,16 +7,23 @@
 A file is read in ranges of its bytes, a task each, so that its length bounds nothing; of many short files or ranges, a
 task reads several one after the other. A recording is written as files
 of a range each, ``stim.wav`` or ``stim/00000000.wav`` and so on; they take their place when all tasks have ended.
+
+The driver holds names and lengths of files as packed bytes, some tens a file, never an object for each.
 """
 
 from __future__ import annotations
 
+import pickle
 import posixpath
 import struct
 import uuid
+import zlib
+from array import array
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +37,8 @@ SCHEMA = "stim string, n bigint, x double"
 ROWS = 1 << 16
 #: Tasks of a read beyond which a task takes several ranges.
 TASKS = 1024
+#: Files whose headers are asked for at a time.
+AHEAD = 4096
 
 
 @dataclass
@@ -94,7 +103,25 @@ class Range:
 
 @dataclass
 class Ranges(InputPartition):
-    each: list[Range]
+    """Ranges of a task, packed."""
+
+    packed: bytes
+
+    @property
+    def each(self) -> list[Range]:
+        return [Range(path, stim, Header(*kind), offset, first, last) for path, stim, kind, offset, first, last in pickle.loads(zlib.decompress(self.packed))]
+
+
+def walked(store: fs.FileSystem, folder: str) -> Iterator[str]:
+    """Files of recordings in the order of their paths, folder by folder."""
+    found = store.get_file_info(fs.FileSelector(folder))
+    inner = sorted(f.base_name + "/" * (f.type == fs.FileType.Directory) for f in found if f.base_name[0] not in "._")
+    del found
+    for name in inner:
+        if name.endswith("/"):
+            yield from walked(store, f"{folder.rstrip('/')}/{name[:-1]}")
+        elif name.endswith(".wav"):
+            yield f"{folder.rstrip('/')}/{name}"
 
 
 class WavReader(DataSourceReader):
@@ -106,26 +133,42 @@ class WavReader(DataSourceReader):
     def partitions(self) -> list[Ranges]:
         """Ranges of all files, as many to a task; only their headers are read here. Files in a folder of a stimulus follow each other by name."""
         store, root = system(self.path)
-        found = store.get_file_info(fs.FileSelector(root, recursive=True)) if store.get_file_info(root).type == fs.FileType.Directory else [store.get_file_info(root)]
-        files = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".wav") and not any(p[0] in "._" for p in f.path[len(root) :].strip("/").split("/") if p))
+        kind_of = store.get_file_info(root).type
+        files = walked(store, root) if kind_of == fs.FileType.Directory else iter([root] if kind_of == fs.FileType.File and root.endswith(".wav") else [])
 
         def header(path: str) -> Header:
             with store.open_input_file(path) as f:
                 return read_header(f, path)
 
+        names, ends, frames, kind = bytearray(), array("q"), array("q"), array("i")
+        kinds: dict[tuple[int, int, int, int], int] = {}
         with ThreadPoolExecutor(16) as pool:
-            headers = dict(zip(files, pool.map(header, files), strict=True))
-        out: list[Range] = []
-        ends: dict[str, int] = {}
-        for path in files:
-            inner = posixpath.dirname(path[len(root) :].strip("/"))
-            stim = posixpath.basename(inner) if inner else posixpath.basename(path)[:-4]
-            h = headers[path]
-            offset = ends.get(stim, 0)
-            out += [Range(path, stim, h, offset, a, min(a + self.range, h.frames)) for a in range(0, h.frames, self.range)]
-            ends[stim] = offset + h.frames
-        some = -(-len(out) // TASKS) or 1
-        return [Ranges(out[k : k + some]) for k in range(0, len(out), some)]
+            while some := list(islice(files, AHEAD)):
+                for path, h in zip(some, pool.map(header, some), strict=True):
+                    names += path.encode()
+                    ends.append(len(names))
+                    frames.append(h.frames)
+                    kind.append(kinds.setdefault((h.start, h.channels, h.width, h.rate), len(kinds)))
+        of = list(kinds)
+
+        def ranges() -> Iterator[tuple]:
+            upto: dict[str, int] = {}
+            begin = 0
+            for end, n, k in zip(ends, frames, kind, strict=True):
+                path, begin = names[begin:end].decode(), end
+                inner = posixpath.dirname(path[len(root) :].strip("/"))
+                stim = posixpath.basename(inner) if inner else posixpath.basename(path)[:-4]
+                start, channels, width, rate = of[k]
+                offset = upto.get(stim, 0)
+                for a in range(0, n, self.range):
+                    yield path, stim, (start, n, channels, width, rate), offset, a, min(a + self.range, n)
+                upto[stim] = offset + n
+
+        each = -(-sum(-(-n // self.range) for n in frames) // TASKS) or 1
+        rows, out = ranges(), []
+        while part := list(islice(rows, each)):
+            out.append(Ranges(zlib.compress(pickle.dumps(part))))
+        return out
 
     def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
         for each in part.each:
@@ -144,7 +187,13 @@ class WavReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    """Ranges that a task wrote: their final names, packed, in the order of their numbers in the task's folder."""
+
+    task: str
+    packed: bytes
+
+    def names(self) -> list[str]:
+        return zlib.decompress(self.packed).decode().split("\n")
 
 
 def pcm(x: np.ndarray, sr: int, what: str, bits: int = 16) -> bytes:
@@ -167,18 +216,19 @@ class WavWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, root = system(self.path)
-        done: list[tuple[str, str]] = []
+        task = f"{root}/{self.run}/{uuid.uuid4()}"
+        done: list[str] = []
         held: tuple[str, int] | None = None
         xs: list[float] = []
 
         def flush() -> None:
             if held is None:
                 return
-            new, final = f"{root}/{self.run}/{uuid.uuid4()}.wav", f"{root}/{held[0]}/{held[1]:010d}.wav"
-            store.create_dir(posixpath.dirname(new))
-            with store.open_output_stream(new) as f:
+            if not done:
+                store.create_dir(task)
+            with store.open_output_stream(f"{task}/{len(done)}.wav") as f:
                 f.write(pcm(np.asarray(xs, np.float64), self.sr, held[0], self.bits))
-            done.append((new, final))
+            done.append(f"{held[0]}/{held[1]:010d}.wav")
 
         for batch in batches:
             for stim, n, x in zip(*(batch.column(c).to_pylist() for c in ("stim", "n", "x")), strict=True):
@@ -190,20 +240,23 @@ class WavWriter(DataSourceArrowWriter):
                     raise ValueError(f"sample {n} of {stim} is out of place; write what in_ranges() gives")
                 xs.append(x)
         flush()
-        return Written(done)
+        return Written(task, zlib.compress("\n".join(done).encode()) if done else b"")
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = system(self.path)
-        moves = [m for message in messages if message for m in message.files]
-        if len({final for _, final in moves}) < len(moves):
+        messages = [m for m in messages if m and m.packed]
+        hashes = bytearray().join(blake2b(name.encode(), digest_size=16).digest() for m in messages for name in m.names())
+        keys = np.frombuffer(hashes, [("a", "<u8"), ("b", "<u8")]) if hashes else np.empty(0)
+        if len(np.unique(keys)) < len(keys):
             raise ValueError("a range was written by several tasks; write what in_ranges() gives")
         if self.overwrite:
             for info in store.get_file_info(fs.FileSelector(root)):
                 if posixpath.basename(info.path) != self.run:
                     (store.delete_dir if info.type == fs.FileType.Directory else store.delete_file)(info.path)
-        for new, final in moves:
-            store.create_dir(posixpath.dirname(final))
-            store.move(new, final)
+        for m in messages:
+            for k, name in enumerate(m.names()):
+                store.create_dir(posixpath.dirname(f"{root}/{name}"))
+                store.move(f"{m.task}/{k}.wav", f"{root}/{name}")
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:

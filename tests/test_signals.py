@@ -2,9 +2,11 @@
 
 import glob
 import os
+import pickle
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,3 +354,20 @@ def test_short_signals_meet_themselves_without_copies(spark):
         assert np.allclose(got[m], [np.dot(w, np.roll(w, -k)) / m for k in range(m)], atol=1e-9)
     with pytest.raises(ValueError, match="whole signals"):
         transform.convolved(transform.signals(rows), ["stim"], mirrored=True)
+
+
+def test_the_driver_holds_few_bytes_a_recording(spark, tmp_path):
+    """Of many short files, what tasks send to the driver, and it to them, is some bytes a file."""
+    path = str(tmp_path / "out")
+    writer = wav.WavWriter({"path": path, "sr": "100", "range": "5"}, False)
+    stim = [f"recording-{k}" for k in range(2000) for _ in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(stim), pa.array([n for _ in range(2000) for n in range(10)]), pa.array([0.5] * 20000)], names=["stim", "n", "x"])
+    message = writer.write(iter([batch]))
+    assert len(pickle.dumps(message)) < 20 * 4000
+    with pytest.raises(ValueError, match="by several tasks"):
+        writer.commit([message, message])
+    writer.commit([message, None])
+    parts = wav.WavReader({"path": path, "range": "5"}).partitions()
+    assert sum(len(pickle.dumps(p)) for p in parts) < 120 * 4000
+    assert len(parts) == 1000 and sum(r.last - r.first for p in parts for r in p.each) == 20000
+    assert {(r.stim, r.offset) for p in parts for r in p.each} == {(f"recording-{k}", o) for k in range(2000) for o in (0, 5)}
